@@ -34,5 +34,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), _tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {"op3_token_ids": op3_token_ids, "op6_bpe": op6_bpe, "op9_packing": op9_packing}
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyview.llm.near_dedup import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES = {"op7_near_dedup": op7_near_dedup, "op3_token_ids": op3_token_ids, "op6_bpe": op6_bpe, "op9_packing": op9_packing}
 ORACLES: dict[str, str] = {}

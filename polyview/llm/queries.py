@@ -40,5 +40,11 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op7_near_dedup": op7_near_dedup, "op3_token_ids": op3_token_ids, "op6_bpe": op6_bpe, "op9_packing": op9_packing}
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyview.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+
+
+QUERIES = {"op4_substring_dedup": op4_substring_dedup, "op7_near_dedup": op7_near_dedup, "op3_token_ids": op3_token_ids, "op6_bpe": op6_bpe, "op9_packing": op9_packing}
 ORACLES: dict[str, str] = {}

@@ -8,8 +8,9 @@ similarity 0.85 is missed with probability 7e-5, one with 0.9 with 1e-6.
 A document has a partner only if it shares a key of A and a key of B with others, so only keys
 that at least two sets share are paired up.  Documents with equal sets are folded first.  In each bucket every
 member names the bucket's smallest id; each document is verified against the hub that most of its buckets name, and
-components are formed.  Buckets whose members then still lie in several components are compared across components, in
-square blocks, by their signatures; pairs that may reach the threshold are verified on full sets.
+components are formed.  Keys of A whose documents then still lie in several components are compared across components,
+in square blocks, by signatures; pairs that may reach the threshold are verified on full sets, likeliest first, unless
+earlier links have joined their components.
 
 Words are runs without ASCII white space, A-Z lower-cased, as bytes.  Null and blank texts have an empty
 set and no links.  Rows that share an id fall together in one result row for their first set.  Other columns are ignored.
@@ -138,25 +139,68 @@ def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _across(cut: int):
-    """Pairs of a block pair whose components differ and whose signatures agree in at least ``cut`` places."""
-
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        left = rows[rows["side"] == 0]
-        right = rows[rows["side"] == 1]
-        out_a, out_b = [], []
-        if len(left) and len(right):
-            sig_r = np.frombuffer(b"".join(right["sig"]), np.uint8).reshape(len(right), -1)
-            comp_r, id_r = right["component"].to_numpy(), right["id"].to_numpy()
-            for i, sig, comp in zip(left["id"], left["sig"], left["component"]):
-                other = np.flatnonzero(comp_r != comp)
-                same = (sig_r[other] == np.frombuffer(sig, np.uint8)).sum(axis=1)
-                hits = id_r[other[same >= cut]]
-                out_a += np.minimum(hits, i).tolist()
-                out_b += np.maximum(hits, i).tolist()
-        return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
-
-    return compare
+def _candidates(rows: pd.DataFrame, percent: int, cut: int) -> list[tuple[int, int, int]]:
+    """(places agreed on, left row, right row) of a block pair: other component, sizes and signatures near enough,
+    and no earlier lane shared, so that each pair is looked at in one bucket only."""
+    left, right = np.flatnonzero(rows["side"] == 0), np.flatnonzero(rows["side"] == 1)
+    if not len(left) or not len(right):
+        return []
+    sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
+    lanes = np.stack(rows["a"].to_list())
+    ids, comp, size = (rows[c].to_numpy() for c in ("id", "component", "n_shingles"))
+    lane, same_block = int(rows["lane"].iloc[0]), rows["i"].iloc[0] == rows["j"].iloc[0]
+    out = []
+    for x in left:
+        fit = (comp[right] != comp[x]) & (100 * np.minimum(size[right], size[x]) >= percent * np.maximum(size[right], size[x]))
+        if same_block:
+            fit &= ids[right] > ids[x]
+        other = right[fit]
+        agreed = (sig[other] == sig[x]).sum(axis=1)
+        other, agreed = other[agreed >= cut], agreed[agreed >= cut]
+        if len(other):
+            first = (lanes[other] == lanes[x]).argmax(axis=1) == lane
+            out += zip(agreed[first].tolist(), [int(x)] * int(first.sum()), other[first].tolist())
+    return out
+
+
+def _open_rows(percent: int, cut: int):
+    """The rows of a block pair that take part in some candidate pair."""
+
+    def scan(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        part = sorted({r for _, x, y in _candidates(rows, percent, cut) for r in (x, y)})
+        return rows.iloc[part][["bucket", "i", "j", "lane", "id", "component", "side"]]
+
+    return scan
+
+
+def _links_across(percent: int, cut: int, shingle: int):
+    """Links between components of a block pair, likeliest first; a pair that earlier links have joined needs no look."""
+
+    def verify(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        group = {c: c for c in rows["component"]}
+
+        def root(c: int) -> int:
+            while group[c] != c:
+                group[c] = group[group[c]]
+                c = group[c]
+            return c
+
+        ids, comp = rows["id"].to_numpy(), rows["component"].to_numpy()
+        texts, held, out = rows["text"].to_numpy(), {}, []
+        for _, x, y in sorted(_candidates(rows, percent, cut), reverse=True):
+            u, v = root(comp[x]), root(comp[y])
+            if u == v:
+                continue
+            for r in (x, y):
+                if r not in held:
+                    held[r] = shingle_set(texts[r].encode(), shingle)
+            common = len(np.intersect1d(held[x], held[y], assume_unique=True))
+            if 100 * common >= percent * (len(held[x]) + len(held[y]) - common):
+                group[u] = v
+                out.append((ids[x], ids[y]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return verify
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, tables: int = 14, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,7 +210,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, tables
     filled = sets.filter("n_shingles > 0 and id is not null")
     folded = filled.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     # an id's own set stands for all documents with an equal set
-    reps = stage_table(filled.join(folded, (filled.digest == folded.digest) & (filled.id == folded.rep)).select("id", "a", "b", "sig"), "reps")
+    reps = stage_table(filled.join(folded, (filled.digest == folded.digest) & (filled.id == folded.rep)).select("id", "n_shingles", "a", "b", "sig"), "reps")
 
     lanes = reps.select("id", F.posexplode(F.concat("a", "b")).alias("lane", "key"))
     shared = lanes.groupBy("lane", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -183,18 +227,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, tables
     links = stage_table(_verify(best, docs, shingle, percent), "links")
     component = connected_components(links)
 
-    # buckets whose members lie in several components: compare across, in square blocks
+    # keys of A whose documents lie in several components: compare across, in square blocks
     cut = int(2 * tables * rows * (percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / (2 * tables * rows)) ** 0.5))
-    told = members.join(component, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    waiting = members.select("id").distinct()
+    told = mine.join(waiting, "id").select("id", F.explode("a").alias("x")).join(component, "id", "left").select(F.xxhash64("x").alias("bucket"), F.col("x.lane").alias("lane"), "id", F.coalesce("component", "id").alias("component"))
     told = stage_table(told, "told")
     split = told.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high")
-    split = split.withColumn("blocks", F.ceil(F.col("n") / _BLOCK).cast("int"))
-    open_rows = told.join(split.select("bucket", "blocks"), "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    left = open_rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    sided = left.select("bucket", "id", "component", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), F.when(F.col("block") == F.col("o"), F.array(F.lit(0), F.lit(1))).when(F.col("block") < F.col("o"), F.array(F.lit(0))).otherwise(F.array(F.lit(1))).alias("sides"))
-    sided = sided.select("bucket", "i", "j", "id", "component", F.explode("sides").alias("side")).join(reps.select("id", "sig"), "id")
-    pairs = sided.groupBy("bucket", "i", "j").applyInPandas(_across(cut), "a long, b long").distinct()
-    more = stage_table(_verify(stage_table(pairs, "pairs"), docs, shingle, percent), "links")
+    split = split.select("bucket", F.ceil(F.col("n") / _BLOCK).cast("int").alias("blocks"))
+    rows_ = told.join(split, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows_ = rows_.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    sides = F.when(F.col("block") == F.col("o"), F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("block") > F.col("o")).cast("int")))
+    sided = rows_.select("bucket", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "lane", "id", "component", F.explode(sides).alias("side"))
+    light = reps.select("id", "n_shingles", "a", "sig")
+    taking = sided.join(light, "id").groupBy("bucket", "i", "j").applyInPandas(_open_rows(percent, cut), "bucket long, i int, j int, lane int, id long, component long, side int")
+    taking = stage_table(taking, "open")
+    more = taking.join(light, "id").join(docs, "id").groupBy("bucket", "i", "j").applyInPandas(_links_across(percent, cut, shingle), "a long, b long")
+    more = stage_table(more, "links")
     component = connected_components(links.union(more))
 
     classes = folded.join(component, folded.rep == component.id, "left").select(F.col("digest").alias("of"), F.coalesce("component", "rep").alias("component"))

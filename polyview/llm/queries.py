@@ -46,5 +46,44 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
 
 
-QUERIES = {"op4_substring_dedup": op4_substring_dedup, "op7_near_dedup": op7_near_dedup, "op3_token_ids": op3_token_ids, "op6_bpe": op6_bpe, "op9_packing": op9_packing}
-ORACLES: dict[str, str] = {}
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyview.llm.quality import score_quality
+
+    return score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"])
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyview.llm.line_dedup import remove_repeated_chunks
+
+    out = remove_repeated_chunks(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return out.select("doc_id", F.md5("text").alias("kept_md5"), "n_lines", "n_removed_lines")
+
+
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyview.llm.surrogates import replace_entities
+
+    return replace_entities(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def op8_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyview.llm.inner_product import top_products
+
+    return top_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "id % 50 = 0")
+
+
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyview.llm.page_text import main_text
+
+    return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_line_dedup": op2_line_dedup, "op5_surrogates": op5_surrogates, "op8_top_products": op8_top_products, "op10_page_text": op10_page_text, "op4_substring_dedup": op4_substring_dedup, "op7_near_dedup": op7_near_dedup, "op3_token_ids": op3_token_ids, "op6_bpe": op6_bpe, "op9_packing": op9_packing}
+
+
+def _oracles() -> dict[str, str]:
+    from polyview.llm import inner_product, line_dedup
+
+    return {"op2_line_dedup": line_dedup.ORACLE, "op8_top_products": inner_product.ORACLE}
+
+
+ORACLES: dict[str, str] = _oracles()

@@ -6,7 +6,7 @@ its first (smallest document id, then place).  Candidates come from a count of c
 been grouped by its very bytes.
 
 Null text is kept null and has no lines.  Rows with the same id and text count as one document and get the same result.
-Other columns pass through.
+Other columns pass through, but input columns named as the results are replaced.
 """
 
 from __future__ import annotations
@@ -37,26 +37,26 @@ def line_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with repeated chunks gone, and n_lines, n_removed_lines."""
-    docs = docs.withColumn("_row", F.xxhash64(id_col, text_col))
+    docs = docs.drop("n_lines", "n_removed_lines").withColumn("_row", F.xxhash64(id_col, text_col))
     chunks = line_chunks(docs, id_col, text_col).filter("n_lines > 1").withColumn("hash", F.xxhash64("text"))
     common = chunks.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
     candidates = chunks.join(common, "hash")
     first = F.min(F.struct(F.col("id"), F.col("row"), F.col("chunk"))).alias("first")
     groups = candidates.groupBy("hash", "text").agg(F.count("*").alias("n"), first).filter("n > 1").select("hash", "text", F.col("first.row").alias("first_row"), F.col("first.chunk").alias("first_chunk"))
     gone = candidates.join(groups, ["hash", "text"]).filter("row <> first_row or chunk <> first_chunk")
-    gone = gone.groupBy("row").agg(F.collect_set("chunk").alias("gone"))
-    marked = docs.join(gone, docs["_row"] == gone["row"], "left").drop("row")
+    gone = gone.groupBy(F.col("row").alias("_row")).agg(F.collect_set("chunk").alias("_gone"))
+    marked = docs.join(gone, "_row", "left")
 
     lines = F.split(text_col, "\n", -1)
     digests = F.transform("_lines", F.md5)
     last = F.size("_lines") - 1
     ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | _border(F.col("_digests"), i))
-    touched = marked.filter("gone is not null").withColumn("_lines", lines).withColumn("_digests", digests).withColumn("_ends", ends)
-    part = F.transform("_ends", lambda e, k: F.when(~F.array_contains("gone", k), F.slice("_lines", F.coalesce(F.get("_ends", k - 1), F.lit(-1)) + 2, e - F.coalesce(F.get("_ends", k - 1), F.lit(-1)))))
+    touched = marked.filter("_gone is not null").withColumn("_lines", lines).withColumn("_digests", digests).withColumn("_ends", ends)
+    part = F.transform("_ends", lambda e, k: F.when(~F.array_contains("_gone", k), F.slice("_lines", F.coalesce(F.get("_ends", k - 1), F.lit(-1)) + 2, e - F.coalesce(F.get("_ends", k - 1), F.lit(-1)))))
     touched = touched.withColumn("_kept", F.flatten(F.filter(part, lambda x: x.isNotNull())))
     columns = [F.array_join("_kept", "\n").alias(text_col) if c == text_col else F.col(c) for c in docs.columns if c != "_row"]
     touched = touched.select(*columns, F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_removed_lines"))
-    whole = marked.filter("gone is null").withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
+    whole = marked.filter("_gone is null").withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
     whole = whole.select(*[c for c in docs.columns if c != "_row"], F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed_lines"))
     return touched.unionByName(whole)
 

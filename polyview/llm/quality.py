@@ -6,7 +6,7 @@ good and on bad documents and the share of good ones, and each document gets the
 of being good.  ``kept`` takes the place of an all-must-pass filter: posterior >= 0.5, and no base failure.
 
 Null text has no words and fails the base rule.  Rows are scored one by one: repeated rows, null ids and other columns make no
-difference.  A repeated 8-word window is found by 64-bit hashes within one text.
+difference, and columns named as the results are replaced.  A repeated 8-word window is found by 64-bit hashes within one text.
 """
 
 from __future__ import annotations
@@ -115,7 +115,8 @@ def posterior(vote: tuple[int | None, ...], prior: float, chance: list[tuple[flo
 
 def score_quality(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` of the input with the measures, base_failed, posterior and kept."""
-    keep = docs.columns if keep is None else keep
+    results = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "posterior", "kept")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in results]
     used = docs.select(*keep, *([text_col] if text_col not in keep else []))
     measured = base_measures(used, text_col)
     rules = votes()

@@ -7,7 +7,7 @@ letters letters of the same case and script, punctuation stays; a card that pass
 gets a name that its title's gender allows.  The table of distinct entities is checked for collisions, with other
 surrogates and with real values, and colliding ones are drawn again, so distinct entities stay distinct.
 
-Null and empty texts pass through, as do other columns.  Texts without entities are not touched or moved.
+Null and empty texts pass through, as do other columns (one named n_entities is replaced).  Texts without entities are not touched or moved.
 """
 
 from __future__ import annotations
@@ -120,6 +120,7 @@ def surrogate_table(entities: DataFrame, key: str, rounds: int = 12) -> DataFram
 
 def replace_entities(docs: DataFrame, key: str = "polyview", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with surrogates in the text, and n_entities."""
+    docs = docs.drop("n_entities")
     columns = docs.columns
     touched = docs.filter(F.coalesce(F.col(text_col).rlike(ENTITY), F.lit(False)))
     clean = docs.filter(~F.coalesce(F.col(text_col).rlike(ENTITY), F.lit(False))).withColumn("n_entities", F.lit(0).cast("long"))

@@ -189,10 +189,10 @@ def _(s, d):
     return X.table(s, d, "embeddings").select("vec_id", P.valid_up(F.concat(up, F.array(F.lit(0.0), F.lit(0.0)))).alias("ok"))
 
 
-@add("n13_view_angles", "SELECT el, i, round(2 * pi() * i / 8, 6) AS azimuth, round(radians(el), 6) AS elevation FROM (SELECT unnest([20.0, -10.0]) AS el), unnest(range(8)) u(i)")
+@add("n13_view_angles", "SELECT el, i, round(2 * pi() * i / 8, 6) AS azimuth, round(radians(el), 6) AS elevation FROM (SELECT unnest([20.0::DOUBLE, -10.0::DOUBLE]) AS el), unnest(range(8)) u(i)")
 def _(s, d):
     a = s.range(1).select(F.posexplode(P.view_angles(8, F.array(F.lit(20.0), F.lit(-10.0)))).alias("k", "a"))
-    return a.select(F.round(F.degrees("a.elevation"), 1).cast("decimal(3,1)").alias("el"), (F.col("k") % 8).cast("long").alias("i"), F.round("a.azimuth", 6).alias("azimuth"), F.round("a.elevation", 6).alias("elevation"))
+    return a.select(F.round(F.degrees("a.elevation"), 1).alias("el"), (F.col("k") % 8).cast("long").alias("i"), F.round("a.azimuth", 6).alias("azimuth"), F.round("a.elevation", 6).alias("elevation"))
 
 
 @add("n15_n16_rotation", "WITH u AS (SELECT vec_id, embedding[1:3]::DOUBLE[] AS v FROM embeddings), n AS (SELECT vec_id, v[1] / sqrt(v[1]**2 + v[2]**2 + v[3]**2) AS x, v[2] / sqrt(v[1]**2 + v[2]**2 + v[3]**2) AS y, v[3] / sqrt(v[1]**2 + v[2]**2 + v[3]**2) AS z FROM u) SELECT vec_id, round(1 - x * x / (1 + z), 5) AS ax, round(-x * y / (1 + z), 5) AS ay, round(-x, 5) AS az FROM n")

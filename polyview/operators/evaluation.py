@@ -33,3 +33,27 @@ def margin_quantiles(rows: DataFrame, by: str, margin: str = "margin") -> DataFr
 
 def token_cost(tokens_in: Column, thinking: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:
     return (tokens_in * price_in + (thinking + tokens_out) * price_out) / 1e6
+
+
+def image_delta(a: Column, b: Column) -> dict[str, Column]:
+    """Largest absolute difference of two pixel arrays, number and share of places that differ."""
+    steps = F.zip_with(a, b, lambda x, y: F.abs(x - y))
+    differing = F.size(F.filter(steps, lambda x: x > 0))
+    return {"max_delta": F.array_max(steps), "n_differing": differing, "share": differing / F.size(steps)}
+
+
+def config_accuracy(answers: DataFrame) -> DataFrame:
+    """answers (stem, config, pick or null, gold): right, unanswered and all stems per config."""
+    return answers.groupBy("config").agg(F.count_if(F.col("pick") == F.col("gold")).alias("right"), F.count_if(F.col("pick").isNull()).alias("unanswered"), F.count("*").alias("n"))
+
+
+def disagreeing(answers: DataFrame) -> DataFrame:
+    """stem, disagree: whether its configs answer differently; no answer counts as an answer of its own."""
+    return answers.groupBy("stem").agg((F.count_distinct(F.coalesce("pick", F.lit(-1))) > 1).alias("disagree"))
+
+
+def changed_answers(answers: DataFrame, base: str) -> DataFrame:
+    """(config, stem, before, after) where a config's answer differs from the base config's."""
+    before = answers.filter(F.col("config") == base).select("stem", F.col("pick").alias("before"))
+    after = answers.filter(F.col("config") != base).select("stem", "config", F.col("pick").alias("after"))
+    return after.join(before, "stem").filter(~F.col("before").eqNullSafe(F.col("after"))).select("config", "stem", "before", "after")

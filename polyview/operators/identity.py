@@ -47,3 +47,41 @@ def relative(path: Column, root: Column) -> Column:
 
 def escapes(entry: Column) -> Column:
     return entry.startswith("/") | F.array_contains(F.split(entry, "/"), "..")
+
+
+def general_number(v: Column) -> Column:
+    """Six significant digits without trailing zeros, in scientific form below 1e-4 and from 1e6 on."""
+    text = F.format_string("%.5e", v.cast("double"))
+    exponent = F.substring_index(text, "e", -1).cast("int")
+    fixed = F.regexp_replace(text.cast("decimal(20,10)").cast("string"), "\\.?0+$", "")
+    plain = F.when(v == 0, F.when(text.startswith("-"), "-0").otherwise("0")).when(fixed.contains("."), fixed).otherwise(F.regexp_replace(text.cast("decimal(20,10)").cast("long").cast("string"), "^$", "0"))
+    mantissa = F.regexp_replace(F.substring_index(text, "e", 1), "\\.?0+$", "")
+    return F.when((v == 0) | exponent.between(-4, 5), plain).otherwise(F.concat(mantissa, F.lit("e"), F.substring_index(text, "e", -1)))
+
+
+def number_list(values: Column) -> Column:
+    return F.array_join(F.transform(values, general_number), ",")
+
+
+def view_config(n_views: Column, elevations: Column) -> Column:
+    return F.concat(n_views.cast("string"), F.lit("v-e"), number_list(elevations))
+
+
+def render_folder(size: Column, n_views: Column, elevations: Column) -> Column:
+    return F.concat(size.cast("string"), F.lit("px-"), view_config(n_views, elevations))
+
+
+def up_token(up: Column, axis: Column) -> Column:
+    """The up vector of a usable pose; else that of a forced axis; else 'unresolved'."""
+    usable = (F.size(up) == 3) & F.forall(up, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(up, lambda x: x != 0)
+    return F.when(F.coalesce(usable, F.lit(False)), number_list(up)).when(axis == "z", "0,0,1").when(axis == "y", "0,1,0").otherwise("unresolved")
+
+
+def root_note(root: Column, recorded: Column, loose_file: Column) -> Column:
+    """How an input lies to the recorded root: struct(root to key against, note)."""
+    def below(inner: Column, outer: Column) -> Column:
+        return inner.startswith(F.concat(outer, F.lit("/")))
+
+    note = F.when(recorded.isNull() | (root == recorded) | loose_file, F.lit(None)).when(below(root, recorded), "subdir").when(below(recorded, root), "superdir").otherwise("mismatch")
+    keep = recorded.isNotNull() & (loose_file | below(root, recorded))
+    return F.struct(F.when(keep, recorded).otherwise(root).alias("root"), note.alias("note"))

@@ -66,3 +66,24 @@ def merge_manifest(old: DataFrame, new: DataFrame, allowed: list[str]) -> DataFr
     """Non-null new values over old ones, allowed keys only (key, value rows)."""
     a, b = old.select("key", F.col("value").alias("was")), new.select("key", F.col("value").alias("is"))
     return a.join(b, "key", "full_outer").filter(F.col("key").isin(allowed)).select("key", F.coalesce("is", "was").alias("value"))
+
+
+def action_totals(plan: DataFrame) -> DataFrame:
+    """Archives and bytes per planned action."""
+    return plan.groupBy("action").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
+def walk_counts(cached: DataFrame, listing: DataFrame) -> DataFrame:
+    """One row: cached paths that still exist, vanished ones, and new ones."""
+    a, b = cached.select("rel", F.lit(1).alias("was")), listing.select("rel", F.lit(1).alias("is"))
+    both = a.join(b, "rel", "full_outer")
+    return both.agg(F.count_if(F.col("was").isNotNull() & F.col("is").isNotNull()).alias("kept"), F.count_if(F.col("is").isNull()).alias("vanished"), F.count_if(F.col("was").isNull()).alias("new"))
+
+
+def pose_census(poses: DataFrame) -> DataFrame:
+    return poses.groupBy("source", "arbitrated").agg(F.count("*").alias("n"))
+
+
+def kept_poses(poses: DataFrame) -> DataFrame:
+    """What a cleanup keeps: the poses that the arbiter moved."""
+    return poses.filter(F.col("source") == "vlm")

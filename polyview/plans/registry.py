@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from polyview.operators import camera as C
 from polyview.operators import evaluation as E
 from polyview.operators import identity as I
 from polyview.operators import maintenance as M
@@ -468,3 +469,106 @@ def _(s, d):
     a = e.select(F.col("vec_id").alias("a"), (F.col("vec_id") * 9.0).alias("x")).withColumn("cell", F.explode(F.array(*[F.floor(F.col("x") * 10) + k for k in (-1, 0, 1)])))
     b = e.select(F.col("vec_id").alias("b"), (F.col("vec_id") % 8 * 45.0).alias("y")).withColumn("cell", F.floor(F.col("y") * 10))
     return a.join(b, "cell").filter(F.abs(F.col("x") - F.col("y")) <= 1e-8 + 1e-5 * F.abs("y")).select("a", "b").distinct()
+
+
+@add("a16_bounding_box", "SELECT label, round((max(x) + min(x)) / 2, 6) AS centre_x, round((max(y) + min(y)) / 2, 6) AS centre_y, round((max(z) + min(z)) / 2, 6) AS centre_z, round(max(x) - min(x), 6) AS extent_x, round(max(y) - min(y), 6) AS extent_y, round(max(z) - min(z), 6) AS extent_z, round(sqrt((max(x) - min(x)) ** 2 + (max(y) - min(y)) ** 2 + (max(z) - min(z)) ** 2) * 1.4, 6) AS radius FROM (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings) GROUP BY 1")
+def _(s, d):
+    v = X.table(s, d, "embeddings").select("label", *[F.element_at("embedding", k + 1).cast("double").alias(a) for k, a in enumerate("xyz")])
+    out = C.bounding_box(v, "label")
+    return out.select("label", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
+
+
+_ORBIT = "o AS (SELECT vec_id, radians(vec_id % 8 * 45.0) AS a, radians(vec_id % 5 * 20.0 - 10.0) AS e, 1.0 + vec_id % 3 AS r FROM embeddings), l AS (SELECT *, -cos(a) * cos(e) AS lx, -sin(a) * cos(e) AS ly, -sin(e) - 0.6 AS lz FROM o)"
+
+
+@add("n17_orbit_camera", f"WITH {_ORBIT} SELECT vec_id, round(0.5 - r * lx, 6) AS eye_x, round(0.25 - r * ly, 6) AS eye_y, round(r * sin(e), 6) AS eye_z, round(-cos(a) * sin(e), 6) + 0 AS up_x, round(-sin(a) * sin(e), 6) + 0 AS up_y, round(cos(e), 6) AS up_z, round(lx / sqrt(lx * lx + ly * ly + lz * lz), 6) + 0 AS light_x, round(ly / sqrt(lx * lx + ly * ly + lz * lz), 6) + 0 AS light_y, round(lz / sqrt(lx * lx + ly * ly + lz * lz), 6) + 0 AS light_z FROM l")
+def _(s, d):
+    e = X.table(s, d, "embeddings").select("vec_id", F.radians(F.col("vec_id") % 8 * 45.0).alias("a"), F.radians(F.col("vec_id") % 5 * 20.0 - 10.0).alias("e"), (1.0 + F.col("vec_id") % 3).alias("r"))
+    cam = C.orbit_camera((F.lit(0.5), F.lit(0.25), F.lit(0.0)), F.col("r"), F.col("a"), F.col("e"))
+    return e.select("vec_id", *[(F.round(c, 6) + 0).alias(n) for n, c in cam.items()])
+
+
+@add("n04_n05_view_config", "SELECT e.event_id, printf('%g', value) AS number, concat(event_id % 16, 'v-e', printf('%g', value), ',', printf('%g', -value / 1000)) AS config, concat('384px-', event_id % 16, 'v-e', printf('%g', value), ',', printf('%g', -value / 1000)) AS folder FROM events e WHERE value IS NOT NULL")
+def _(s, d):
+    n, el = F.col("event_id") % 16, F.array(F.col("value"), -F.col("value") / 1000)
+    return X.table(s, d, "events").filter("value is not null").select("event_id", I.general_number(F.col("value")).alias("number"), I.view_config(n, el).alias("config"), I.render_folder(F.lit(384), n, el).alias("folder"))
+
+
+@add("n06_up_token", "SELECT vec_id, CASE WHEN vec_id % 5 > 1 THEN concat(vec_id % 3 - 1, ',0,', CASE WHEN vec_id % 3 = 1 THEN 1 ELSE 0 END) WHEN vec_id % 3 = 0 THEN '0,0,1' WHEN vec_id % 3 = 1 THEN '0,1,0' ELSE 'unresolved' END AS token FROM embeddings")
+def _(s, d):
+    """A null vector (remainder 0) and a zero one (remainder 1) count as no pose."""
+    k, m = F.col("vec_id") % 5, F.col("vec_id") % 3
+    up = F.when(k == 1, F.array(*[F.lit(0.0)] * 3)).when(k > 1, F.array((m - 1).cast("double"), F.lit(0.0), (m == 1).cast("double")))
+    axis = F.when(m == 0, "z").when(m == 1, "y").otherwise("auto")
+    return X.table(s, d, "embeddings").select("vec_id", I.up_token(up, axis).alias("token"))
+
+
+@add("n08_root_note", "SELECT p_partkey, CASE WHEN p_partkey % 6 IN (0, 1) THEN '/lib' WHEN p_partkey % 6 = 2 THEN '/lib' WHEN p_partkey % 6 = 3 THEN '/' || p_brand WHEN p_partkey % 6 = 4 THEN '/lib' ELSE '/lib/kit' END AS root, CASE p_partkey % 6 WHEN 2 THEN 'subdir' WHEN 3 THEN 'mismatch' WHEN 4 THEN 'superdir' END AS note FROM part")
+def _(s, d):
+    """Equal, loose file, below, elsewhere, above, nothing recorded."""
+    k = F.col("p_partkey") % 6
+    root = F.when(k == 0, "/lib").when(k == 1, "/tmp").when(k == 2, F.concat(F.lit("/lib/"), "p_brand")).when(k == 3, F.concat(F.lit("/"), "p_brand")).when(k == 4, "/lib").otherwise("/lib/kit")
+    recorded = F.when(k == 4, "/lib/kit").when(k < 4, "/lib")
+    found = I.root_note(root, recorded, k == 1)
+    return X.table(s, d, "part").select("p_partkey", found["root"].alias("root"), found["note"].alias("note"))
+
+
+@add("a27_action_totals", f"{ctes('names')} SELECT CASE WHEN p_partkey % 6 IN (1, 3, 4) THEN 'skip-tagged' ELSE 'extract' END AS action, count(*) AS n, sum(size)::BIGINT AS bytes FROM names GROUP BY 1")
+def _(s, d):
+    return M.action_totals(X.names(s, d).select(F.when(I.skipped(F.col("name")), "skip-tagged").otherwise("extract").alias("action"), "size"))
+
+
+@add("a28_walk_counts", "SELECT count(*) FILTER (WHERE p_partkey % 10 > 1) AS kept, count(*) FILTER (WHERE p_partkey % 10 = 1) AS vanished, count(*) FILTER (WHERE p_partkey % 10 = 0) AS \"new\" FROM part")
+def _(s, d):
+    rel = X.table(s, d, "part").select(F.col("p_partkey").alias("rel"))
+    return M.walk_counts(rel.filter("rel % 10 <> 0"), rel.filter("rel % 10 <> 1"))
+
+
+_POSES = "poses AS (SELECT vec_id AS id, ['geometry', 'ensemble', 'vlm'][vec_id % 3 + 1] AS source, CASE vec_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS arbitrated FROM embeddings)"
+
+
+def _poses(s, d):
+    source = F.element_at(F.array(*map(F.lit, ["geometry", "ensemble", "vlm"])), (F.col("vec_id") % 3 + 1).cast("int"))
+    return X.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), source.alias("source"), F.when(F.col("vec_id") % 4 == 0, True).when(F.col("vec_id") % 4 == 1, False).alias("arbitrated"))
+
+
+@add("a29_pose_census", f"WITH {_POSES} SELECT source, arbitrated, count(*) AS n FROM poses GROUP BY ALL")
+def _(s, d):
+    return M.pose_census(_poses(s, d))
+
+
+@add("k14_kept_poses", f"WITH {_POSES} SELECT * FROM poses WHERE source = 'vlm'")
+def _(s, d):
+    return M.kept_poses(_poses(s, d))
+
+
+@add("a30_image_delta", "SELECT row_id, list_max(t) AS max_delta, len(list_filter(t, lambda x: x > 0)) AS n_differing, round(len(list_filter(t, lambda x: x > 0)) / len(t), 6) AS share FROM (SELECT a.vec_id // 2 AS row_id, list_transform(list_zip(a.embedding, b.embedding), lambda p: abs(floor(p[1]::DOUBLE * 16)::BIGINT - floor(p[2]::DOUBLE * 16)::BIGINT)) AS t FROM embeddings a JOIN embeddings b ON a.vec_id % 2 = 0 AND b.vec_id = a.vec_id + 1)")
+def _(s, d):
+    e = X.table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 16)).alias("p"))
+    a, b = e.filter("vec_id % 2 = 0").select(F.expr("vec_id div 2").alias("row_id"), F.col("p").alias("a")), e.filter("vec_id % 2 = 1").select(F.expr("vec_id div 2").alias("row_id"), F.col("p").alias("b"))
+    got = E.image_delta(F.col("a"), F.col("b"))
+    return a.join(b, "row_id").select("row_id", got["max_delta"].alias("max_delta"), got["n_differing"].alias("n_differing"), F.round(got["share"], 6).alias("share"))
+
+
+_ANSWERS = "q AS (SELECT l.doc_id AS stem, l.quality AS gold, (d.n_chars >= 500)::INT AS long, CASE WHEN l.doc_id % 7 <> 0 THEN 1 - l.toxic END AS clean FROM labels l JOIN documents d ON l.doc_id = d.doc_id), answers AS (SELECT stem, gold, 'long' AS config, long AS pick FROM q UNION ALL SELECT stem, gold, 'clean', clean FROM q)"
+
+
+def _answers(s, d):
+    q = X.table(s, d, "labels").join(X.table(s, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    picks = F.array(F.struct(F.lit("long").alias("config"), (F.col("n_chars") >= 500).cast("int").alias("pick")), F.struct(F.lit("clean").alias("config"), F.when(F.col("doc_id") % 7 != 0, (1 - F.col("toxic")).cast("int")).alias("pick")))
+    return q.select(F.col("doc_id").alias("stem"), F.col("quality").alias("gold"), F.inline(picks))
+
+
+@add("a34_config_accuracy", f"WITH {_ANSWERS} SELECT config, count(*) FILTER (WHERE pick = gold) AS \"right\", count(*) FILTER (WHERE pick IS NULL) AS unanswered, count(*) AS n FROM answers GROUP BY 1")
+def _(s, d):
+    return E.config_accuracy(_answers(s, d))
+
+
+@add("a34_disagreeing", f"WITH {_ANSWERS} SELECT stem, count(DISTINCT coalesce(pick, -1)) > 1 AS disagree FROM answers GROUP BY 1")
+def _(s, d):
+    return E.disagreeing(_answers(s, d))
+
+
+@add("a34_changed_answers", f"WITH {_ANSWERS} SELECT b.config, a.stem, a.pick AS before, b.pick AS after FROM answers a JOIN answers b ON a.stem = b.stem AND a.config = 'long' AND b.config = 'clean' WHERE a.pick IS DISTINCT FROM b.pick".replace("AS before", 'AS "before"').replace("AS after", 'AS "after"'))
+def _(s, d):
+    return E.changed_answers(_answers(s, d), "long")

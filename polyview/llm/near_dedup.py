@@ -13,7 +13,8 @@ in square blocks, by signatures; pairs that may reach the threshold are verified
 earlier links have joined their components.
 
 Words are runs without ASCII white space, A-Z lower-cased, as bytes.  Null and blank texts have an empty
-set and no links.  Rows that share an id fall together in one result row for their first set.  Other columns are ignored.
+set and no links.  Every row has its result row; rows that share an id each have the class of their own set.  Rows with a null id
+are in no class and are kept.  Other columns are ignored.
 """
 
 from __future__ import annotations

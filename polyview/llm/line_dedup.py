@@ -2,8 +2,8 @@
 
 A rolling hash over the digests of each line and the line before it decides where chunks end, so that lines inserted in one
 copy move no border farther on.  A chunk of two or more lines that occurs again anywhere is removed at all places but
-its first (smallest document id, then place).  Candidates come from a count of chunk hashes; what is removed has
-been grouped by its very bytes.
+its first (smallest document id, then place).  Chunks are grouped by their very bytes; a hash stands for a
+chunk afterwards only if all chunks with that hash were found to hold the same bytes.
 
 Null text is kept null and has no lines.  Rows with the same id and text count as one document and get the same result.
 Other columns pass through, but input columns named as the results are replaced.
@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from polyview.llm.shared import stage_table
+
 #: A border follows about one line in so many.
 SPACING = 3
 
@@ -39,11 +41,18 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """The rows of ``docs`` with repeated chunks gone, and n_lines, n_removed_lines."""
     docs = docs.drop("n_lines", "n_removed_lines").withColumn("_row", F.xxhash64(id_col, text_col))
     chunks = line_chunks(docs, id_col, text_col).filter("n_lines > 1").withColumn("hash", F.xxhash64("text"))
-    common = chunks.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
-    candidates = chunks.join(common, "hash")
-    first = F.min(F.struct(F.col("id"), F.col("row"), F.col("chunk"))).alias("first")
-    groups = candidates.groupBy("hash", "text").agg(F.count("*").alias("n"), first).filter("n > 1").select("hash", "text", F.col("first.row").alias("first_row"), F.col("first.chunk").alias("first_chunk"))
-    gone = candidates.join(groups, ["hash", "text"]).filter("row <> first_row or chunk <> first_chunk")
+    # by bytes, pre-aggregated before the only shuffle of chunk texts; then the number of texts behind a hash
+    first = F.min(F.struct("id", "row", "chunk")).alias("first")
+    groups = chunks.groupBy("hash", "text").agg(F.count("*").alias("n"), first)
+    hashes = groups.select("hash", "n", "first").groupBy("hash").agg(F.count("*").alias("texts"), F.max("n").alias("n"), F.min("first").alias("first")).filter("n > 1")
+    hashes = stage_table(hashes.select("hash", "texts", F.col("first.row").alias("first_row"), F.col("first.chunk").alias("first_chunk")), "hashes")
+    # where all chunks of a hash have been found to hold the same bytes, the hash stands for them
+    again = F.expr("row <> first_row or chunk <> first_chunk")
+    gone = chunks.select("row", "chunk", "hash").join(hashes.filter("texts = 1"), "hash").filter(again).select("row", "chunk")
+    mixed = hashes.filter("texts > 1").select("hash")
+    if mixed.limit(1).count():  # hashes that differing chunks share: by bytes once more
+        exact = groups.join(mixed, "hash", "left_semi").filter("n > 1").select("hash", "text", F.col("first.row").alias("first_row"), F.col("first.chunk").alias("first_chunk"))
+        gone = gone.union(chunks.join(exact, ["hash", "text"]).filter(again).select("row", "chunk"))
     gone = gone.groupBy(F.col("row").alias("_row")).agg(F.collect_set("chunk").alias("_gone"))
     marked = docs.join(gone, "_row", "left")
 

@@ -57,6 +57,18 @@ def test_line_chunks(docs):
     assert rows[1].text is None
 
 
+def test_line_chunks_with_clashing_hashes(docs, monkeypatch):
+    """Chunks that differ but share a hash are told apart by their bytes."""
+    from polyview.llm import line_dedup as L
+
+    more = docs.unionByName(docs.withColumn("doc_id", docs.doc_id + 100))
+    want = sorted(map(str, L.remove_repeated_chunks(more).collect()))
+    assert any("n_removed_lines=0" not in r for r in want)
+    real = L.F.xxhash64
+    monkeypatch.setattr(L.F, "xxhash64", lambda *a: real(*a) if len(a) > 1 else real(*a) % 2)
+    assert sorted(map(str, L.remove_repeated_chunks(more).collect())) == want
+
+
 def test_token_ids_round_trip(docs):
     from tokenizers import Tokenizer
 

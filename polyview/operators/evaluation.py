@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def accuracy(predictions: DataFrame, pooled: dict[str, list[str]]) -> DataFrame:
@@ -57,3 +58,18 @@ def changed_answers(answers: DataFrame, base: str) -> DataFrame:
     before = answers.filter(F.col("config") == base).select("stem", F.col("pick").alias("before"))
     after = answers.filter(F.col("config") != base).select("stem", "config", F.col("pick").alias("after"))
     return after.join(before, "stem").filter(~F.col("before").eqNullSafe(F.col("after"))).select("config", "stem", "before", "after")
+
+
+def sweep_noise(points: DataFrame) -> DataFrame:
+    """One row for points (batch, seconds), one per repetition: spread of the median rates, median jitter, and whether the spread is noise."""
+    by_batch = points.groupBy("batch").agg(F.median("seconds").alias("mid"), ((F.max("seconds") - F.min("seconds")) / F.median("seconds")).alias("jitter"))
+    rates = by_batch.select("jitter", (F.col("batch") / F.col("mid")).alias("rate"))
+    out = rates.agg(((F.max("rate") - F.min("rate")) / F.median("rate")).alias("spread"), F.median("jitter").alias("jitter"))
+    return out.withColumn("flat", F.col("spread") <= 2 * F.col("jitter"))
+
+
+def every_kth(files: DataFrame, by: str, order: str, k: int) -> DataFrame:
+    """A fixed sample of each collection: every (n div k)-th file in order, k at most; all of them where there are fewer."""
+    group = Window.partitionBy(by)
+    placed = files.withColumn("_n", F.row_number().over(group.orderBy(order)) - 1).withColumn("_step", F.greatest(F.lit(1), F.floor(F.count("*").over(group) / k)))
+    return placed.filter((F.col("_n") % F.col("_step") == 0) & (F.col("_n") < F.col("_step") * k)).drop("_n", "_step")

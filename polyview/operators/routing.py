@@ -49,3 +49,29 @@ def in_flight(moves: DataFrame) -> DataFrame:
     """Running sum of +1 admissions and -1 retirements."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     return moves.withColumn("in_flight", F.sum("change").over(w))
+
+
+def resident_bytes(moves: DataFrame, by: str, order: list[str], budget: int) -> DataFrame:
+    """Running sum of signed bytes per renderer, and whether it lies over the (soft) budget."""
+    so_far = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return moves.withColumn("resident", F.sum("bytes").over(so_far)).withColumn("over", F.col("resident") > budget)
+
+
+#: Statuses that are the environment's and not the request's, and reasons that judge the request.
+TRANSIENT_STATUS = [401, 403, 404, 408, 409, 425]
+REJECTED_REASONS = ["SAFETY", "BLOCKLIST", "PROHIBITED_CONTENT", "RECITATION", "SPII", "IMAGE_SAFETY"]
+
+
+def call_outcome(status: Column, body: Column) -> Column:
+    """answered, rejected, rate_limited or unavailable.  Only a stated verdict rejects: no status, no JSON or no answer is unavailable."""
+    parts = F.get_json_object(body, "$.candidates[0].content.parts")
+    finish, block = F.get_json_object(body, "$.candidates[0].finishReason"), F.get_json_object(body, "$.promptFeedback.blockReason")
+    return (
+        F.when(status.isin(429, 503), "rate_limited")
+        .when(status.isNull() | status.isin(TRANSIENT_STATUS) | (status >= 500), "unavailable")
+        .when(status >= 400, "rejected")
+        .when(F.try_parse_json(body).isNull(), "unavailable")
+        .when(parts.isNotNull() & (parts != "[]"), "answered")
+        .when(block.isNotNull() | F.coalesce(finish.isin(REJECTED_REASONS), F.lit(False)), "rejected")
+        .otherwise("unavailable")
+    )

@@ -572,3 +572,33 @@ def _(s, d):
 @add("a34_changed_answers", f"WITH {_ANSWERS} SELECT b.config, a.stem, a.pick AS before, b.pick AS after FROM answers a JOIN answers b ON a.stem = b.stem AND a.config = 'long' AND b.config = 'clean' WHERE a.pick IS DISTINCT FROM b.pick".replace("AS before", 'AS "before"').replace("AS after", 'AS "after"'))
 def _(s, d):
     return E.changed_answers(_answers(s, d), "long")
+
+
+@add("a31_sweep_noise", "WITH b AS (SELECT user_id % 8 + 1 AS batch, median(abs(value) + 1) AS mid, (max(abs(value) + 1) - min(abs(value) + 1)) / median(abs(value) + 1) AS jitter FROM events GROUP BY 1), o AS (SELECT (max(batch / mid) - min(batch / mid)) / median(batch / mid) AS spread, median(jitter) AS jitter FROM b) SELECT round(spread, 6) AS spread, round(jitter, 6) AS jitter, spread <= 2 * jitter AS flat FROM o")
+def _(s, d):
+    e = X.table(s, d, "events").select((F.col("user_id") % 8 + 1).alias("batch"), (F.abs("value") + 1).alias("seconds"))
+    return E.sweep_noise(e).select(F.round("spread", 6).alias("spread"), F.round("jitter", 6).alias("jitter"), "flat")
+
+
+@add("a32_resident_bytes", "WITH m AS (SELECT user_id, event_id, sum(CASE WHEN event_type = 'error' THEN -2 ELSE 1 END * (event_id % 100)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS resident FROM events) SELECT *, resident > 500 AS over FROM m".replace("AS over", 'AS "over"'))
+def _(s, d):
+    sign = F.when(F.col("event_type") == "error", -2).otherwise(1)
+    moves = X.table(s, d, "events").select("user_id", "event_id", "ts", (sign * (F.col("event_id") % 100)).cast("long").alias("bytes"))
+    return T.resident_bytes(moves, "user_id", ["ts", "event_id"], 500).select("user_id", "event_id", "resident", "over")
+
+
+@add("a35_benchmark_sample", f"{ctes('views', 'models')}, {_POSES}, p AS (SELECT row_id, rel, split_part(rel, '/', 1) AS root FROM models JOIN poses ON row_id = id), n AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY row_id) - 1 AS nth, greatest(1, count(*) OVER (PARTITION BY root) // 5) AS step FROM p) SELECT row_id, rel, root FROM n WHERE nth % step = 0 AND nth < step * 5")
+def _(s, d):
+    """Five posed models of every collection, evenly spaced."""
+    posed = X.models(s, d).join(_poses(s, d).select(F.col("id").alias("row_id")), "row_id").select("row_id", "rel", F.substring_index("rel", "/", 1).alias("root"))
+    return E.every_kth(posed, "root", "row_id", 5)
+
+
+@add("n23_call_outcome", "SELECT event_id, CASE event_id % 11 WHEN 7 THEN 'rate_limited' WHEN 8 THEN 'unavailable' WHEN 9 THEN 'rejected' WHEN 10 THEN 'unavailable' ELSE CASE event_id % 7 WHEN 0 THEN 'answered' WHEN 1 THEN 'rejected' WHEN 3 THEN 'rejected' ELSE 'unavailable' END END AS outcome FROM events")
+def _(s, d):
+    """An answer, a verdict, no room to answer, a blocked prompt, a torn body, an empty one, none."""
+    bodies = ['{"candidates":[{"finishReason":"STOP","content":{"parts":[{"text":"3"}]}}]}', '{"candidates":[{"finishReason":"SAFETY"}]}', '{"candidates":[{"finishReason":"MAX_TOKENS","content":{"parts":[]}}]}', '{"promptFeedback":{"blockReason":"OTHER"}}', '{"candid', "{}", None]
+    k = F.col("event_id") % 11
+    status = F.when(k == 7, 429).when(k == 8, 404).when(k == 9, 400).when(k < 7, 200)
+    body = F.element_at(F.array(*map(F.lit, bodies)), (F.col("event_id") % 7 + 1).cast("int"))
+    return X.table(s, d, "events").select("event_id", T.call_outcome(status, body).alias("outcome"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +51,27 @@ def write_snapshot(rows: DataFrame, base: str) -> None:
 def read_snapshot(spark: SparkSession, base: str) -> DataFrame:
     newest = spark.read.parquet(f"{base}/versions").agg(F.max_by("place", "at").alias("place")).first()
     return spark.read.parquet(f"{base}/data/{newest['place']}")
+
+
+def write_stamp(spark: SparkSession, base: str, version: int, note: str = "") -> None:
+    """The cache's version; write it after all else, so that a torn run keeps the old one."""
+    write_snapshot(spark.range(1).select(F.lit(version).alias("version"), F.lit(note).alias("note")).coalesce(1), base)
+
+
+def append_embeddings(rows: DataFrame, path: str) -> None:
+    """Add rows (embed_key, view, embedding) whose key the store does not hold; a failed job leaves no torn entry."""
+    try:
+        held = rows.sparkSession.read.schema(rows.schema).parquet(path).select("embed_key").distinct()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        held = None
+    fresh = rows.dropDuplicates(["embed_key", "view"])
+    (fresh if held is None else fresh.join(held, "embed_key", "left_anti")).write.mode("append").parquet(path)
+
+
+def restore_plan(src: DataFrame, dst: DataFrame) -> DataFrame:
+    """The order in which times of (rel, is_dir, mtime) are set again: files first, then folders, deepest first; only where they differ."""
+    both = src.join(dst.select("rel", F.col("mtime").alias("now")), "rel").filter("mtime <> now")
+    depth = F.size(F.split("rel", "/"))
+    return both.select("rel", "is_dir", "mtime", depth.alias("depth")).orderBy("is_dir", F.desc("depth"), "rel")

@@ -36,3 +36,20 @@ def test_number_text(spark):
     values = [0.0, -0.0, 1.0, -1.0, 20.0, 100.0, 0.5, 1 / 3, 123456.7, 1234567.0, 1e-4, 1.5e-5, -10.0, 100000.0, 999999.5, 1e10, 0.70710678]
     got = spark.createDataFrame([(v,) for v in values], "v double").select(general_number(F.col("v"))).collect()
     assert [r[0] for r in got] == [f"{v:g}" for v in values]
+
+
+def test_stamp_store_and_restore_plan(spark, tmp_path):
+    from polyview.sources.sinks import append_embeddings, read_snapshot, restore_plan, write_stamp
+
+    for version in (3, 4):
+        write_stamp(spark, f"{tmp_path}/stamp", version, "keys")
+    assert read_snapshot(spark, f"{tmp_path}/stamp").first()["version"] == 4
+    row = "embed_key string, view int, embedding array<float>"
+    append_embeddings(spark.createDataFrame([("a", 0, [1.0]), ("a", 1, [2.0]), ("a", 1, [2.0])], row), f"{tmp_path}/e")
+    append_embeddings(spark.createDataFrame([("a", 0, [9.0]), ("b", 0, [3.0])], row), f"{tmp_path}/e")
+    got = sorted((r.embed_key, r.view, r.embedding[0]) for r in spark.read.parquet(f"{tmp_path}/e").collect())
+    assert got == [("a", 0, 1.0), ("a", 1, 2.0), ("b", 0, 3.0)]
+    tree = "rel string, is_dir boolean, mtime long"
+    src = spark.createDataFrame([("d", True, 1), ("d/e", True, 2), ("d/e/f", False, 3), ("same", False, 4)], tree)
+    dst = spark.createDataFrame([("d", True, 9), ("d/e", True, 9), ("d/e/f", False, 9), ("same", False, 4)], tree)
+    assert [r.rel for r in restore_plan(src, dst).collect()] == ["d/e/f", "d/e", "d"]

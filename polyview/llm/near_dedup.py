@@ -36,6 +36,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLOCK = 512
+_LONG = 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -59,15 +60,18 @@ def word_hashes(data: np.ndarray) -> np.ndarray:
     lengths = ends - starts
     out = np.zeros(len(starts), np.uint64)
     codes = _BYTES[_LOWER[data]]
-    for k in range(int(lengths.max()) if lengths.max() <= 64 else 0):  # Horner's rule, all words side by side
+    for k in range(min(int(lengths.max()), _LONG)):  # Horner's rule, all words side by side
         live = np.flatnonzero(lengths > k)
         if len(live) < len(out):
             out[live] = out[live] * _ODD + codes[starts[live] + k]
         else:
             out = out * _ODD + codes[starts + k]
-    if lengths.max() > 64:  # very long words: by sums of weighted codes
-        power = np.cumprod(np.full(int(lengths.max()), _ODD))
-        out = np.array([(codes[s:e] * power[: e - s][::-1]).sum() for s, e in zip(starts, ends)], np.uint64)
+    if lengths.max() > _LONG:  # very long words: the same sums, of weighted codes
+        power = np.full(int(lengths.max()), _ODD)
+        power[0] = 1
+        power = np.cumprod(power)
+        for k in np.flatnonzero(lengths > _LONG):
+            out[k] = (codes[starts[k] : ends[k]] * power[: lengths[k]][::-1]).sum()
     return _mix(out + lengths.astype(np.uint64))
 
 

@@ -147,6 +147,23 @@ def test_near_duplicates(docs):
     assert got[6][1] == 6 and got[7][1:] == (6, False) and got[9][1] == 8  # 20 of 23 shingles
 
 
+def test_long_words_leave_other_hashes_alone(spark):
+    from polyview.llm import near_dedup as N
+
+    def plain(word):
+        h = 0
+        for c in word.lower():
+            h = (h * int(N._ODD) + int(N._BYTES[c])) % 2**64
+        return N._mix(np.array([h + len(word)], np.uint64))[0]
+
+    words = [b"a", b"Bc", b"x" * 64, b"y" * 65, bytes(range(33, 133)), b"end"]
+    assert N.word_hashes(np.frombuffer(b" ".join(words), np.uint8)).tolist() == [plain(w) for w in words]
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, text), (2, text + " " + "u" * 100), (3, text.replace("w0", "v" * 100)), (4, " ".join(f"z{i}" for i in range(200)))]
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_inner_products(spark):
     from polyview.llm.inner_product import top_products
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from polyview.operators.identity import escapes
 
@@ -52,13 +53,18 @@ def content_elsewhere(entries: DataFrame, files: DataFrame) -> DataFrame:
     return entries.join(have, ["parent", "base", "size"], "left").groupBy("zip").agg(F.bool_and(F.col("hit").isNotNull()).alias("elsewhere"))
 
 
-def divert_collisions(plans: DataFrame, suffix: str = "-2", rounds: int = 10) -> DataFrame:
-    """zip, dest with colliding destinations moved on (all but the smallest zip name) until none collide."""
-    for _ in range(rounds):
-        first = plans.groupBy("dest").agg(F.min("zip").alias("first"), F.count("*").alias("n"))
-        if first.filter("n > 1").limit(1).count() == 0:
-            break
-        plans = plans.join(first, "dest").select("zip", F.when(F.col("zip") == F.col("first"), F.col("dest")).otherwise(F.concat("dest", F.lit(suffix))).alias("dest"))
+def divert_collisions(plans: DataFrame, suffix: str = "-2") -> DataFrame:
+    """zip, dest with colliding destinations moved on (all but the smallest zip name) until none collide.
+
+    The n-th zip of a destination takes n - 1 suffixes at once; a further round is for names that met another destination
+    so.  It ends: a name once taken stays taken, so no zip moves on by more suffixes than there are zips.  Zips without
+    a destination stay without.
+    """
+    nth = F.row_number().over(Window.partitionBy("dest").orderBy("zip"))
+    while plans.filter("dest is not null").groupBy("dest").count().filter("count > 1").limit(1).count():
+        plans = plans.select("zip", F.concat("dest", F.repeat(F.lit(suffix), nth - 1)).alias("dest"))
+        if plans.sparkSession.sparkContext.getCheckpointDir():  # else each round runs the earlier ones again
+            plans = plans.checkpoint()
     return plans
 
 

@@ -38,6 +38,15 @@ def test_collisions_are_gone(spark):
     assert got["dest"].is_unique
 
 
+def test_large_collision_groups_are_gone(spark):
+    from polyview.operators.maintenance import divert_collisions
+
+    rows = [(i, "d") for i in range(25)] + [(i, "d" + "-2" * 22) for i in range(100, 103)] + [(200, "e"), (300, None), (301, None)]
+    got = {r.zip: r.dest for r in divert_collisions(spark.createDataFrame(rows, "zip long, dest string")).collect()}
+    assert sorted(got) == sorted(z for z, _ in rows) and got[0] == "d" and got[200] == "e" and got[300] is got[301] is None
+    assert {got[z] for z, d in rows if z < 200} == {"d" + "-2" * k for k in range(28)}
+
+
 def test_flat_scope_has_zero_z(spark):
     from polyview.operators.retrieval import robust_z
 

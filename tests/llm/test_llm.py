@@ -164,6 +164,20 @@ def test_long_words_leave_other_hashes_alone(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
+def test_pipeline_drops_near_copies_from_four_fifths(spark):
+    import corpus_pipeline
+
+    def similarity(a, b):
+        a, b = ({tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in (a, b))
+        return len(a & b) / len(a | b)
+
+    text = " ".join(f"w{i}" for i in range(200))
+    near, far = (" ".join("x" if i % step == 9 else f"w{i}" for i in range(200)) for step in (50, 30))
+    assert 0.8 <= similarity(text, near) < 0.85 and max(similarity(text, far), similarity(near, far)) < 0.8
+    docs = spark.createDataFrame([(1, text), (2, near), (3, far)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3]
+
+
 def test_inner_products(spark):
     from polyview.llm.inner_product import top_products
 

@@ -6,8 +6,9 @@ task rows go by descending length in strips.  A pair's partial sum over the firs
 coordinates plus the Cauchy-Schwarz bound on the rest decides whether its exact integer product is needed, and a strip
 whose longest row cannot reach any query's k-th score ends the task.  Scores are exact 64-bit integers.
 
-Vectors that are null or hold a null or non-finite number take no part; a query's own row is every row with its id.
-Ties go to the smaller id.  Rows that repeat an id are candidates one by one.
+Vectors that are null or hold a null or non-finite number take no part, nor do rows with a null id; an empty vector meets no
+other.  Vectors of different lengths are not compared.  A query's own row is every row with its id.  Ties go to the smaller id.
+Rows that repeat an id are candidates one by one, and query rows that share an id answer as one query.  Other columns are ignored.
 """
 
 from __future__ import annotations

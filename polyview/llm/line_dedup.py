@@ -5,8 +5,9 @@ copy move no border farther on.  A chunk of two or more lines that occurs again
 its first (smallest document id, then place).  Chunks are grouped by their very bytes; a hash stands for a
 chunk afterwards only if all chunks with that hash were found to hold the same bytes.
 
-Null text is kept null and has no lines.  Rows with the same id and text count as one document and get the same result.
-Other columns pass through, but input columns named as the results are replaced.
+Null text is kept null and has no lines.  Rows with the same id and text count as one document and get the same result; a
+document is known by the 128-bit digest of both.  Null ids come first.
+Other columns pass through; those named as the results are replaced, and no other name is reserved.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ def _border(digests: Column, i: Column) -> Column:
     return F.conv(F.substring(F.md5(two), 1, 8), 16, 10).cast("long") % SPACING == 0
 
 
-def line_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row, id, chunk number, number of lines and bytes of every chunk."""
-    lined = docs.filter(F.col(text_col).isNotNull()).select(F.col("_row").alias("row"), F.col(id_col).alias("id"), F.split(text_col, "\n", -1).alias("lines"))
+def line_chunks(docs: DataFrame) -> DataFrame:
+    """row, id, chunk number, number of lines and bytes of every chunk of documents (row, id, text)."""
+    lined = docs.filter("text is not null").select("row", "id", F.split("text", "\n", -1).alias("lines"))
     lined = lined.withColumn("digests", F.transform("lines", F.md5))
     last = F.size("lines") - 1
     ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | _border(F.col("digests"), i))
@@ -39,8 +40,11 @@ def line_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with repeated chunks gone, and n_lines, n_removed_lines."""
-    docs = docs.drop("n_lines", "n_removed_lines").withColumn("_row", F.xxhash64(id_col, text_col))
-    chunks = line_chunks(docs, id_col, text_col).filter("n_lines > 1").withColumn("hash", F.xxhash64("text"))
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
+    # input columns travel in one struct, so that no name of theirs meets one used here
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    boxed = boxed.withColumn("row", F.unhex(F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("\n"), "text"))))
+    chunks = line_chunks(boxed).filter("n_lines > 1").withColumn("hash", F.xxhash64("text"))
     # by bytes, pre-aggregated before the only shuffle of chunk texts; then the number of texts behind a hash
     first = F.min(F.struct("id", "row", "chunk")).alias("first")
     groups = chunks.groupBy("hash", "text").agg(F.count("*").alias("n"), first)
@@ -53,20 +57,19 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     if mixed.limit(1).count():  # hashes that differing chunks share: by bytes once more
         exact = groups.join(mixed, "hash", "left_semi").filter("n > 1").select("hash", "text", F.col("first.row").alias("first_row"), F.col("first.chunk").alias("first_chunk"))
         gone = gone.union(chunks.join(exact, ["hash", "text"]).filter(again).select("row", "chunk"))
-    gone = gone.groupBy(F.col("row").alias("_row")).agg(F.collect_set("chunk").alias("_gone"))
-    marked = docs.join(gone, "_row", "left")
+    gone = gone.groupBy("row").agg(F.collect_set("chunk").alias("gone"))
+    marked = boxed.select("doc", "row").join(gone, "row", "left").withColumn("text", F.col("doc").getField(text_col))
 
-    lines = F.split(text_col, "\n", -1)
-    digests = F.transform("_lines", F.md5)
-    last = F.size("_lines") - 1
-    ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | _border(F.col("_digests"), i))
-    touched = marked.filter("_gone is not null").withColumn("_lines", lines).withColumn("_digests", digests).withColumn("_ends", ends)
-    part = F.transform("_ends", lambda e, k: F.when(~F.array_contains("_gone", k), F.slice("_lines", F.coalesce(F.get("_ends", k - 1), F.lit(-1)) + 2, e - F.coalesce(F.get("_ends", k - 1), F.lit(-1)))))
-    touched = touched.withColumn("_kept", F.flatten(F.filter(part, lambda x: x.isNotNull())))
-    columns = [F.array_join("_kept", "\n").alias(text_col) if c == text_col else F.col(c) for c in docs.columns if c != "_row"]
-    touched = touched.select(*columns, F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_removed_lines"))
-    whole = marked.filter("_gone is null").withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-    whole = whole.select(*[c for c in docs.columns if c != "_row"], F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed_lines"))
+    last = F.size("lines") - 1
+    ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | _border(F.col("digests"), i))
+    touched = marked.filter("gone is not null").withColumn("lines", F.split("text", "\n", -1)).withColumn("digests", F.transform("lines", F.md5)).withColumn("ends", ends)
+    begin = lambda k: F.coalesce(F.get("ends", k - 1), F.lit(-1)) + 2
+    part = F.transform("ends", lambda e, k: F.when(~F.array_contains("gone", k), F.slice("lines", begin(k), e + 2 - begin(k))))
+    touched = touched.withColumn("kept", F.flatten(F.filter(part, lambda x: x.isNotNull())))
+    unbox = lambda new: [new.alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in columns]
+    touched = touched.select(*unbox(F.array_join("kept", "\n")), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_removed_lines"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
+    whole = marked.filter("gone is null").select(*unbox(F.col("text")), n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed_lines"))
     return touched.unionByName(whole)
 
 
@@ -82,4 +85,5 @@ r AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, chunk) AS
 o AS (SELECT doc_id, text, string_agg(body, chr(10) ORDER BY chunk) FILTER (WHERE lines = 1 OR nth = 1) AS kept,
       sum(lines) AS n_lines, coalesce(sum(lines) FILTER (WHERE lines > 1 AND nth > 1), 0) AS gone FROM r GROUP BY ALL)
 SELECT doc_id, md5(coalesce(kept, '')) AS kept_md5, n_lines::BIGINT AS n_lines, gone::BIGINT AS n_removed_lines FROM o
+UNION ALL SELECT doc_id, NULL, 0, 0 FROM documents WHERE text IS NULL
 """

@@ -1,22 +1,32 @@
-"""Main text of web pages: page structure, and differencing against the page with the nearest URL (operator 10).
+"""Main text of web pages: nearest-URL page differencing, guarded by page structure (operator 10).
 
 A page becomes lines, one a block, each marked by where it stands: in boilerplate (navigation, page
 headers and footers, sidebars, forms, notices, adverts, reader comments, scripts and styles), in the main
-part (``article``, else ``main``), or undecided.  Pages are put in order of host and URL path, and each is paired with
-the neighbour in that order whose path shares the longest beginning (with both, if they share as much).  A longest common subsequence aligns the lines of a pair.
-Shared lines are deleted unless they stand in the main part: an article may rightly quote, or be, another one, and
-the contract drops nothing of it.  Where a page marks a main part, only that part is kept.
+part (``article``, else ``main``), or undecided.
+
+Every page with a URL is differenced.  Pages are put in order of host and URL path, and each is paired with the neighbour in that
+order whose path shares the longest beginning (with both, if they share as much).  A longest common
+subsequence aligns the lines of a pair, and shared lines are deleted.  Structure only guards and completes: a shared line
+in the main part stays, because an article may rightly quote, or be, another one and the contract drops nothing
+of it; lines that no neighbour shares go if they stand in boilerplate or beside a marked main part.
+``n_shared`` and ``n_beside`` count the lines that went for the one and the other reason.
 
 Null or empty html: empty text.  A page without a URL or without a neighbour on its host loses no line by
-differencing.  Repeated rows are rows of their own.  Other columns are ignored.
+differencing.  A page that would lose all its undecided lines keeps them (its twin is a copy, not a frame).
+Repeated rows, null ids and null URLs are rows of their own.  Other columns are ignored.  All work on a page is linear in its length, but for the
+alignment, which takes time by the product of the two pages' lines over 64 and memory by their sum.
+Lines of a pair are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -25,11 +35,13 @@ from pyspark.sql.window import Window
 
 from polyview.llm.shared import stage_table
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\shidden(?:[\s=/]|\Z)|display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[^a-z]+")
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp"}
+_RAW_ENDS = {name: re.compile(rf"</{name}[\s/>]", re.I) for name in _RAW}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody tfoot thead tr ul".split())
 _AWAY = {"head", "nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "svg", "object", "audio", "video", "canvas"}
@@ -42,6 +54,7 @@ AWAY, OPEN, MAIN = 0, 1, 2
 def page_lines(source: str) -> list[tuple[str, int]]:
     """(text, region) of every block with text, in page order."""
     stack: list[tuple[str, bool, int]] = []  # name, boilerplate, part: 0 none, 1 main, 2 article
+    open_tags: Counter[str] = Counter()
     lines: list[tuple[str, bool, int]] = []
     held: list[str] = []
     away, part = False, 0
@@ -52,39 +65,60 @@ def page_lines(source: str) -> list[tuple[str, int]]:
         if text:
             lines.append((text, away, part))
 
-    at, n = 0, len(source)
+    def close(k: int) -> None:
+        for gone in stack[k:]:
+            open_tags[gone[0]] -= 1
+        del stack[k:]
+
+    at, n, last, shape = 0, len(source), source.rfind(">"), _TAG
     while at < n:
-        tag = _TAG.search(source, at)
-        if tag is None:
-            rest = source[at:]
-            cut = re.search(r"<[a-zA-Z/!][^>]*\Z", rest)  # a page that ends within a tag
-            held.append(rest[: cut.start()] if cut else rest)
+        start = source.find("<", at)
+        if start < 0:
+            held.append(source[at:])
             break
-        held.append(source[at : tag.start()])
-        at = tag.end()
-        name = (tag[2] or "").lower()
-        if not name:
+        held.append(source[at:start])
+        after = source[start + 1 : start + 2]
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            at = n if end < 0 else end + 3
             continue
+        if start > last and (after.isalpha() or after in ("/", "!")):  # the page ends within a tag
+            break
+        if after in ("!", "?"):
+            end = source.find(">", start)
+            at = n if end < 0 else end + 1
+            continue
+        tag = shape.match(source, start)
+        if tag is None and shape is _TAG and _LOOSE_TAG.match(source, start):
+            shape = _LOOSE_TAG  # a quote that never closes: from here on tags end at the first >
+            tag = shape.match(source, start)
+        if tag is None:
+            held.append("<")
+            at = start + 1
+            continue
+        at = tag.end()
+        name = tag[2].lower()
         if name == "br" or name in ("td", "th"):
             held.append(" ")
         if name in _BLOCKS or name in _AWAY or name in _RAW:
             flush()
         if tag[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if open_tags[name]:
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                close(k)
         elif name in _RAW:
-            end = re.compile(rf"</{name}[\s/>]", re.I).search(source, at)
+            end = _RAW_ENDS[name].search(source, at)
             at = n if end is None else end.start()
-            continue_at = source.find(">", at)
-            at = n if continue_at < 0 else continue_at + 1
+            beyond = source.find(">", at)
+            at = n if beyond < 0 else beyond + 1
             continue
         elif name not in _VOID and not tag[3].endswith("/"):
             if name == "p" or name in _BLOCKS:  # an open paragraph ends here
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == "p":
-                        del stack[k:]
+                        close(k)
                         break
                     if stack[k][0] in _BLOCKS:
                         break
@@ -95,8 +129,10 @@ def page_lines(source: str) -> list[tuple[str, int]]:
                 roles |= got if attribute.lower() == "role" else set()
             outer = stack[-1][1] if stack else False
             inside = stack[-1][2] if stack else 0
-            gone = outer or name in _AWAY or (name == "header" and inside < 2) or (name not in ("html", "body") and bool(words & _AWAY_WORDS)) or bool(_HIDDEN.search(tag[3]))
+            marked = name not in ("html", "body") and bool(words & _AWAY_WORDS)
+            gone = outer or name in _AWAY or (name == "header" and inside < 2) or marked or bool(_HIDDEN.search(tag[3]))
             stack.append((name, gone, max(inside, 2 if name == "article" else 1 if name == "main" or "main" in roles else 0)))
+            open_tags[name] += 1
         away, part = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
     flush()
     best = max((p for _, gone, p in lines if not gone), default=0)
@@ -105,30 +141,53 @@ def page_lines(source: str) -> list[tuple[str, int]]:
     return [(t, AWAY if gone else OPEN) for t, gone, _ in lines]
 
 
-def shared_lines(mine: list[int], other: list[int]) -> list[bool]:
-    """Which of ``mine`` a longest common subsequence with ``other`` aligns (one row of lengths as a bit set a line)."""
-    rows, state = [], (1 << len(mine)) - 1
-    places: dict[int, int] = {}
+def _prefix_lengths(mine: list[int], other: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``other`` with every beginning of ``mine``, from bits."""
+    n = len(mine)
+    places: dict[int, list[int]] = defaultdict(list)
     for i, x in enumerate(mine):
-        places[x] = places.get(x, 0) | 1 << i
-    full = state
+        places[x].append(i)
+
+    @lru_cache(64)
+    def mask(x: int) -> int:
+        bits = np.zeros(n, np.uint8)
+        bits[places[x]] = 1
+        return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+    full = state = (1 << n) - 1
     for y in other:
-        match = places.get(y, 0)
-        both = state & match
-        state = ((state + both) | (state & ~match)) & full
-        rows.append(state)
-    marked, i = [False] * len(mine), len(mine)
-    j = len(other)
-    # lengths are counts of zero bits below a place; walk back along an optimal alignment
-    length = lambda j, i: (~rows[j - 1] & ((1 << i) - 1)).bit_count() if j and i else 0
-    while i and j:
-        if mine[i - 1] == other[j - 1]:
-            marked[i - 1] = True
-            i, j = i - 1, j - 1
-        elif length(j - 1, i) >= length(j, i - 1):
-            j -= 1
-        else:
-            i -= 1
+        if y in places:
+            match = mask(y)
+            state = ((state + (state & match)) | (state & ~match)) & full
+    bits = np.unpackbits(np.frombuffer(state.to_bytes(-(-n // 8) or 1, "little"), np.uint8), bitorder="little")[:n]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def shared_lines(mine: list[int], other: list[int]) -> list[bool]:
+    """Which of ``mine`` a longest common subsequence with ``other`` aligns: divide and conquer in linear memory."""
+    marked, known = [False] * len(mine), set(mine) & set(other)
+    places = [i for i, x in enumerate(mine) if x in known]
+    a, b = [mine[i] for i in places], [x for x in other if x in known]
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, j, k, m = todo.pop()
+        while i < j and k < m and a[i] == b[k]:
+            marked[places[i]] = True
+            i, k = i + 1, k + 1
+        while i < j and k < m and a[j - 1] == b[m - 1]:
+            j, m = j - 1, m - 1
+            marked[places[j]] = True
+        if i == j or k == m:
+            continue
+        if m - k == 1:
+            hit = next((x for x in range(i, j) if a[x] == b[k]), None)
+            if hit is not None:
+                marked[places[hit]] = True
+            continue
+        half = (k + m) // 2
+        left, right = _prefix_lengths(a[i:j], b[k:half]), _prefix_lengths(a[i:j][::-1], b[half:m][::-1])[::-1]
+        cut = i + int(np.argmax(left + right))
+        todo += [(i, cut, k, half), (cut, j, half, m)]
     return marked
 
 
@@ -137,11 +196,10 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list] = [[], [], []]
         for source in batch.column(2):
             lines = page_lines(source.as_py() or "")
-            undecided = any(r == OPEN for _, r in lines)
-            cols[0].append([t for t, _ in lines] if undecided else [t for t, r in lines if r == MAIN])
-            cols[1].append([r for _, r in lines] if undecided else None)
-            cols[2].append([hash_line(t) for t, _ in lines])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()))))], names=["page_id", "url", "lines", "regions", "hashes"])
+            for c, v in zip(cols, ([t for t, _ in lines], [r for _, r in lines], [hash_line(t) for t, _ in lines])):
+                c.append(v)
+        arrays = [pa.array(c, t) for c, t in zip(cols, (pa.list_(pa.string()), pa.list_(pa.int8()), pa.list_(pa.int64())))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["page_id", "url", "lines", "regions", "hashes"])
 
 
 def hash_line(text: str) -> int:
@@ -159,7 +217,7 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Undecided lines that the nearer neighbour does not share stay."""
+    """Which lines the nearer neighbour (or either of two as near) shares."""
 
     def near(path: str, other: str | None) -> int:
         if other is None:
@@ -182,17 +240,22 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
-    parsed = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(_parse, "page_id long, url string, lines array<string>, regions array<int>, hashes array<long>")
-    parsed = stage_table(parsed.withColumn("key", F.xxhash64("page_id", "url", "hashes")), "pages")
+    """page_id, url, text, n_chars, n_shared, n_beside of every page."""
+    parsed = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    parsed = parsed.mapInArrow(_parse, "page_id long, url string, lines array<string>, regions array<tinyint>, hashes array<long>")
+    # the numbers are written with the rows, so they stay whatever is computed again
+    parsed = stage_table(parsed.withColumn("key", F.monotonically_increasing_id()), "pages")
+    host = F.lower(F.regexp_extract("url", "^[a-zA-Z]+://([^/?#]*)", 1))
     path = F.regexp_replace(F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]*([^?#]*)", 1), "/$", "")
-    light = parsed.filter("url is not null").select("key", F.lower(F.regexp_extract("url", "^[a-zA-Z]+://([^/?#]*)", 1)).alias("host"), path.alias("path"), "page_id", F.col("regions").isNotNull().alias("undecided"), "hashes")
+    light = parsed.filter("url is not null and size(hashes) > 0").select("key", host.alias("host"), path.alias("path"), "page_id", "hashes")
     ordered = light.repartitionByRange("host", "path", "page_id", "key").sortWithinPartitions("host", "path", "page_id", "key")
-    numbered = stage_table(ordered.mapInArrow(_number, "key long, host string, path string, page_id long, undecided boolean, hashes array<bigint>, part int, place long"), "order")
+    numbered = ordered.mapInArrow(_number, "key long, host string, path string, page_id long, hashes array<bigint>, part int, place long")
+    numbered = stage_table(numbered, "order")
     sizes = numbered.groupBy("part").agg(F.count("*").alias("n"))  # one row a part
-    bases = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     placed = numbered.join(F.broadcast(bases), "part").withColumn("nth", F.col("base") + F.col("place"))
-    asking = placed.filter("undecided").select("nth", "key", "host", "path", "hashes")
+    asking = placed.select("nth", "key", "host", "path", "hashes")
 
     def neighbour(step: int, name: str) -> DataFrame:
         return placed.select((F.col("nth") - step).alias("nth"), F.col("host").alias(f"host_{name}"), F.col("path").alias(f"path_{name}"), F.col("hashes").alias(name))
@@ -200,10 +263,14 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     paired = asking.join(neighbour(-1, "before"), "nth", "left").join(neighbour(1, "after"), "nth", "left")
     same = lambda name: F.when(F.col("host") == F.col(f"host_{name}"), F.col(f"path_{name}"))
     paired = paired.select("key", "path", "hashes", same("before").alias("path_before"), "before", same("after").alias("path_after"), "after")
-    gone = paired.mapInArrow(_difference, "key long, gone array<boolean>").dropDuplicates(["key"])
+    shared = paired.mapInArrow(_difference, "key long, gone array<boolean>")
 
-    decided = parsed.filter("regions is null").select("page_id", "url", "lines")
-    rest = parsed.filter("regions is not null").join(gone, "key", "left")
-    kept = F.filter("lines", lambda x, i: (F.get("regions", i) == OPEN) & ~F.coalesce(F.get("gone", i), F.lit(False)))
-    lines = decided.unionByName(rest.select("page_id", "url", kept.alias("lines")))
-    return lines.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), F.array_join("lines", "\n\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    region, gone = lambda i: F.get("regions", i), lambda i: F.coalesce(F.get("gone", i), F.lit(False))
+    every = parsed.join(shared, "key", "left")
+    open_left = F.filter("lines", lambda x, i: (region(i) == OPEN) & ~gone(i))
+    every = every.withColumn("twin", F.size(open_left) == 0)
+    stays = lambda i: (region(i) == MAIN) | ((region(i) == OPEN) & (~gone(i) | F.col("twin")))
+    count = lambda test: F.size(F.filter("lines", lambda x, i: ~stays(i) & test(i))).cast("long")
+    text = F.array_join(F.filter("lines", lambda x, i: stays(i)), "\n\n")
+    every = every.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), text.alias("text"), count(gone).alias("n_shared"), count(lambda i: ~gone(i)).alias("n_beside"))
+    return every.select(id_col, url_col, "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_beside")

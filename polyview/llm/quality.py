@@ -6,7 +6,7 @@ good and on bad documents and the share of good ones, and each document gets the
 of being good.  ``kept`` takes the place of an all-must-pass filter: posterior >= 0.5, and no base failure.
 
 Null text has no words and fails the base rule.  Rows are scored one by one: repeated rows, null ids and other columns make no
-difference, and columns named as the results are replaced.  A repeated 8-word window is found by 64-bit hashes within one text.
+difference; columns named as the results are replaced, and no other name is reserved.  A repeated 8-word window is found by 64-bit hashes within one text.
 """
 
 from __future__ import annotations
@@ -115,14 +115,14 @@ def posterior(vote: tuple[int | None, ...], prior: float, chance: list[tuple[flo
 
 def score_quality(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` of the input with the measures, base_failed, posterior and kept."""
-    results = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "posterior", "kept")
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in results]
-    used = docs.select(*keep, *([text_col] if text_col not in keep else []))
-    measured = base_measures(used, text_col)
+    measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (*measures, "base_failed", "posterior", "kept")]
+    # input columns travel in one struct, so that no name of theirs meets one used here
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(0)]).alias("doc"), F.col(f"`{text_col}`").alias("text"))
+    measured = base_measures(boxed).drop("text")
     rules = votes()
-    drop = [text_col] if text_col not in keep else []
-    voted = stage_table(measured.withColumns({f"v_{k}": v for k, v in rules.items()}).drop(*drop), "quality")
     names = [f"v_{k}" for k in rules]
+    voted = stage_table(measured.withColumns(dict(zip(names, rules.values()))), "quality")
     counted = voted.groupBy(*names).count().collect()  # one row a pattern
     prior, chance = fit_accuracies([(tuple(r[k] for k in names), r["count"]) for r in counted])
     score = F.lit(math.log(prior / (1 - prior)))
@@ -130,4 +130,4 @@ def score_quality(docs: DataFrame, text_col: str = "text", keep: list[str] | Non
         score = score + F.when(F.col(k) == 1, math.log(g / b)).when(F.col(k) == 0, math.log((1 - g) / (1 - b))).otherwise(0.0)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     out = voted.withColumns({"base_failed": failed, "posterior": 1 / (1 + F.exp(-score))})
-    return out.select(*[c for c in keep if c in voted.columns], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "posterior", (~F.col("base_failed") & (F.col("posterior") >= 0.5)).alias("kept"))
+    return out.select(*[F.col("doc").getField(c).alias(c) for c in keep], *measures, "base_failed", "posterior", (~F.col("base_failed") & (F.col("posterior") >= 0.5)).alias("kept"))

@@ -12,6 +12,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The secret of the session; without one, a key that is good for synthetic tables alone."""
+    return spark.conf.get("spark.polyview.surrogateKey", "synthetic tables only")
+
+
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from polyview.llm.simple8b import read_token_ids, write_token_ids
 
@@ -62,7 +67,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from polyview.llm.surrogates import replace_entities
 
-    return replace_entities(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return replace_entities(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), surrogate_key(spark))
 
 
 def op8_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:

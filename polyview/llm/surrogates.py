@@ -1,57 +1,82 @@
 """Keyed surrogates for personal data and secrets, in DataFrame functions only (operator 5).
 
-Detected: e-mail addresses, telephone numbers, IPv4 addresses, payment card numbers, access keys, password=
-and token= values, IBANs, US social security numbers, and names after a title.  A surrogate is a function of key, type and value
-alone, so one entity has one surrogate everywhere (coreference).  It keeps the format: digits become digits,
-letters letters of the same case and script, punctuation stays; a card that passes the Luhn test gets one that does; a name
-gets a name that its title's gender allows.  The table of distinct entities is checked for collisions, with other
-surrogates and with real values, and colliding ones are drawn again, so distinct entities stay distinct.
-
-Null and empty texts pass through, as do other columns (one named n_entities is replaced).  Texts without entities are not touched or moved.
+Detected: e-mail addresses, telephone numbers, IPv4 addresses, payment card numbers that pass the Luhn test, access
+keys, password= and token= values, IBANs, US social security numbers, and names after a title.
+
+An entity is known by its canonical form: addresses in lower case, telephone, card and account numbers by their digits and
+letters alone, secrets without the word before them, names by given and family name without the title.  So
+one entity has one surrogate in every spelling (coreference), and a family keeps one family name.  A surrogate hangs on the
+secret key, the type and the canonical form alone.  It keeps the format of the place: separators, case, number of digits,
+country codes; hexadecimal secrets stay hexadecimal, cards pass the Luhn test, IBANs have right check digits,
+addresses end in the reserved ``.example``.  Names keep their script (Latin, Cyrillic, Greek) and gender,
+which the title tells, or else the given name.  A full name that stands in a document once with a title is
+replaced there without a title as well.
+
+All distinct canonical forms meet in one table, where surrogates are checked against each other and against all
+real forms; colliding ones are drawn again until none is left, later draws with more characters, so the loop ends even where a format
+has fewer forms than the corpus has entities.
+
+Every pattern takes time in proportion to the text, whatever it holds: local parts are possessive and begin only at their
+first character, and all repeated groups are bounded, so no text overflows the stack.
+
+Null and empty texts pass through, as do other columns (one named n_entities is replaced; no other name is reserved).
+Repeated rows and null ids are rows of their own.  Texts without entities are neither changed nor moved.  A value that stands in
+very many documents is a hot key of one join, which adaptive execution splits.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polyview.llm.shared import stage_table
 
-#: Given names by gender and script, and family names, for names after a title.
-MALE = ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karim", "Louis", "Marco", "Noel", "Oscar", "Pablo"]
-FEMALE = ["Alice", "Bella", "Clara", "Diana", "Elena", "Flora", "Greta", "Helen", "Irene", "Julia", "Karla", "Laura", "Marta", "Nadia", "Olga", "Paula"]
-FAMILY = ["Adler", "Baker", "Castro", "Dubois", "Evans", "Fischer", "Garcia", "Hansen", "Ibarra", "Jansen", "Keller", "Lambert", "Moreno", "Novak", "Olsen", "Petit"]
+#: Titles by gender.
+MALE_TITLES = ["Mr", "Herr", "Señor", "Monsieur", "Signor", "Sir", "Господин", "Κύριος"]
+FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Signora", "Lady", "Госпожа", "Κυρία"]
+NEUTRAL_TITLES = ["Dr", "Prof"]
+#: Given names that the rule "feminine ones end in a" misjudges.
+MALE_GIVEN = ["luca", "joshua", "andrea", "nikita", "ilya", "noah", "sasha", "никита", "илья", "саша"]
+FEMALE_GIVEN = ["alice", "helen", "irene", "karen", "susan", "ruth", "marie", "jane", "anne", "mary", "ingrid", "astrid", "любовь"]
+#: Telephone country codes of one and two digits; all others have three.
+SHORT_CODES = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+#: By script: consonants, vowels, endings of given names (female, male), of family names, and what a woman's family name adds.
+SCRIPTS = {
+    "latin": ("bdfglmnrstvz", "aeiou", "a|ia|ina", "o|an|us", "er|son|ski|ez|man|sen", ""),
+    "cyrillic": ("бвгдзклмнрст", "аеиоу", "а|ина|ия", "ан|ей|ор", "ов|ев|ин", "а"),
+    "greek": ("βγδκλμνπρστ", "αειου", "α|ια|ινα", "ος|ης|ας", "ιδης|ακης|οπουλος", ""),
+}
 
-_NAME = "\\p{Lu}\\p{Ll}+(?:[ -]\\p{Lu}\\p{Ll}+)?"
+_SECRET_WORD = "(?i:password|passwd|pwd|secret|api_key|token)[ ]?[=:][ ]?\"?"
+_TITLE = "(?:" + "|".join(sorted(MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES, key=len, reverse=True)) + ")\\.?"
+_TOKEN = "\\p{Lu}\\p{Ll}++(?:-\\p{Lu}\\p{Ll}++)?"
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 #: Type and pattern; an earlier one wins where two begin at one place.
 PATTERNS = {
-    "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}",
-    "secret": "(?:(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Z])|(?i:password|passwd|pwd|secret|api_key|token)[ ]?[=:][ ]?\"?[A-Za-z0-9_/+-]{8,}\"?)",
-    "iban": "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[0-9A-Z]{4}){3,7}(?![0-9A-Za-z])",
+    "email": "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}+(?:\\.[A-Za-z0-9-]{1,63}+){0,8}\\.[A-Za-z]{2,63}+",
+    "secret": f"(?:(?<![A-Za-z0-9])AKIA[0-9A-Z]{{16}}(?![0-9A-Z])|{_SECRET_WORD}[A-Za-z0-9_/+-]{{8,}}+\"?)",
+    "iban": "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[0-9A-Z]{4}){2,7}(?:[ ]?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "phone": "\\+[0-9]{1,3} ?\\(?[0-9]{2,4}\\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9.-])\\(?[0-9]{3}\\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "ssn": "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": "(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{1,4}(?![0-9])",
-    "ip": "(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\\.[0-9])",
-    "name": f"(?<!\\p{{L}})(?:Mr\\.?|Mrs\\.?|Ms\\.?|Dr\\.?|Herr|Frau|Señor|Señora|Monsieur|Madame) {_NAME}",
+    "card": "(?<![0-9])[2-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,4}(?![0-9])",
+    "ip": f"(?<![0-9.])(?:{_OCTET}\\.){{3}}{_OCTET}(?![0-9]|\\.[0-9])",
+    "name": f"(?<!\\p{{L}}){_TITLE} {_TOKEN}(?: {_TOKEN})?",
 }
 ENTITY = "(?:" + "|".join(PATTERNS.values()) + ")"
-_FEMALE_TITLE = "^(?:Mrs|Ms|Frau|Señora|Madame)"
-
+#: What every entity holds; a text without it is not matched further.
+_SIGN = f"(?:@|[0-9][0-9]|[=:][ ]?\"?[A-Za-z0-9_/+-]{{8}}|{_TITLE} \\p{{Lu}})"
 
-def entity_type(value: Column) -> Column:
-    kinds = [F.when(value.rlike(f"^(?:{p})$"), kind) for kind, p in PATTERNS.items()]
-    return F.coalesce(*kinds, F.lit("secret"))
+_UNIT = "array<struct<kind: string, scope: string, canon: string>>"
 
 
-def _draw(digest: Column, i: Column, n: int) -> Column:
-    """A number below n from place i of a hexadecimal digest."""
-    return F.conv(F.substring(digest, i % 31 * 4 + 1, 4), 16, 10).cast("int") % n
+def entity_type(value: Column) -> Column:
+    """The type of a matched value; null for a number that only looks like a card."""
+    found = F.coalesce(*[F.when(value.rlike(f"^(?:{p})$"), kind) for kind, p in PATTERNS.items()], F.lit("secret"))
+    return F.when((found != "card") | (_luhn(_digits(value)) % 10 == 0), found)
 
 
-def _pick(choices: list[str], digest: Column, i: int) -> Column:
-    return F.element_at(F.array(*map(F.lit, choices)), _draw(digest, F.lit(i), len(choices)) + 1)
+def _digits(value: Column) -> Column:
+    return F.transform(F.split(F.regexp_replace(value, "[^0-9]", ""), ""), lambda c: F.coalesce(F.try_to_number(c, F.lit("9")).cast("int"), F.lit(0)))
 
 
 def _luhn(digits: Column) -> Column:
@@ -59,78 +84,187 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.reverse(digits), lambda d, i: F.when(i % 2 == 0, d).otherwise(d * 2 - F.when(d > 4, 9).otherwise(0))), F.lit(0), lambda s, d: s + d)
 
 
-def surrogate(value: Column, kind: Column, attempt: Column, key: str) -> Column:
-    """The draw number ``attempt`` for a value."""
-    digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, attempt.cast("string"), value), 512)
-    chars = F.split(value, "")
-    # the words that make a secret or an access key recognisable stay, as does the top-level domain of an address
-    fixed = F.when(kind == "secret", F.length(F.regexp_extract(value, "^(?:AKIA|(?i:password|passwd|pwd|secret|api_key|token)[ ]?[=:][ ]?\"?)", 0))).when(kind == "iban", 2).when(kind == "phone", F.length(F.regexp_extract(value, "^\\+[0-9]{1,3} ?", 0))).when(kind == "card", 1).otherwise(0)
-    tail = F.when(kind == "email", F.length(F.regexp_extract(value, "(?:\\.example)?\\.[A-Za-z]+$", 0))).otherwise(0)
-    hexadecimal = (kind == "secret") & F.substring(value, fixed + 1, F.length(value)).rlike("^[0-9a-f]+\"?$")
-
-    def letter(c: Column, i: Column, first: str) -> Column:
-        return F.char(F.lit(ord(first)) + _draw(digest, i, 26))
-
-    def change(c: Column, i: Column) -> Column:
-        inside = (i >= fixed) & (i < F.length(value) - tail)
-        return (
-            F.when(~inside, c)
-            .when(hexadecimal & c.rlike("[0-9a-f]"), F.lower(F.hex(_draw(digest, i, 16))))
-            .when(c.rlike("[0-9]"), _draw(digest, i, 10).cast("string"))
-            .when(c.rlike("[a-z]"), letter(c, i, "a"))
-            .when(c.rlike("[A-Z]"), letter(c, i, "A"))
-            .when(c.rlike("\\p{IsCyrillic}"), F.when(c.rlike("\\p{Lu}"), F.element_at(F.split(F.lit("АБВГДЕЖЗИКЛМНОПР"), ""), _draw(digest, i, 16) + 1)).otherwise(F.element_at(F.split(F.lit("абвгдежзиклмнопр"), ""), _draw(digest, i, 16) + 1)))
-            .otherwise(c)
-        )
-
-    plain = F.array_join(F.transform(chars, change), "")
-    digits = F.transform(F.filter(F.split(plain, ""), lambda c: c.rlike("[0-9]")), lambda c: c.cast("int"))
-    own = F.transform(F.filter(chars, lambda c: c.rlike("[0-9]")), lambda c: c.cast("int"))
-    lifted = F.concat(F.slice(digits, 1, F.size(digits) - 1), F.array(F.lit(0)))
-    check = (F.lit(10) - _luhn(lifted) % 10) % 10
-    card = F.when(_luhn(own) % 10 == 0, F.concat(F.regexp_replace(plain, "[0-9]$", ""), check.cast("string"))).otherwise(plain)
-    octets = F.transform(F.split(value, "\\."), lambda o, i: (_draw(digest, i, 254) + 1).cast("string"))
-    title = F.regexp_extract(value, "^[^ ]+", 0)
-    given = F.when(value.rlike(_FEMALE_TITLE), _pick(FEMALE, digest, 0)).otherwise(_pick(MALE, digest, 0))
-    # two-part names have a given and a family name; a family name is lengthened by the draw, to have enough of them
-    family = F.concat(_pick(FAMILY, digest, 1), F.element_at(F.array(*map(F.lit, ["", "s", "er", "man", "sen", "ski", "ez", "ini"])), _draw(digest, F.lit(2), 8) + 1), F.when(attempt > 3, F.concat(F.lit("-"), _pick(FAMILY, digest, 3))).otherwise(""))
-    name = F.when(F.size(F.split(value, "[ -]")) > 2, F.concat_ws(" ", title, given, family)).otherwise(F.concat_ws(" ", title, family))
-    return F.when(kind == "ip", F.array_join(octets, ".")).when(kind == "name", name).when(kind == "card", card).otherwise(plain)
-
-
-def surrogate_table(entities: DataFrame, key: str, rounds: int = 12) -> DataFrame:
-    """(value, kind, surrogate) for distinct entities (value, kind); surrogates differ from each other and from all values."""
-    todo = entities.withColumn("attempt", F.lit(0))
+def _script(word: Column) -> Column:
+    return F.when(word.rlike("\\p{IsCyrillic}"), "cyrillic").when(word.rlike("\\p{IsGreek}"), "greek").otherwise("latin")
+
+
+def _gender(title: Column, given: Column) -> Column:
+    """f or m: by the title, else by the given name."""
+    bare, name = F.regexp_replace(title, "\\.$", ""), F.lower(given)
+    told = F.when(bare.isin(FEMALE_TITLES), "f").when(bare.isin(MALE_TITLES), "m")
+    guessed = F.when(name.isin(FEMALE_GIVEN), "f").when(name.isin(MALE_GIVEN), "m").when(name.rlike("[aаяαη]$"), "f").otherwise("m")
+    return F.coalesce(told, guessed, F.lit("m"))
+
+
+def describe(values: DataFrame) -> DataFrame:
+    """value, kind, parts of its format and ``units``: the canonical forms that its surrogate is made of."""
+    v = F.col("value")
+    df = values.withColumn("kind", entity_type(v)).filter("kind is not null")
+    words = F.split("value", " ")
+    df = df.withColumns({
+        "head": F.when(F.col("kind") == "secret", F.regexp_extract(v, f"^(?:AKIA|{_SECRET_WORD})", 0)).when(F.col("kind") == "name", F.element_at(words, 1)).otherwise(""),
+        "given": F.when((F.col("kind") == "name") & (F.size(words) == 3), F.get(words, F.lit(1))),
+        "family": F.when(F.col("kind") == "name", F.element_at(words, -1)),
+        "local": F.when(F.col("kind") == "email", F.substring_index(v, "@", 1)),
+        "domain": F.when(F.col("kind") == "email", F.substring_index(v, "@", -1)),
+    })
+    df = df.withColumn("gender", F.when(F.col("kind") == "name", _gender(F.col("head"), F.col("given"))))
+    df = df.withColumn("body", F.when(F.col("kind") == "secret", F.regexp_replace(F.substring("value", F.length("head") + 1, F.length("value")), '"$', "")))
+    bare = F.regexp_replace("value", "[^A-Za-z0-9]", "")
+    # a woman's and a man's Russian family name are one family
+    stem = F.regexp_replace(F.lower("family"), "(?<=ов|ев|ин)а$", "")
+    unit = lambda kind, scope, canon: F.struct(F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), scope.alias("scope"), canon.alias("canon"))
+    none = F.lit("")
+    units = (
+        F.when(F.col("kind") == "email", F.array(unit("email", F.lower("domain"), F.lower("local")), unit("domain", none, F.lower("domain"))))
+        .when(F.col("kind") == "secret", F.array(unit("secret", none, F.col("body"))))
+        .when(F.col("kind") == "iban", F.array(unit("iban", F.substring(bare, 1, 2), F.substring(bare, 5, 40))))
+        .when(F.col("kind") == "phone", F.array(unit("phone", none, F.concat(F.when(v.startswith("+"), "+").otherwise(""), F.regexp_replace(v, "[^0-9]", "")))))
+        .when(F.col("kind") == "name", F.concat(F.array(unit("family", _script(F.col("family")), stem)), F.when(F.col("given").isNotNull(), F.array(unit(F.concat(F.lit("given "), "gender"), _script(F.col("given")), F.lower("given")))).otherwise(F.array().cast(_UNIT))))
+        .when(F.col("kind") == "ip", F.array(unit("ip", none, v)))
+        .otherwise(F.array(unit(F.col("kind"), none, bare)))
+    )
+    return df.withColumn("units", units)
+
+
+def draw(units: DataFrame, turn: int, key: str) -> DataFrame:
+    """Units (kind, scope, canon) with draw number ``turn`` as s: characters of the same classes, or a made-up name or domain."""
+    kind, scope, canon, flat, seed, same = map(F.col, ("kind", "scope", "canon", "flat", "seed", "same"))
+    extra = max(0, turn - 4) // 2
+    df = units.withColumn("flat", F.regexp_replace(canon, "[^\\p{L}0-9]", ""))
+    df = df.withColumn("seed", F.sha2(F.concat(F.lit(key), F.sha2(F.concat_ws("\x1f", F.lit(key), kind, scope, F.lit(str(turn)), canon), 256)), 512))
+    pick = lambda k, n: F.conv(F.substring(seed, k % 31 * 4 + 1, 4), 16, 10).cast("int") % n
+    # one number for each character, 32 from a digest; arrays are zipped, so that time stays in proportion to the length
+    blocks = F.array_repeat(seed, F.floor(F.length(flat) / 32).cast("int") + 1)
+    digests = F.transform(blocks, lambda d, b: F.sha2(F.concat(d, b.cast("string")), 512))
+    of = lambda d: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substring(d, i * 4 + 1, F.lit(4)), 16, 10).cast("int"))
+    df = df.withColumn("numbers", F.slice(F.flatten(F.transform(digests, of)), F.lit(1), F.greatest(F.length(flat), F.lit(1))))
+    letter = lambda r, first: F.char(F.lit(ord(first)) + r % 26)
+    drawn = lambda c, r: F.when(c.rlike("[0-9]"), (r % 10).cast("string")).when(c.rlike("[A-Z]"), letter(r, "A")).otherwise(letter(r, "a"))
+    nibbles = F.array_join(F.transform("numbers", lambda r: F.hex(r % 16)), "")
+    by_class = F.array_join(F.zip_with(F.split(flat, ""), "numbers", drawn), "")
+    hexadecimal = (kind == "secret") & flat.rlike("^(?=.{16})(?:[0-9a-f]++|[0-9A-F]++)$")
+    df = df.withColumn("same", F.when(hexadecimal, F.when(flat.rlike("[a-f]"), F.lower(nibbles)).otherwise(nibbles)).otherwise(by_class))
+    more = F.concat(*[pick(k, 10).cast("string") for k in range(extra)]) if extra else F.lit("")
+    code = F.regexp_extract(canon, f"^\\+({SHORT_CODES}|[0-9]{{3}})", 1)
+    branded = F.concat(F.substring(flat, 1, 1), F.substring(same, F.lit(2), F.length(same) - 2))
+    card = F.concat(branded, ((F.lit(10) - _luhn(_digits(F.concat(branded, F.lit("0")))) % 10) % 10).cast("string"))
+
+    # made-up names: syllables of the script, one for a given name, two for a family, three for a domain
+    by_script = lambda k: F.when(scope == "cyrillic", SCRIPTS["cyrillic"][k]).when(scope == "greek", SCRIPTS["greek"][k]).otherwise(SCRIPTS["latin"][k])
+    df = df.withColumns({
+        "consonants": by_script(0),
+        "vowels": by_script(1),
+        "endings": F.split(F.when(kind == "given f", by_script(2)).when(kind == "given m", by_script(3)).when(kind == "family", by_script(4)).otherwise("web|net|mail|post"), "\\|"),
+    })
+    sound = lambda k, letters: F.substring(letters, pick(k, F.length(letters)) + 1, F.lit(1))
+    syllable = lambda k: F.concat(sound(2 * k, F.col("consonants")), sound(2 * k + 1, F.col("vowels")))
+    more_than_given = F.when(kind.isin("family", "domain"), syllable(1)).otherwise("")
+    third = F.when(kind == "domain", syllable(2)).otherwise("")
+    name = F.concat(syllable(0), more_than_given, third, *[syllable(k) for k in range(3, 3 + extra)], sound(20, F.col("consonants")), F.element_at("endings", pick(21, F.size("endings")) + 1))
+    s = (
+        F.when(kind.isin("family", "given f", "given m"), name)
+        .when(kind == "domain", F.concat(name, F.lit(".example")))
+        .when(kind == "ip", F.concat_ws(".", *[(pick(k, 254) + 1).cast("string") for k in range(4)]))
+        .when(kind == "phone", F.concat(code, F.substring(same, F.length(code) + 1, F.length(same)), more))
+        .when(kind == "card", F.concat(card, more))
+        # numbers from 900 on are never given out
+        .when(kind == "ssn", F.concat(F.lit("9"), F.substring(same, F.lit(2), F.length(same)), more))
+        .otherwise(F.concat(same, more))
+    )
+    return df.select("kind", "scope", "canon", s.alias("s"))
+
+
+def unit_surrogates(units: DataFrame, key: str) -> DataFrame:
+    """kind, scope, canon, s: within a kind and scope every s is another one, and none is a real form."""
+    flat = F.when(F.col("kind").isin("domain", "ip"), F.col("canon")).otherwise(F.regexp_replace("canon", "[^\\p{L}0-9]", ""))
+    units = stage_table(units.distinct(), "units")
+    real = units.select("kind", flat.alias("s")).distinct()
     done: DataFrame | None = None
-    values = entities.select(F.col("value").alias("real"))
-    for turn in range(rounds):
-        drawn = todo.select("value", "kind", surrogate(F.col("value"), F.col("kind"), F.lit(turn), key).alias("surrogate"))
-        taken = values if done is None else values.union(done.select("surrogate"))
-        winners = drawn.groupBy("surrogate").agg(F.min("value").alias("winner")).join(taken, F.col("surrogate") == F.col("real"), "left_anti").select("winner", F.col("surrogate").alias("won"))
-        settled = stage_table(drawn.join(winners, (F.col("surrogate") == F.col("won")) & (F.col("value") == F.col("winner")), "left").select("value", "kind", "surrogate", F.col("winner").isNotNull().alias("ok")), "surrogates")
-        good = settled.filter("ok").select("value", "kind", "surrogate")
+    todo, turn = units, 0
+    while True:
+        drawn = draw(todo, turn, key)
+        free = drawn.groupBy("kind", "scope", "s").agg(F.min("canon").alias("winner")).join(real, ["kind", "s"], "left_anti")
+        if done is not None:
+            free = free.join(done.select("kind", "scope", "s"), ["kind", "scope", "s"], "left_anti")
+        settled = stage_table(drawn.join(free, ["kind", "scope", "s"], "left").select("kind", "scope", "canon", "s", F.coalesce(F.col("winner") == F.col("canon"), F.lit(False)).alias("ok")), "surrogates")
+        good = settled.filter("ok").drop("ok")
         done = good if done is None else done.union(good)
-        todo = settled.filter("not ok").select("value", "kind")
+        todo, turn = settled.filter("not ok").select("kind", "scope", "canon"), turn + 1
         if todo.limit(1).count() == 0:
             return done
-    # a format with fewer forms than entities: a number is added, which keeps them distinct
-    rest = todo.withColumn("surrogate", F.concat(surrogate(F.col("value"), F.col("kind"), F.lit(rounds), key), F.lit("-"), F.substring(F.sha2(F.concat(F.lit(key), "value"), 256), 1, 16)))
-    return done.union(rest)
-
-
-def replace_entities(docs: DataFrame, key: str = "polyview", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with surrogates in the text, and n_entities."""
-    docs = docs.drop("n_entities")
-    columns = docs.columns
-    touched = docs.filter(F.coalesce(F.col(text_col).rlike(ENTITY), F.lit(False)))
-    clean = docs.filter(~F.coalesce(F.col(text_col).rlike(ENTITY), F.lit(False))).withColumn("n_entities", F.lit(0).cast("long"))
-    found = touched.withColumn("_row", F.xxhash64(id_col, text_col)).withColumn("_values", F.regexp_extract_all(text_col, F.lit(ENTITY), F.lit(0)))
-    found = stage_table(found, "entities")
-    named = found.select("_row", F.posexplode("_values").alias("at", "value"))
-    distinct = stage_table(named.select("value").distinct().withColumn("kind", entity_type(F.col("value"))), "values")
-    table = stage_table(surrogate_table(distinct, key), "surrogates")
-    mapped = named.join(table, "value").groupBy("_row").agg(F.transform(F.array_sort(F.collect_set(F.struct("at", "surrogate"))), lambda x: x.surrogate).alias("_new"))
-    rows = found.join(mapped, "_row").withColumn("_parts", F.split(text_col, ENTITY, -1))
-    text = F.array_join(F.zip_with("_parts", F.concat("_new", F.array(F.lit(""))), lambda p, s: F.concat(p, s)), "")
-    rows = rows.select(*[text.alias(text_col) if c == text_col else F.col(c) for c in columns], F.size("_new").cast("long").alias("n_entities"))
+
+
+def _dress(place: Column, s: Column) -> Column:
+    """The characters of ``s`` in the places of the letters and digits of ``place``; case and separators as there."""
+    at = F.transform(F.split(place, ""), lambda c, i: F.struct(i.alias("i"), c.alias("c")))
+    takes = lambda x: x.c.rlike("[\\p{L}0-9]")
+    given = F.transform(F.split(s, ""), lambda c, i: F.struct((i + (1 << 24)).alias("i"), c.alias("c")))
+    put = lambda x, y: F.struct(F.coalesce(x.i, y.i).alias("i"), F.when(x.c.rlike("\\p{Lu}"), F.upper(y.c)).otherwise(F.coalesce(y.c, F.lit(""))).alias("c"))
+    both = F.array_sort(F.concat(F.filter(at, lambda x: ~takes(x)), F.zip_with(F.filter(at, takes), given, put)))
+    return F.array_join(F.transform(both, lambda x: x.c), "")
+
+
+def _check_digits(country: Column, body: Column) -> Column:
+    """The two digits that make an IBAN's number leave 1 modulo 97."""
+    value = lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    rest = F.aggregate(F.transform(F.split(F.concat(body, country, F.lit("00")), ""), value), F.lit(0), lambda m, d: (m * F.when(d > 9, 100).otherwise(10) + d) % 97)
+    return F.lpad((F.lit(98) - rest).cast("string"), 2, "0")
+
+
+def surrogate_table(values: DataFrame, key: str) -> DataFrame:
+    """value, surrogate of distinct matched values, and for full names also full, full_new (without the title)."""
+    described = stage_table(describe(values), "values")
+    units = described.select("value", F.posexplode("units").alias("place", "unit"))
+    found = unit_surrogates(units.select("unit.*"), key)
+    each = units.select("value", "place", "unit.*").join(found, ["kind", "scope", "canon"]).groupBy("value").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "s"))), lambda x: x.s).alias("s"))
+    one, two = F.element_at("s", 1), F.get("s", F.lit(1))
+    kind, v = F.col("kind"), F.col("value")
+    country = F.substring("value", 1, 2)
+    feminine = F.when((F.col("gender") == "f") & F.col("family").rlike("\\p{IsCyrillic}"), F.lit(SCRIPTS["cyrillic"][5])).otherwise("")
+    family = F.initcap(F.concat(one, feminine))
+    full = F.when(F.col("given").isNotNull(), F.concat_ws(" ", F.initcap(two), family))
+    out = (
+        F.when(kind == "email", F.concat(_dress(F.col("local"), one), F.lit("@"), two))
+        .when(kind == "secret", F.concat("head", _dress(F.col("body"), one), F.when(v.endswith('"'), '"').otherwise("")))
+        .when(kind == "iban", _dress(v, F.concat(country, _check_digits(country, one), one)))
+        .when(kind == "ip", one)
+        .when(kind == "name", F.concat_ws(" ", "head", F.coalesce(full, family)))
+        .otherwise(_dress(v, one))
+    )
+    joined = described.join(each, "value")
+    return joined.select("value", out.alias("surrogate"), F.when(full.isNotNull(), F.concat_ws(" ", "given", "family")).alias("full"), full.alias("full_new"))
+
+
+def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with surrogates in the text, and n_entities.  ``key`` is secret: who has it can test guesses."""
+    if not key:
+        raise ValueError("surrogates need a secret key")
+    columns = [c for c in docs.columns if c != "n_entities"]
+    # input columns travel in one struct, so that no name of theirs meets one used here
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"))
+    text = F.col("doc").getField(text_col)
+    signed = F.coalesce(text.rlike(_SIGN), F.lit(False))
+    unbox = lambda new: [new.alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in columns]
+    clean = boxed.filter(~signed).select(*unbox(text), F.lit(0).cast("long").alias("n_entities"))
+    found = boxed.filter(signed).select(F.monotonically_increasing_id().alias("row"), "doc", F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)).alias("found"))
+    found = stage_table(found.withColumn("between", F.when(F.size("found") > 0, F.split(text, ENTITY, -1))), "entities")
+    named = found.select("row", F.posexplode("found").alias("at", "value"))
+    table = stage_table(surrogate_table(named.select("value").distinct(), key), "table")
+    # a value without a surrogate is no entity after all and stays; the merge join can split a value of very many rows
+    given = named.join(table.hint("merge"), "value", "left").select("row", "at", F.coalesce("surrogate", "value").alias("new"), F.col("surrogate").isNotNull().alias("real"), F.when(F.col("full").isNotNull(), F.struct("full", "full_new")).alias("name"))
+    mapped = given.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x.new).alias("new"), F.collect_set("name").alias("names"), F.count_if("real").alias("n"))
+    full, full_new = F.transform("names", lambda x: x.full), F.transform("names", lambda x: x.full_new)
+    named_so = F.when(F.size("names") > 0, F.concat(F.lit("(?<!\\p{L})(?=\\p{Lu})(?:"), F.array_join(full, "|"), F.lit(")(?!\\p{L})")))
+    mapped = mapped.select("row", "new", "n", full.alias("full"), full_new.alias("full_new"), named_so.alias("pattern"))
+    rows = found.join(mapped, "row", "left")
+
+    def again(part: Column) -> Column:
+        hits = F.regexp_extract_all(part, F.col("pattern"), F.lit(0))
+        new = F.concat(F.transform(hits, lambda x: F.get("full_new", F.array_position("full", x).cast("int") - 1)), F.array(F.lit("")))
+        return F.array_join(F.zip_with(F.split(part, F.col("pattern"), -1), new, lambda p, s: F.concat(p, s)), "")
+
+    between = F.when(F.col("pattern").isNotNull(), F.transform("between", again)).otherwise(F.col("between"))
+    replaced = F.array_join(F.zip_with(between, F.concat("new", F.array(F.lit(""))), lambda p, s: F.concat(p, s)), "")
+    rows = rows.select(*unbox(F.when(F.col("n") > 0, replaced).otherwise(text)), F.coalesce("n", F.lit(0)).cast("long").alias("n_entities"))
     return clean.unionByName(rows)

@@ -76,7 +76,6 @@ def test_token_ids_round_trip(docs):
 
     path = P.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     got = collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in read_token_ids(write_token_ids(docs, path)).collect())
     want = collections.Counter()
     for i, text in ROWS:
@@ -111,7 +110,7 @@ def test_repeats_against_brute_force(docs):
 def test_surrogates(docs):
     from polyview.llm.surrogates import replace_entities
 
-    rows = {(r.doc_id, r.row): r for r in replace_entities(docs).collect()}
+    rows = {(r.doc_id, r.row): r for r in replace_entities(docs, "k").collect()}
     mail = rows[13, ROWS[12][1]].text
     found = re.findall(r"[\w.]+@[\w.]+", mail)
     assert len(set(found)) == 1 and "a.b1@mail3" not in mail and "10.20.30.40" not in mail and "555-1234" not in mail
@@ -230,5 +229,5 @@ def test_empty_tables(spark):
 
     none = spark.createDataFrame([], "doc_id long, text string")
     path = P.path("byte_bpe_50k.json")
-    for f in (score_quality, remove_repeated_chunks, near_duplicates, remove_repeats, replace_entities, lambda d: pack_documents(d, path), lambda d: read_token_ids(write_token_ids(d, path))):
+    for f in (score_quality, remove_repeated_chunks, near_duplicates, remove_repeats, lambda d: replace_entities(d, "k"), lambda d: pack_documents(d, path), lambda d: read_token_ids(write_token_ids(d, path))):
         assert f(none).count() == 0

@@ -12,6 +12,7 @@ from polyview.llm.line_dedup import remove_repeated_chunks
 from polyview.llm.near_dedup import near_duplicates
 from polyview.llm.packing import pack_documents
 from polyview.llm.quality import score_quality
+from polyview.llm.queries import surrogate_key
 from polyview.llm.shared import stage_table
 from polyview.llm.surrogates import replace_entities
 
@@ -39,7 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: personal data and secrets get surrogates."""
-    out = replace_entities(docs)
+    out = replace_entities(docs, surrogate_key(spark))
     return out.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -24,7 +24,10 @@ def display_name(rel: Column) -> Column:
 
 
 def file_identity(rel: Column, mtime_ns: Column, size: Column) -> Column:
-    return F.concat_ws("|", rel, (mtime_ns / 1_000_000_000).cast("long").cast("string"), size.cast("string"))
+    """Relative path, whole seconds (rounded down, in whole numbers: a double would round the last nanosecond up) and size."""
+    ns = mtime_ns.cast("long")
+    seconds = ((ns - F.pmod(ns, F.lit(1_000_000_000))).cast("decimal(20,0)") / 1_000_000_000).cast("long")
+    return F.concat_ws("|", rel, seconds.cast("string"), size.cast("string"))
 
 
 def embed_key(identity: Column, n_views: int, size: int, up: Column, model: str, elevations: str = "20", compiled: bool = False, version: int | None = None) -> Column:

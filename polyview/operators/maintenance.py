@@ -47,25 +47,80 @@ def zip_action(skip: Column, readable: Column, unsafe: Column, damaged: Column,
     return F.when(skip, "skip-tagged").when(~readable, "unreadable").when(unsafe, "unsafe").when(damaged & authorised, "repair").when(present & ~damaged, "done").when(elsewhere, "elsewhere").otherwise("extract")
 
 
-def content_elsewhere(entries: DataFrame, files: DataFrame) -> DataFrame:
-    """Zips all of whose entries are found by base name and size among files of the same parent."""
-    have = files.select("parent", "base", "size").distinct().withColumn("hit", F.lit(True))
-    return entries.join(have, ["parent", "base", "size"], "left").groupBy("zip").agg(F.bool_and(F.col("hit").isNotNull()).alias("elsewhere"))
+#: Presentation files, whose absence asks for no new extraction, and folders of unfinished work.
+JUNK_SUFFIXES = [".jpg", ".jpeg", ".png", ".gif", ".pdf", ".db", ".url"]
+UNFINISHED = "(?:^|/)[^/]*\\.(?:partial|replaced)/"
 
 
-def divert_collisions(plans: DataFrame, suffix: str = "-2") -> DataFrame:
-    """zip, dest with colliding destinations moved on (all but the smallest zip name) until none collide.
+def base_name(path: Column) -> Column:
+    return F.substring_index(path, "/", -1)
 
-    The n-th zip of a destination takes n - 1 suffixes at once; a further round is for names that met another destination
-    so.  It ends: a name once taken stays taken, so no zip moves on by more suffixes than there are zips.  Zips without
-    a destination stay without.
+
+def is_junk(path: Column) -> Column:
+    return F.lower(F.regexp_extract(base_name(path), "(?<=[^.])\\.[^.]+$", 0)).isin(JUNK_SUFFIXES)
+
+
+def in_unfinished(path: Column) -> Column:
+    return path.rlike(UNFINISHED)
+
+
+def ancestors(path: Column) -> Column:
+    """Every folder above a relative path, the nearest last."""
+    parts = F.split(path, "/")
+    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).otherwise(F.array().cast("array<string>"))
+
+
+def damaged(entries: DataFrame, files: DataFrame) -> DataFrame:
+    """Archive entries (zip, rel, size) that the destination's files (zip, rel, size) lack or hold at another size."""
+    have = files.select("zip", "rel", F.col("size").alias("found"))
+    return entries.join(have, ["zip", "rel"], "left").filter("found is null or found <> size").select("zip", "rel", F.when(F.col("found").isNull(), "missing").otherwise("size").alias("fault"))
+
+
+def spread_sample(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
+    """At most ``n`` rows of every group, evenly spaced over its order from the first on."""
+    w = Window.partitionBy(by)
+    placed = rows.withColumn("_nth", F.row_number().over(w.orderBy(order)) - 1).withColumn("_step", F.ceil(F.count("*").over(w) / n))
+    return placed.filter((F.col("_nth") % F.col("_step") == 0) & (F.col("_nth") < n * F.col("_step"))).drop("_nth", "_step")
+
+
+def content_elsewhere(entries: DataFrame, files: DataFrame, sample: int = 5) -> DataFrame:
+    """(zip, elsewhere): whether a zip's content already lies below the zip's folder, in whatever layout.
+
+    ``entries``: zip, parent, place, name, size, crc; ``files``: path, size, crc.  Every entry but junk must be found by base name and
+    size, and an evenly spread sample of them by checksum; files of unfinished swaps do not count.  A zip without such
+    entries is not elsewhere.
+    """
+    real = entries.filter(~is_junk(F.col("name"))).select("zip", "parent", "place", base_name(F.col("name")).alias("base"), "size", "crc")
+    found = files.filter(~in_unfinished(F.col("path"))).select(F.explode(ancestors(F.col("path"))).alias("parent"), base_name(F.col("path")).alias("base"), "size", "crc")
+    by_size = found.select("parent", "base", "size").distinct().withColumn("here", F.lit(True))
+    by_crc = found.distinct().withColumn("same", F.lit(True))
+    sized = real.join(by_size, ["parent", "base", "size"], "left").groupBy("zip").agg(F.bool_and(F.col("here").isNotNull()).alias("here"))
+    checked = spread_sample(real, "zip", "place", sample).join(by_crc, ["parent", "base", "size", "crc"], "left").groupBy("zip").agg(F.bool_and(F.col("same").isNotNull()).alias("same"))
+    zips = entries.select("zip").distinct()
+    return zips.join(sized, "zip", "left").join(checked, "zip", "left").select("zip", (F.coalesce("here", F.lit(False)) & F.coalesce("same", F.lit(False))).alias("elsewhere"))
+
+
+def repair_authorised(zips: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(zip, path, authorised): whether a zip is, or lies under, one of the wanted paths; joined on its folders."""
+    asked = wanted.select(F.col("path").alias("folder")).distinct()
+    under = zips.select("zip", F.explode(F.concat(ancestors(F.col("path")), F.array("path"))).alias("folder")).join(asked, "folder", "left_semi").select("zip").distinct()
+    return zips.join(under.withColumn("hit", F.lit(True)), "zip", "left").select("zip", "path", F.col("hit").isNotNull().alias("authorised"))
+
+
+def divert_collisions(plans: DataFrame) -> DataFrame:
+    """zip, dest of plans (zip, dest, stem): all zips that claim one destination go to their own stem, until nobody else's is met.
+
+    A diverted zip never moves again, so every round but the last moves one zip at least; each round is cut by a checkpoint where the
+    session has a folder for them.  Zips without a destination stay without.
     """
-    nth = F.row_number().over(Window.partitionBy("dest").orderBy("zip"))
-    while plans.filter("dest is not null").groupBy("dest").count().filter("count > 1").limit(1).count():
-        plans = plans.select("zip", F.concat("dest", F.repeat(F.lit(suffix), nth - 1)).alias("dest"))
-        if plans.sparkSession.sparkContext.getCheckpointDir():  # else each round runs the earlier ones again
+    plans = plans.select("zip", "dest", "stem", F.lit(False).alias("moves"))
+    while True:
+        contested = plans.filter("dest is not null").groupBy("dest").agg(F.count("*").alias("n")).filter("n > 1").select("dest", F.lit(True).alias("contested"))
+        plans = plans.join(contested, "dest", "left").select("zip", F.when(F.col("contested"), F.col("stem")).otherwise(F.col("dest")).alias("dest"), "stem", (F.coalesce("contested", F.lit(False)) & (F.col("dest") != F.col("stem"))).alias("moves"))
+        if plans.sparkSession.sparkContext.getCheckpointDir():
             plans = plans.checkpoint()
-    return plans
+        if plans.filter("moves").limit(1).count() == 0:
+            return plans.select("zip", "dest")
 
 
 def merge_manifest(old: DataFrame, new: DataFrame, allowed: list[str]) -> DataFrame:

@@ -61,7 +61,7 @@ def geometry_evidence(points: DataFrame, slab: float = 0.02, facing: float = -0.
     ups = points.sparkSession.createDataFrame([(0, 1.0, 0.0, 0.0), (1, -1.0, 0.0, 0.0), (2, 0.0, 1.0, 0.0), (3, 0.0, -1.0, 0.0), (4, 0.0, 0.0, 1.0), (5, 0.0, 0.0, -1.0)], "candidate int, ux double, uy double, uz double")
     high = points.crossJoin(F.broadcast(ups)).withColumn("h", F.expr("x * ux + y * uy + z * uz")).withColumn("f", F.expr("nx * ux + ny * uy + nz * uz"))
     span = high.groupBy("model", "candidate").agg(F.min("h").alias("low"), F.max("h").alias("top"))
-    inside = (F.col("h") <= F.col("low") + slab * (F.col("top") - F.col("low"))) & (F.col("f") < facing)
+    inside = (F.col("h") < F.col("low") + slab * (F.col("top") - F.col("low"))) & (F.col("f") < facing)
     return high.join(span, ["model", "candidate"]).groupBy("model", "candidate").agg(F.when(F.max(F.col("top") - F.col("low")) > 0, F.avg(inside.cast("double"))).otherwise(0.0).alias("geo"))
 
 

@@ -71,11 +71,11 @@ def in_scope(rel: Column, path: str | None) -> Column:
 
 
 def scope_summary(models: DataFrame, paths: list[str]) -> DataFrame:
-    """n_indexed, n_scanned and status of each path."""
-    found = [models.filter(in_scope(F.col("rel"), p)).agg(F.lit(p).alias("path"), F.count_if("indexed").alias("n_indexed"), F.count("*").alias("n_scanned")) for p in paths]
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
+    """n_indexed, n_scanned and status of each path that holds a model: one scan, models meet paths by their folders."""
+    asked = F.array(*map(F.lit, paths))
+    parts = F.split("rel", "/")
+    scopes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    out = models.select(F.explode(F.array_intersect(scopes, asked)).alias("path"), "indexed").groupBy("path").agg(F.count_if("indexed").alias("n_indexed"), F.count("*").alias("n_scanned"))
     status = F.when(F.col("n_indexed") == 0, "unindexed").when(F.col("n_indexed") >= F.col("n_scanned"), "indexed").otherwise("partial")
     return out.withColumn("status", status)
 

@@ -35,8 +35,8 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pipeline log from events: errors are unavailable calls, purchases answered ones."""
-    outcome = F.when(F.col("event_type") == "error", "unavailable").when(F.col("event_type") == "purchase", "answer").otherwise("neutral")
+    """A pipeline log from events: errors are unavailable calls, views failed ones, some purchases answers, some signups rejections, the rest cancelled."""
+    outcome = F.when(F.col("event_type") == "error", "unavailable").when(F.col("event_type") == "view", "failed").when((F.col("event_type") == "purchase") & (F.col("event_id") % 4 == 0), "answer").when((F.col("event_type") == "signup") & (F.col("event_id") % 4 == 0), "rejected").otherwise("cancelled")
     return table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), outcome.alias("outcome"), "value")
 
 
@@ -57,7 +57,7 @@ SQL = {
     "z": "md AS (SELECT text_id, median(score) AS m FROM pooled GROUP BY 1), mad AS (SELECT p.text_id, median(abs(score - m)) * 1.4826 + 1e-9 AS s FROM pooled p JOIN md ON p.text_id = md.text_id GROUP BY 1), scored AS (SELECT row_id, p.text_id, score, (score - m) / s AS z, row_number() OVER (PARTITION BY p.text_id ORDER BY score DESC, row_id) AS rank FROM pooled p JOIN md ON p.text_id = md.text_id JOIN mad ON p.text_id = mad.text_id)",
     "models": "mi AS (SELECT DISTINCT row_id, true AS indexed FROM views), models AS (SELECT *, 'kit' || (row_id % 7) || '/m' || row_id || '.stl' AS rel FROM (SELECT * FROM mi UNION ALL SELECT row_id + 100000, false FROM mi WHERE row_id % 5 = 0))",
     "names": "names AS (SELECT p_partkey, replace(p_name, ' ', '_') || ['_NoSupports', '_Supported', ' - Unsupported', '_LYCHEE', '_Base', ''][p_partkey % 6 + 1] AS name, p_size::BIGINT AS size FROM part)",
-    "log": "log AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'error' THEN 'unavailable' WHEN 'purchase' THEN 'answer' ELSE 'neutral' END AS outcome, value FROM events)",
+    "log": "log AS (SELECT user_id, event_id, ts, CASE WHEN event_type = 'error' THEN 'unavailable' WHEN event_type = 'view' THEN 'failed' WHEN event_type = 'purchase' AND event_id % 4 = 0 THEN 'answer' WHEN event_type = 'signup' AND event_id % 4 = 0 THEN 'rejected' ELSE 'cancelled' END AS outcome, value FROM events)",
     "grid": "g0 AS (SELECT vec_id // 12 AS model, ((vec_id // 2) % 6)::INT AS candidate, (vec_id % 2)::INT AS az, embedding[1]::DOUBLE AS score FROM embeddings), grid AS (SELECT * FROM g0 WHERE model IN (SELECT model FROM g0 GROUP BY 1 HAVING count(*) = 12))",
 }
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from polyview.functions.order import numbered
 from polyview.operators import camera as C
 from polyview.operators import evaluation as E
 from polyview.operators import identity as I
@@ -204,7 +205,7 @@ def _(s, d):
     return e.select("vec_id", *[F.round(F.element_at("r", k + 1), 5).alias(n) for k, n in enumerate(("ax", "ay", "az"))])
 
 
-@add("a11_geometry", "WITH p AS (SELECT vec_id // 50 AS model, vec_id, embedding::DOUBLE[] AS e FROM embeddings), c AS (SELECT * FROM (VALUES (0, 1, 0, 0), (1, -1, 0, 0), (2, 0, 1, 0), (3, 0, -1, 0), (4, 0, 0, 1), (5, 0, 0, -1)) t(candidate, ux, uy, uz)), h AS (SELECT model, candidate, e[1] * ux + e[2] * uy + e[3] * uz AS h, e[4] * ux + e[5] * uy + e[6] * uz AS f FROM p, c), s AS (SELECT *, min(h) OVER w AS lo, max(h) OVER w AS hi FROM h WINDOW w AS (PARTITION BY model, candidate)) SELECT model, candidate::INT AS candidate, round(CASE WHEN max(hi - lo) > 0 THEN avg(CASE WHEN h <= lo + 0.2 * (hi - lo) AND f < 0 THEN 1.0::DOUBLE ELSE 0 END) ELSE 0 END, 6) AS geo FROM s GROUP BY ALL")
+@add("a11_geometry", "WITH p AS (SELECT vec_id // 50 AS model, vec_id, embedding::DOUBLE[] AS e FROM embeddings), c AS (SELECT * FROM (VALUES (0, 1, 0, 0), (1, -1, 0, 0), (2, 0, 1, 0), (3, 0, -1, 0), (4, 0, 0, 1), (5, 0, 0, -1)) t(candidate, ux, uy, uz)), h AS (SELECT model, candidate, e[1] * ux + e[2] * uy + e[3] * uz AS h, e[4] * ux + e[5] * uy + e[6] * uz AS f FROM p, c), s AS (SELECT *, min(h) OVER w AS lo, max(h) OVER w AS hi FROM h WINDOW w AS (PARTITION BY model, candidate)) SELECT model, candidate::INT AS candidate, round(CASE WHEN max(hi - lo) > 0 THEN avg(CASE WHEN h < lo + 0.2 * (hi - lo) AND f < 0 THEN 1.0::DOUBLE ELSE 0 END) ELSE 0 END, 6) AS geo FROM s GROUP BY ALL")
 def _(s, d):
     at = lambda k: F.element_at("embedding", k).cast("double")
     p = X.table(s, d, "embeddings").select(F.expr("vec_id div 50").alias("model"), *[at(k + 1).alias(n) for k, n in enumerate(("x", "y", "z", "nx", "ny", "nz"))])
@@ -214,17 +215,17 @@ def _(s, d):
 _TAG = " OR ".join(f"contains(b, '{t}')" for t in I.TAGS)
 
 
-@add("f01_f20_names", f"{ctes('names')}, b AS (SELECT *, regexp_replace(lower(name), '(^|[^a-z])(un|no[nt]?)[\\s_-]*support(ed|s)?', '\\1', 'g') AS b FROM names) SELECT p_partkey, ({_TAG}) AS skipped FROM b")
+@add("f01_names", f"{ctes('names')}, b AS (SELECT *, regexp_replace(lower(name), '(^|[^a-z])(un|no[nt]?)[\\s_-]*support(ed|s)?', '\\1', 'g') AS b FROM names) SELECT p_partkey, ({_TAG}) AS skipped FROM b")
 def _(s, d):
     return X.names(s, d).select("p_partkey", I.skipped(F.col("name")).alias("skipped"))
 
 
-@add("n01_n03_keys", f"{ctes('names')} SELECT p_partkey, sha1(name || '.stl|' || (size * 1500000007 // 1000000000) || '|' || size || '|8|384|+Z|tower|pv') AS embed_key, name || '_' || substr(sha1(name || '.stl'), 1, 6) AS render_key FROM names WHERE NOT contains(name, '.') AND NOT contains(name, '/')")
+@add("n01_n03_keys", f"{ctes('names')} SELECT p_partkey, sha1(name || '.stl|' || ((1699999999999999999 - size * 1000000000) // 1000000000) || '|' || size || '|8|384|+Z|tower|pv') AS embed_key, name || '_' || substr(sha1(name || '.stl'), 1, 6) AS render_key FROM names WHERE NOT contains(name, '.') AND NOT contains(name, '/')")
 def _(s, d):
     """Keys from identity with whole-second times, default elevations elided."""
     n = X.names(s, d).filter(~F.contains("name", F.lit(".")) & ~F.contains("name", F.lit("/")))
     rel = F.concat("name", F.lit(".stl"))
-    ident = I.file_identity(rel, F.col("size") * 1500000007, F.col("size"))
+    ident = I.file_identity(rel, F.lit(1699999999999999999) - F.col("size") * 1000000000, F.col("size"))
     return n.select("p_partkey", I.embed_key(ident, 8, 384, F.lit("+Z"), "tower").alias("embed_key"), I.render_key(rel).alias("render_key"))
 
 
@@ -298,32 +299,13 @@ def _(s, d):
     return z.withColumn("action", M.zip_action(k % 13 == 0, F.lit(True), F.col("unsafe"), k % 5 == 0, k % 2 == 0, k % 7 == 0, k % 4 == 0))
 
 
-@add("j16_content_elsewhere", "WITH e AS (SELECT l_orderkey AS zip, l_suppkey % 10 AS parent, l_partkey AS base, l_quantity::BIGINT AS size FROM lineitem), f AS (SELECT DISTINCT l_suppkey % 10 AS parent, l_partkey AS base, l_quantity::BIGINT AS size FROM lineitem WHERE l_linenumber <= 3) SELECT zip, bool_and(f.base IS NOT NULL) AS elsewhere FROM e LEFT JOIN f ON e.parent = f.parent AND e.base = f.base AND e.size = f.size GROUP BY 1")
+@add("checksum_copies", "SELECT n_chars, md5(text) AS sum, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1")
 def _(s, d):
-    li = X.table(s, d, "lineitem")
-    e = li.select(F.col("l_orderkey").alias("zip"), (F.col("l_suppkey") % 10).alias("parent"), F.col("l_partkey").alias("base"), F.col("l_quantity").cast("long").alias("size"), "l_linenumber")
-    return M.content_elsewhere(e.drop("l_linenumber"), e.filter("l_linenumber <= 3"))
-
-
-@add("j17_collisions")
-def _(s, d):
-    p = X.table(s, d, "part")
-    return M.divert_collisions(p.select(F.col("p_partkey").alias("zip"), F.concat(F.lit("d"), (F.col("p_partkey") % 1500).cast("string")).alias("dest")))
-
-
-@add("n25_crc_copies", "SELECT n_chars, md5(text) AS sum, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1")
-def _(s, d):
-    """Copies by size and checksum."""
+    """Copies by size and checksum."""
     t = X.table(s, d, "documents")
     return t.groupBy("n_chars", F.md5("text").alias("sum")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-@add("r02_r03_route", "SELECT event_id, CASE WHEN NOT (event_id % 3 > 0 OR event_id % 11 = 0) THEN 'PoseRenderTask' WHEN event_id % 7 = 0 AND (event_id % 5 > 0 OR event_id % 2 = 0) THEN 'Retired' WHEN event_id % 4 > 0 AND event_id % 5 = 0 AND event_id % 2 > 0 THEN 'Redraw' WHEN event_id % 4 > 0 THEN 'CachedHit' ELSE 'EmbedRenderTask' END AS decision FROM events")
-def _(s, d):
-    k = F.col("event_id")
-    return X.table(s, d, "events").select("event_id", T.route(k % 4 > 0, k % 3 > 0, k % 5 == 0, k % 2 == 0, k % 7 == 0, k % 11 == 0).alias("decision"))
-
-
 @add("w15_w16_r08_retire", f"{ctes('log')}, f AS (SELECT user_id, first(event_id ORDER BY ts, event_id) AS first_id, last(event_id ORDER BY ts, event_id) AS last_id FROM log GROUP BY 1) SELECT * FROM f")
 def _(s, d):
     l = X.log(s, d)
@@ -331,7 +313,7 @@ def _(s, d):
     return a.join(T.last_row_wins(l, "user_id", ["ts", "event_id"]).select("user_id", F.col("event_id").alias("last_id")), "user_id")
 
 
-@add("w13_r07_breaker", f"{ctes('log')}, r AS (SELECT *, sum(CASE outcome WHEN 'answer' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM log) SELECT user_id, run, count(*) AS failures, epoch(date_trunc('second', max(ts)))::BIGINT - epoch(date_trunc('second', min(ts)))::BIGINT AS span_s, count(*) >= 5 AND epoch(date_trunc('second', max(ts)))::BIGINT - epoch(date_trunc('second', min(ts)))::BIGINT >= 60 AS tripped FROM r WHERE outcome = 'unavailable' GROUP BY ALL")
+@add("w13_r07_breaker", f"{ctes('log')}, r AS (SELECT *, sum(CASE WHEN outcome IN ('answer', 'rejected') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM log) SELECT user_id, run, count(*) AS failures, epoch(date_trunc('second', max(ts)))::BIGINT - epoch(date_trunc('second', min(ts)))::BIGINT AS span_s, count(*) >= 5 AND epoch(date_trunc('second', max(ts)))::BIGINT - epoch(date_trunc('second', min(ts)))::BIGINT >= 60 AS tripped FROM r WHERE outcome IN ('unavailable', 'failed') GROUP BY ALL")
 def _(s, d):
     return T.failure_streaks(X.log(s, d))
 
@@ -396,7 +378,7 @@ def _(s, d):
     risk = (F.abs(F.col("margin") - 0.45) <= 0.05) | (F.col("margin") <= 0.05)
     safe = p.filter(~risk).select("doc_id")
     step = safe.agg(F.expr("count(*) div 20").alias("step"))
-    placed = safe.select("doc_id", (F.row_number().over(Window.orderBy("doc_id")) - 1).alias("n")).crossJoin(F.broadcast(step))
+    placed = numbered(safe, "doc_id").select("doc_id", F.col("nth").alias("n")).crossJoin(F.broadcast(step))
     control = placed.filter("n % step = 0 and n div step < 20").select("doc_id", F.lit("control").alias("part"))
     return p.filter(risk).select("doc_id", F.lit("at_risk").alias("part")).union(control)
 
@@ -418,7 +400,7 @@ def _(s, d):
     return j.agg(F.count_if(F.element_at("a", 1) != F.element_at("b", 1)).alias("flips"), F.count_if(F.array_sort("a") != F.array_sort("b")).alias("set_changes"), F.count_if(F.col("a") != F.col("b")).alias("order_changes"))
 
 
-@add("a24_a25_w12_stages", "SELECT event_type AS stage, count(*) AS calls, round(sum(value), 2) AS total, round(100 * sum(value) / sum(sum(value)) OVER (), 4) AS share, round(avg(CASE WHEN value >= 0 THEN value END), 6) AS mean FROM events GROUP BY 1")
+@add("a24_a25_stages", "SELECT event_type AS stage, count(*) AS calls, round(sum(value), 2) AS total, round(100 * sum(value) / sum(sum(value)) OVER (), 4) AS share, round(avg(CASE WHEN value >= 0 THEN value END), 6) AS mean FROM events GROUP BY 1")
 def _(s, d):
     t = X.table(s, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("calls"), F.sum("value").alias("t"), F.avg(F.when(F.col("value") >= 0, F.col("value"))).alias("m"))
     return t.select("stage", "calls", F.round("t", 2).alias("total"), F.round(100 * F.col("t") / F.sum("t").over(Window.partitionBy()), 4).alias("share"), F.round("m", 6).alias("mean"))
@@ -429,16 +411,10 @@ def _(s, d):
     return X.table(s, d, "documents").groupBy(F.md5("text").alias("hash")).agg((F.countDistinct("lang") == 1).alias("stable"), (F.max("n_chars") - F.min("n_chars")).alias("delta"))
 
 
-@add("s04_s06_n21_json", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.v') AS INT) AS v FROM events")
-def _(s, d):
-    """Total readers; malformed JSON gives null."""
-    return X.table(s, d, "events").select("event_id", F.expr("try_cast(get_json_object(props, '$.v') as int)").alias("v"))
-
-
 @add("n22_retry_class", "SELECT event_id, CASE WHEN c IN (429, 503) THEN 'rate_limited' WHEN c IN (401, 403, 404, 408, 409, 425) OR c >= 500 THEN 'transient' WHEN c >= 400 THEN 'rejected' ELSE 'ok' END AS class FROM (SELECT event_id, 200 + event_id % 330 AS c FROM events)")
 def _(s, d):
     c = F.col("event_id") % 330 + 200
-    return X.table(s, d, "events").select("event_id", F.when(c.isin(429, 503), "rate_limited").when(c.isin(401, 403, 404, 408, 409, 425) | (c >= 500), "transient").when(c >= 400, "rejected").otherwise("ok").alias("class"))
+    return X.table(s, d, "events").select("event_id", T.retry_class(c).alias("class"))
 
 
 @add("a09_x08_w09_clusters")
@@ -462,15 +438,6 @@ def _(s, d):
     return X.table(s, d, "documents").select("doc_id", F.floor((n - 1) / 12).alias("page"))
 
 
-@add("j20_azimuth_match", "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < 40 AND b.vec_id < 40 AND abs(a.vec_id * 9.0 - (b.vec_id % 8) * 45.0) <= 1e-8 + 1e-5 * abs((b.vec_id % 8) * 45.0)")
-def _(s, d):
-    """Azimuths equal within a tolerance, joined on a rounded key and its neighbours, then tested."""
-    e = X.table(s, d, "embeddings").filter("vec_id < 40").select("vec_id")
-    a = e.select(F.col("vec_id").alias("a"), (F.col("vec_id") * 9.0).alias("x")).withColumn("cell", F.explode(F.array(*[F.floor(F.col("x") * 10) + k for k in (-1, 0, 1)])))
-    b = e.select(F.col("vec_id").alias("b"), (F.col("vec_id") % 8 * 45.0).alias("y")).withColumn("cell", F.floor(F.col("y") * 10))
-    return a.join(b, "cell").filter(F.abs(F.col("x") - F.col("y")) <= 1e-8 + 1e-5 * F.abs("y")).select("a", "b").distinct()
-
-
 @add("a16_bounding_box", "SELECT label, round((max(x) + min(x)) / 2, 6) AS centre_x, round((max(y) + min(y)) / 2, 6) AS centre_y, round((max(z) + min(z)) / 2, 6) AS centre_z, round(max(x) - min(x), 6) AS extent_x, round(max(y) - min(y), 6) AS extent_y, round(max(z) - min(z), 6) AS extent_z, round(sqrt((max(x) - min(x)) ** 2 + (max(y) - min(y)) ** 2 + (max(z) - min(z)) ** 2) * 1.4, 6) AS radius FROM (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings) GROUP BY 1")
 def _(s, d):
     v = X.table(s, d, "embeddings").select("label", *[F.element_at("embedding", k + 1).cast("double").alias(a) for k, a in enumerate("xyz")])
@@ -602,3 +569,6 @@ def _(s, d):
     status = F.when(k == 7, 429).when(k == 8, 404).when(k == 9, 400).when(k < 7, 200)
     body = F.element_at(F.array(*map(F.lit, bodies)), (F.col("event_id") % 7 + 1).cast("int"))
     return X.table(s, d, "events").select("event_id", T.call_outcome(status, body).alias("outcome"))
+
+
+from polyview.plans import upkeep  # noqa: E402, F401  (registers its queries)

@@ -33,18 +33,13 @@ def test_equals_sql(spark, con, name):
     assert plain(got) == plain(want)
 
 
-def test_collisions_are_gone(spark):
-    got = QUERIES["j17_collisions"](spark, DATA).toPandas()
-    assert got["dest"].is_unique
-
-
-def test_large_collision_groups_are_gone(spark):
+def test_collisions_follow_chains(spark):
+    """All of a contested place go to their stems, which may contest the next place; a zip already at its stem stays there."""
     from polyview.operators.maintenance import divert_collisions
 
-    rows = [(i, "d") for i in range(25)] + [(i, "d" + "-2" * 22) for i in range(100, 103)] + [(200, "e"), (300, None), (301, None)]
-    got = {r.zip: r.dest for r in divert_collisions(spark.createDataFrame(rows, "zip long, dest string")).collect()}
-    assert sorted(got) == sorted(z for z, _ in rows) and got[0] == "d" and got[200] == "e" and got[300] is got[301] is None
-    assert {got[z] for z, d in rows if z < 200} == {"d" + "-2" * k for k in range(28)}
+    rows = [(k, "author", f"z{k}") for k in range(20)] + [(100, "z3", "z100"), (101, "z100", "z101"), (200, "free", "z200"), (300, None, "z300"), (301, None, "z301")]
+    got = {r.zip: r.dest for r in divert_collisions(spark.createDataFrame(rows, "zip long, dest string, stem string")).collect()}
+    assert got == {k: f"z{k}" for k in range(20)} | {100: "z100", 101: "z101", 200: "free", 300: None, 301: None}
 
 
 def test_flat_scope_has_zero_z(spark):
@@ -54,6 +49,23 @@ def test_flat_scope_has_zero_z(spark):
     assert {r.z for r in robust_z(rows).collect()} == {0.0}
 
 
+def test_identity_keeps_the_last_nanosecond(spark):
+    from pyspark.sql import functions as F
+
+    from polyview.operators.identity import file_identity
+
+    times = [1699999999999999999, 1700000000000000000, 0, -1]
+    rows = spark.createDataFrame([(t,) for t in times], "t long").select("t", file_identity(F.lit("a"), F.col("t"), F.lit(5)).alias("id")).collect()
+    assert {r.t: r.id for r in rows} == {t: f"a|{t // 10**9}|5" for t in times}
+
+
+def test_numbering_is_gapless(spark):
+    from polyview.functions.order import numbered
+
+    rows = numbered(spark.range(1000).selectExpr("(id * 37) % 1000 as k"), "k").collect()
+    assert sorted((r.k, r.nth) for r in rows) == [(k, k) for k in range(1000)]
+
+
 def test_unknown_pool(spark):
     from polyview.operators.retrieval import pool
 

@@ -8,15 +8,15 @@ here; the compiled merges pick the one that may follow the last token of the pre
 open all lead back to one common border after a bounded lookahead (no token is longer than the trie is deep);
 the tokens before that border are emitted.
 
-The decoder turns ids into bytes, and an incremental UTF-8 state machine turns bytes into text across any cut.
+The decoder turns ids into bytes, and an incremental UTF-8 state machine turns bytes into text across any cut; the query's
+digests are those of what it emits.
 """
 
 from __future__ import annotations
 
 import base64
-import codecs
 import hashlib
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -159,17 +159,75 @@ class Transducer:
         return ids[::-1]
 
 
-class StreamDecoder:
-    """Ids to bytes and text, token by token; a character cut by a token's end waits for the rest."""
+class Utf8Machine:
+    """An incremental UTF-8 decoder, byte by byte: the bytes of an unfinished character wait; what cannot become one is replaced.
+
+    A state is the number of bytes still due and the range of the next: after E0, ED, F0 and F4 it is narrower, so
+    that overlong forms, surrogates and numbers beyond U+10FFFF are met at their second byte.
+    """
+
+    def __init__(self) -> None:
+        self.due, self.low, self.high, self.code = 0, 0x80, 0xBF, 0
+
+    def take(self, data: bytes) -> str:
+        out: list[str] = []
+        due, low, high, code = self.due, self.low, self.high, self.code
+        for b in data:
+            if due:
+                if low <= b <= high:
+                    due, low, high, code = due - 1, 0x80, 0xBF, code << 6 | b & 0x3F
+                    if not due:
+                        out.append(chr(code))
+                    continue
+                out.append("\ufffd")  # the beginning of a character that does not go on; b is looked at anew
+                due, low, high = 0, 0x80, 0xBF
+            if b < 0x80:
+                out.append(chr(b))
+            elif 0xC2 <= b <= 0xDF:
+                due, code = 1, b & 0x1F
+            elif 0xE0 <= b <= 0xEF:
+                due, code, low, high = 2, b & 0x0F, 0xA0 if b == 0xE0 else 0x80, 0x9F if b == 0xED else 0xBF
+            elif 0xF0 <= b <= 0xF4:
+                due, code, low, high = 3, b & 0x07, 0x90 if b == 0xF0 else 0x80, 0x8F if b == 0xF4 else 0xBF
+            else:
+                out.append("\ufffd")
+        self.due, self.low, self.high, self.code = due, low, high, code
+        return "".join(out)
+
+    def end(self) -> str:
+        torn, self.due = self.due, 0
+        return "\ufffd" if torn else ""
+
+
+class _WholeTokens(dict):
+    """By token: its text, if it begins and ends between characters and holds no other bytes, else None; run once through the machine."""
 
     def __init__(self, tokens: dict[int, bytes]):
-        self._tokens, self._text = tokens, codecs.getincrementaldecoder("utf-8")("replace")
+        super().__init__()
+        self._tokens = tokens
+
+    def __missing__(self, token: int) -> str | None:
+        machine = Utf8Machine()
+        text = machine.take(self._tokens[token])
+        self[token] = None if machine.due or "\ufffd" in text else text
+        return self[token]
+
+
+class StreamDecoder:
+    """Ids to text, token by token; a character cut by a token's end waits in the state machine for the rest."""
+
+    def __init__(self, tokens: dict[int, bytes], whole: _WholeTokens | None = None):
+        self._tokens, self._whole, self._machine = tokens, _WholeTokens(tokens) if whole is None else whole, Utf8Machine()
 
     def feed(self, ids: Iterable[int]) -> str:
-        return self._text.decode(b"".join(map(self._tokens.__getitem__, ids)))
+        ids, machine = list(ids), self._machine
+        texts = list(map(self._whole.__getitem__, ids))
+        if machine.due or None in texts:
+            texts = [t if t is not None and not machine.due else machine.take(self._tokens[i]) for i, t in zip(ids, texts)]
+        return "".join(texts)
 
     def end(self) -> str:
-        return self._text.decode(b"", True)
+        return self._machine.end()
 
 
 _codecs: dict[tuple[str, str], "Codec"] = {}
@@ -199,12 +257,13 @@ class Codec:
 
         self.transducer = Transducer(read_ranks(path))
         self._find, self._ids = regex.compile(pattern).findall, _Memo(self.transducer.piece)
+        self._whole = _WholeTokens(self.transducer.tokens)
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self._ids.__getitem__, self._find(text))))
 
-    def decode(self, ids: Sequence[int]) -> bytes:
-        return b"".join(map(self.transducer.tokens.__getitem__, ids))
+    def decoder(self) -> StreamDecoder:
+        return StreamDecoder(self.transducer.tokens, self._whole)
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -226,9 +285,9 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
             cols: list[list] = [[], [], [], [], []]
             for text in batch.column(1):
                 ids = coder.encode(text.as_py() or "")
-                data = coder.decode(ids)
-                decoder = StreamDecoder(coder.transducer.tokens)
-                for c, v in zip(cols, (len(ids), hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(data).hexdigest(), None if digest_only else ids, None if digest_only else decoder.feed(ids) + decoder.end())):
+                decoder = coder.decoder()
+                decoded = decoder.feed(ids) + decoder.end()
+                for c, v in zip(cols, (len(ids), hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), None if digest_only else ids, None if digest_only else decoded)):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.list_(pa.int32())), pa.array(cols[4], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
 

@@ -4,9 +4,9 @@ Every byte covered by a ``length``-byte string that also starts elsewhere goes.
 have equal smallest 48-byte grams, so strings are compared only within the runs of consecutive windows that share
 their smallest gram:
 
-1. each text is cut into such runs, with hashes of the gram and of the run's bytes; grams that occur once
+1. each text is cut into such runs, with a hash of the gram and a 128-bit digest (BLAKE2b) of the run's bytes; grams that occur once
    are settled by a count;
-2. runs of one gram with equal bytes are copies: all their windows repeat;
+2. runs of one gram with equal digests are copies: all their windows repeat;
 3. grams with differing runs keep one representative of each distinct run.  Its window suffixes are dealt to buckets by
    sampled splitters over the gram's leading bytes, and each bucket sorts them by multikey quicksort with 8-byte
    characters, going on only inside groups that still tie.  Splitters lie between distinct leading bytes, so suffixes
@@ -16,7 +16,8 @@ their smallest gram:
 
 Texts count as UTF-8 bytes, null as empty; matches never cross documents; strings are judged on the input.  Two rows
 with the same id and text are two places of the same strings and get the same result.  Other columns are
-ignored.  Memory is bounded by slices of ``_SLICE`` bytes and by buckets; only a document's own
+ignored.  A row is known by the 128-bit digest of its id and text.  Grams whose 64-bit hashes collide only meet in one group, where bytes are
+compared.  Memory is bounded by slices of ``_SLICE`` bytes and by buckets; only a document's own
 spans and text meet in one row.
 """
 
@@ -63,9 +64,6 @@ class _Hashes:
         up, self._down = _power_tables(len(data) + 1)
         self._sums = np.concatenate([[np.uint64(0)], np.cumsum(_CODES[data] * up[: len(data)])])
 
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return _mix((self._sums[ends] - self._sums[starts]) * self._down[starts] + (ends - starts).astype(np.uint64))
-
     def all(self, n: int) -> np.ndarray:
         """Of every substring of ``n`` bytes."""
         count = len(self._sums) - n
@@ -84,7 +82,7 @@ def _sliding(x: np.ndarray, width: int, pick: np.ufunc, fill: int) -> np.ndarray
 
 
 def cut_runs(slices: list[np.ndarray], length: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one smallest gram: (slice number, first window, last window, gram hash, hash of bytes, whether the gram recurs inside)."""
+    """Runs of windows with one smallest gram: (slice number, first window, last window, gram hash, two halves of the bytes' digest, whether the gram recurs inside)."""
     sizes = np.array([len(s) for s in slices])
     width = length - GRAM + 1
     data = np.concatenate([*slices, np.zeros(length, np.uint8)])
@@ -98,7 +96,7 @@ def cut_runs(slices: list[np.ndarray], length: int) -> tuple[np.ndarray, ...]:
     first = valid & np.concatenate([[True], (low[1:] != low[:-1]) | (owner[1:] != owner[:-1]) | ~valid[:-1]])
     starts = np.flatnonzero(first)
     if not len(starts):
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
+        return tuple(np.zeros(0, np.int64) for _ in range(7))
     run = np.cumsum(first) - 1
     ends = np.zeros(len(starts), np.int64)
     ok = np.flatnonzero(valid)
@@ -112,7 +110,10 @@ def cut_runs(slices: list[np.ndarray], length: int) -> tuple[np.ndarray, ...]:
     for p, q in zip(chosen[near].tolist(), chosen[near + 1].tolist()):
         again[run[max(0, q - width)] : run[min(len(run) - 1, p + 1)] + 1] = True
     where = owner[starts]
-    return where, starts - offsets[where], ends - offsets[where], low[starts], hashes.of(starts, ends + length), again
+    raw = data.tobytes()
+    digests = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), (ends + length).tolist()))
+    halves = np.frombuffer(digests, "<i8").reshape(-1, 2)
+    return where, starts - offsets[where], ends - offsets[where], low[starts], halves[:, 0], halves[:, 1], again
 
 
 def _slices(text: bytes, length: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -128,9 +129,11 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            where, first, last, gram, content, again = cut_runs([s for _, _, s in held], length)
-            keys, shift = np.array([k for k, _, _ in held]), np.array([o for _, o, _ in held])
-            return pa.RecordBatch.from_arrays([pa.array(gram.astype(np.uint64).view(np.int64)), pa.array(content.astype(np.uint64).view(np.int64)), pa.array(keys[where]), pa.array((first + shift[where]).astype(np.int32)), pa.array((last + shift[where]).astype(np.int32)), pa.array(again.astype(bool))], names=["gram", "content", "row", "first", "last", "again"])
+            where, first, last, gram, one, two, again = cut_runs([s for _, _, s in held], length)
+            keys, shift = pa.array([k for k, _, _ in held], pa.binary()), np.array([o for _, o, _ in held])
+            places = [pa.array((x + shift[where]).astype(np.int32)) for x in (first, last)]
+            arrays = [pa.array(gram.astype(np.uint64).view(np.int64)), pa.array(one), pa.array(two), keys.take(pa.array(where)), *places, pa.array(again.astype(bool))]
+            return pa.RecordBatch.from_arrays(arrays, names=["gram", "one", "two", "row", "first", "last", "again"])
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
@@ -143,7 +146,7 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("row", "text").mapInArrow(run, "gram long, content long, row long, first int, last int, again boolean")
+    return docs.select("row", "text").mapInArrow(run, "gram long, one long, two long, row binary, first int, last int, again boolean")
 
 
 def _fetch(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
@@ -159,9 +162,9 @@ def _fetch(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
                     grams = _Hashes(np.frombuffer(data, np.uint8)).all(GRAM)
                     at = int(np.argmax(grams == np.uint64(r["gram"] & 0xFFFFFFFFFFFFFFFF)))
                     rows.append((data[at : at + 16], r["gram"], row["row"], r["first"], r["done"], r["hot"], data))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()))], names=["lead", "gram", "row", "first", "done", "hot", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()))], names=["lead", "gram", "row", "first", "done", "hot", "data"])
 
-    return wanted.join(docs, "row").select("row", "runs", "text").mapInArrow(run, "lead binary, gram long, row long, first int, done boolean, hot boolean, data binary")
+    return wanted.join(docs, "row").select("row", "runs", "text").mapInArrow(run, "lead binary, gram long, row binary, first int, done boolean, hot boolean, data binary")
 
 
 def repeated_windows(groups: np.ndarray, data: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,16 +209,16 @@ def repeated_windows(groups: np.ndarray, data: list[bytes], length: int) -> tupl
     return owner, offset, again
 
 
-def _spans(row: np.ndarray, first: np.ndarray, owner: np.ndarray, offset: np.ndarray, again: np.ndarray, length: int) -> pa.RecordBatch:
+def _spans(row: list[bytes], first: np.ndarray, owner: np.ndarray, offset: np.ndarray, again: np.ndarray, length: int) -> pa.RecordBatch:
     """Stretches of repeated windows as (row, start, stop)."""
     hit = np.flatnonzero(again)
     if not len(hit):
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.int32())], names=["row", "start", "stop"])
+        return pa.RecordBatch.from_arrays([pa.array([], pa.binary()), pa.array([], pa.int32()), pa.array([], pa.int32())], names=["row", "start", "stop"])
     begin = np.concatenate([[True], (owner[hit][1:] != owner[hit][:-1]) | (np.diff(offset[hit]) != 1)])
     end = np.concatenate([begin[1:], [True]])
     own = owner[hit][begin]
     base = first[own]
-    return pa.RecordBatch.from_arrays([pa.array(row[own]), pa.array((base + offset[hit][begin]).astype(np.int32)), pa.array((base + offset[hit][end] + length).astype(np.int32))], names=["row", "start", "stop"])
+    return pa.RecordBatch.from_arrays([pa.array(row, pa.binary()).take(pa.array(own)), pa.array((base + offset[hit][begin]).astype(np.int32)), pa.array((base + offset[hit][end] + length).astype(np.int32))], names=["row", "start", "stop"])
 
 
 def _sort_buckets(length: int):
@@ -228,7 +231,7 @@ def _sort_buckets(length: int):
         def settle() -> pa.RecordBatch:
             groups, rows, first, done, data = zip(*held)
             owner, offset, again = repeated_windows(np.array(groups), list(data), length)
-            return _spans(np.array(rows), np.array(first), owner, offset, again & ~np.array(done)[owner], length)
+            return _spans(list(rows), np.array(first), owner, offset, again & ~np.array(done)[owner], length)
 
         for batch in batches:
             for r in batch.to_pylist():
@@ -251,30 +254,31 @@ def _window_digests(length: int):
             for r in batch.to_pylist():
                 n = len(r["data"]) - length + 1
                 digests = [hashlib.blake2b(r["data"][k : k + length], digest_size=16).digest() for k in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([r["row"]] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32) + r["first"]), pa.array([r["done"]] * n, pa.bool_())], names=["digest", "row", "start", "done"])
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([r["row"]] * n, pa.binary()), pa.array(np.arange(n, dtype=np.int32) + r["first"]), pa.array([r["done"]] * n, pa.bool_())], names=["digest", "row", "start", "done"])
 
     return run
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.xxhash64("id", "text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = docs.withColumn("row", F.unhex(F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("\n"), "text"))))
     runs = _runs(docs, length)
-    grams = runs.groupBy("gram").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"), F.max("again").alias("inside"))
-    grams = grams.filter("n > 1 or inside").select("gram", (F.col("inside") | (F.col("low") != F.col("high"))).alias("mixed"))
+    grams = runs.groupBy("gram").agg(F.count("*").alias("n"), *[f(half).alias(f"{name}_{half}") for half in ("one", "two") for name, f in (("low", F.min), ("high", F.max))], F.max("again").alias("inside"))
+    grams = grams.filter("n > 1 or inside").selectExpr("gram", "inside or low_one <> high_one or low_two <> high_two as mixed")
     repeated = stage_table(runs.join(grams, "gram"), "runs")
 
     copies = repeated.filter("not mixed").select("row", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
     mixed = repeated.filter("mixed")
-    classes = stage_table(mixed.groupBy("gram", "content").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "last")).alias("at")).select("gram", "content", (F.col("n") > 1).alias("done"), "at.*"), "classes")
-    folded = mixed.join(classes.filter("done").select("gram", "content"), ["gram", "content"]).select("row", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
+    classes = stage_table(mixed.groupBy("gram", "one", "two").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "last")).alias("at")).select("gram", "one", "two", (F.col("n") > 1).alias("done"), "at.*"), "classes")
+    folded = mixed.join(classes.filter("done").select("gram", "one", "two"), ["gram", "one", "two"]).select("row", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
 
     # grams whose classes are all copies need no text
     per_gram = classes.groupBy("gram").agg(F.count("*").alias("n"), F.bool_and("done").alias("all_done")).filter("not all_done").select("gram", (F.col("n") > _HOT).alias("hot"))
     wanted = classes.join(per_gram, "gram").groupBy("row").agg(F.collect_list(F.struct("gram", "first", "last", "done", "hot")).alias("runs"))
     fetched = stage_table(_fetch(wanted, docs, length), "representatives")
-    sorted_spans = fetched.filter("not hot").repartitionByRange("lead", "gram").sortWithinPartitions("lead", "gram").select("gram", "row", "first", "done", "data").mapInArrow(_sort_buckets(length), "row long, start int, stop int")
-    digests = fetched.filter("hot").select("row", "first", "done", "data").mapInArrow(_window_digests(length), "digest binary, row long, start int, done boolean")
+    sorted_spans = fetched.filter("not hot").repartitionByRange("lead", "gram").sortWithinPartitions("lead", "gram").select("gram", "row", "first", "done", "data").mapInArrow(_sort_buckets(length), "row binary, start int, stop int")
+    digests = fetched.filter("hot").select("row", "first", "done", "data").mapInArrow(_window_digests(length), "digest binary, row binary, start int, done boolean")
     twice = digests.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
     hot_spans = digests.filter("not done").join(twice, "digest").select("row", "start", (F.col("start") + length).alias("stop"))
 

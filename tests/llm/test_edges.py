@@ -234,3 +234,18 @@ def test_quality_counts_and_posterior_against_brute_force(spark):
         assert r.n_symbols == sum(c in "#*$%&|<>" for c in t) and r.n_dup_lines == len(lines) - len(set(lines))
         assert r.posterior == pytest.approx(Q.posterior(votes[i], prior, chance), abs=1e-9)
         assert r.kept == (not r.base_failed and r.posterior >= 0.5)
+
+
+def test_utf8_machine_equals_the_library():
+    """Every cut of valid and torn bytes, against the codec's replacement rule."""
+    import random
+
+    from polyview.llm.bpe_transducer import Utf8Machine
+
+    random.seed(3)
+    cases = ["aé日𝄞".encode(), b"\xe0\x80\x80", b"\xed\xa0\x80", b"\xf4\x90\x80\x80", b"\xc0\xaf", b"\xf0\x9f\x92", b"\xe2\x82a\xff"]
+    cases += [bytes(random.choice([0x41, 0x80, 0xBF, 0xC3, 0xE0, 0xE2, 0xED, 0xF0, 0xF4, 0xF5, 0x9F, 0xA0]) for _ in range(12)) for _ in range(2000)]
+    for data in cases:
+        for cut in range(len(data) + 1):
+            machine = Utf8Machine()
+            assert machine.take(data[:cut]) + machine.take(data[cut:]) + machine.end() == data.decode("utf-8", "replace")

@@ -1,10 +1,13 @@
 """Bound-certified best-fit packing of token pieces (operator 9).
 
 Pieces are dealt to groups by hash.  Each group packs by best-fit decreasing and takes a lower
-bound on its number of sequences from dual feasible functions.  A group that meets its bound is final;
-the others keep their well-filled sequences and hand the pieces of their emptiest ones to an exchange, where pieces
-of several groups meet in fewer groups and are packed again.  After the last round every
-sequence stands as it is.
+bound on its number of sequences from dual feasible functions.  A group that meets its bound keeps all but its emptiest
+sequence; the others keep their well-filled ones and hand the pieces of their emptiest to an exchange, where pieces
+of many groups meet in fewer groups and are packed again.  Every group gives half of its sequences at most, so the
+exchange shrinks from round to round; it ends when it is a single group, whose sequences stand as they are.
+
+The counts of all lengths (a row a length) give a bound for the whole table, returned with every piece as ``table_bound``: no packing
+has fewer sequences.
 
 Null or empty text: one piece with only the end id.  Null ids are kept; rows that share an id are
 packed as separate documents.
@@ -71,8 +74,12 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def dual_feasible_bound(lengths: np.ndarray, capacity: int) -> int:
-    """A lower bound on the number of bins, the best of two families of dual feasible functions."""
-    counts = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    """A lower bound on the number of bins for items of these lengths."""
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def bound_of_counts(counts: np.ndarray, capacity: int) -> int:
+    """The same from the number of items of each length: the best of two families of dual feasible functions."""
     size = np.arange(capacity + 1)
     best = -(-int((counts * size).sum()) // capacity)
     above, mass = np.cumsum(counts[::-1])[::-1], np.cumsum(counts * size)
@@ -93,9 +100,10 @@ def _pack_group(capacity: int, last: bool):
         lengths = rows["length"].to_numpy()
         bins, offsets, n_bins = best_fit_decreasing(lengths, capacity)
         bound, final = dual_feasible_bound(lengths, capacity), np.ones(len(rows), bool)
-        if n_bins > bound and not last:
+        if not last:
             free = capacity - np.bincount(bins, weights=lengths, minlength=n_bins)
-            give = np.argsort(-free, kind="stable")[: max(16 * (n_bins - bound), n_bins // 8)]
+            most = max(16 * (n_bins - bound), n_bins // 8) if n_bins > bound else 1
+            give = np.argsort(-free, kind="stable")[: min(most, max(1, n_bins // 2))]
             final = ~np.isin(bins, give[free[give] > 0])
         group = int(key[0])
         return rows.drop(columns="group_no").assign(sequence_id=group * (1 << 24) + bins, offset=offsets, final=final, bound=bound)
@@ -103,15 +111,16 @@ def _pack_group(capacity: int, last: bool):
     return pack
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 1024, group_size: int = 2048, rounds: int = 4) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = 1024, group_size: int = 16384) -> DataFrame:
     """Place pieces (doc_id, piece, start, length, ids_crc32, salt): adds sequence_id and offset."""
     done: DataFrame | None = None
     pool = pieces
-    for turn in range(rounds):
+    turn = 0
+    while True:
         n = pool.count()
         if n == 0 and done is not None:
             break
-        groups, last = max(1, -(-n // group_size)), turn == rounds - 1 or n <= group_size
+        groups, last = max(1, -(-n // group_size)), n <= group_size
         group = F.pmod(F.xxhash64(F.lit(turn), "doc_id", "piece", "salt"), F.lit(groups)) + F.lit(turn << 36)
         placed = stage_table(pool.select(*[c for c in pieces.columns], group.alias("group_no")).groupBy("group_no").applyInPandas(_pack_group(capacity, last), _PLACED), f"packed{turn}")
         kept = placed.filter("final")
@@ -119,8 +128,14 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, group_size: int = 2048,
         pool = placed.filter("not final").select(*pieces.columns)
         if last:
             break
+        turn += 1
     return done.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return pack_pieces(stage_table(cut_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces"), capacity)
+    """Every piece of every document with its place, and the whole table's bound."""
+    pieces = stage_table(cut_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
+    counts = np.zeros(capacity + 1, np.int64)
+    for row in pieces.groupBy("length").count().collect():  # one row a length
+        counts[row["length"]] = row["count"]
+    return pack_pieces(pieces, capacity).withColumn("table_bound", F.lit(bound_of_counts(counts, capacity)).cast("long"))

@@ -249,3 +249,22 @@ def test_utf8_machine_equals_the_library():
         for cut in range(len(data) + 1):
             machine = Utf8Machine()
             assert machine.take(data[:cut]) + machine.take(data[cut:]) + machine.end() == data.decode("utf-8", "replace")
+
+
+def test_packing_whole_table(spark):
+    """Every token of every document once, gapless sequences within the capacity, close to the bound of the whole table."""
+    from polyview.llm import packing as K
+
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(1, 1025, 9000)
+    pieces = spark.createDataFrame([(i, 0, 0, int(n), i, i) for i, n in enumerate(lengths)], K._PIECES)
+    rows = K.pack_pieces(pieces, group_size=2048).collect()
+    assert sorted((r.doc_id, r.length) for r in rows) == sorted((i, n) for i, n in enumerate(lengths.tolist()))
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append((r.offset, r.length))
+    for places in by.values():
+        places.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(places, places[1:])) and places[0][0] == 0 and sum(places[-1]) <= 1024
+    bound, single = K.dual_feasible_bound(lengths, 1024), K.best_fit_decreasing(lengths, 1024)[2]
+    assert bound <= single and bound <= len(by) <= single * 1.01, (bound, len(by), single)

@@ -15,13 +15,18 @@ Null or empty html: empty text.  A page without a URL or without a neighbour on
 differencing.  A page that would lose all its undecided lines keeps them (its twin is a copy, not a frame).
 Repeated rows, null ids and null URLs are rows of their own.  Other columns are ignored.  All work on a page is linear in its length, but for the
 alignment, which takes time by the product of the two pages' lines over 64 and memory by their sum.
-Lines of a pair are compared by 64-bit hashes.
+Lines of a pair are compared by 64-bit hashes; a page is known by a 128-bit digest of id, URL and html.
+
+Pages are parsed twice: once for the hashes of their lines, which are put in order and aligned, and once for the lines themselves,
+which meet the outcome in a single shuffle, deflated.  No copy of the pages is written.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -191,15 +196,49 @@ def shared_lines(mine: list[int], other: list[int]) -> list[bool]:
     return marked
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _key(page_id: int | None, url: str | None, source: str | None) -> bytes:
+    return hashlib.blake2b(repr((page_id, url)).encode() + b"\0" + (source or "").encode(), digest_size=16).digest()
+
+
+def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, page_id, url and line hashes of pages with a URL and a line."""
     for batch in batches:
-        cols: list[list] = [[], [], []]
-        for source in batch.column(2):
+        rows = []
+        for page_id, url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            lines = page_lines(source.as_py() or "") if url is not None else []
+            if lines:
+                rows.append((_key(page_id, url, source.as_py()), page_id, url, [hash_line(t) for t, _ in lines]))
+        cols = zip(*rows) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int64(), pa.string(), pa.list_(pa.int64())))], names=["key", "page_id", "url", "hashes"])
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, page_id, url, and all lines with their regions, deflated (lines hold no line breaks)."""
+    for batch in batches:
+        keys, packed = [], []
+        for page_id, url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             lines = page_lines(source.as_py() or "")
-            for c, v in zip(cols, ([t for t, _ in lines], [r for _, r in lines], [hash_line(t) for t, _ in lines])):
+            keys.append(_key(page_id, url, source.as_py()))
+            packed.append(zlib.compress("\n".join(f"{r}{t}" for t, r in lines).encode("utf-8", "surrogatepass"), 6))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["key", "page_id", "url", "packed"])
+
+
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """page_id, url, text, n_shared, n_beside from packed lines and the flags of shared ones."""
+    for batch in batches:
+        cols: list[list] = [[], [], []]
+        for packed, gone in zip(batch.column(2), batch.column(3).to_pylist()):
+            body = zlib.decompress(packed.as_py()).decode("utf-8", "surrogatepass")
+            lines = [(x[1:], int(x[0])) for x in body.split("\n")] if body else []
+            gone = gone or [False] * len(lines)
+            undecided = [g for (_, r), g in zip(lines, gone) if r == OPEN]
+            twin = bool(undecided) and all(undecided)
+            stays = [r == MAIN or r == OPEN and (twin or not g) for (_, r), g in zip(lines, gone)]
+            away = [g for s, g in zip(stays, gone) if not s]
+            for c, v in zip(cols, ("\n\n".join(t for (t, _), s in zip(lines, stays) if s), sum(away), len(away) - sum(away))):
                 c.append(v)
-        arrays = [pa.array(c, t) for c, t in zip(cols, (pa.list_(pa.string()), pa.list_(pa.int8()), pa.list_(pa.int64())))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["page_id", "url", "lines", "regions", "hashes"])
+        arrays = [pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["page_id", "url", "text", "n_shared", "n_beside"])
 
 
 def hash_line(text: str) -> int:
@@ -241,15 +280,12 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars, n_shared, n_beside of every page."""
-    parsed = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    parsed = parsed.mapInArrow(_parse, "page_id long, url string, lines array<string>, regions array<tinyint>, hashes array<long>")
-    # the numbers are written with the rows, so they stay whatever is computed again
-    parsed = stage_table(parsed.withColumn("key", F.monotonically_increasing_id()), "pages")
+    pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     host = F.lower(F.regexp_extract("url", "^[a-zA-Z]+://([^/?#]*)", 1))
     path = F.regexp_replace(F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]*([^?#]*)", 1), "/$", "")
-    light = parsed.filter("url is not null and size(hashes) > 0").select("key", host.alias("host"), path.alias("path"), "page_id", "hashes")
+    light = pages.mapInArrow(_outline, "key binary, page_id long, url string, hashes array<long>").select("key", host.alias("host"), path.alias("path"), "page_id", "hashes")
     ordered = light.repartitionByRange("host", "path", "page_id", "key").sortWithinPartitions("host", "path", "page_id", "key")
-    numbered = ordered.mapInArrow(_number, "key long, host string, path string, page_id long, hashes array<bigint>, part int, place long")
+    numbered = ordered.mapInArrow(_number, "key binary, host string, path string, page_id long, hashes array<bigint>, part int, place long")
     numbered = stage_table(numbered, "order")
     sizes = numbered.groupBy("part").agg(F.count("*").alias("n"))  # one row a part
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -263,14 +299,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     paired = asking.join(neighbour(-1, "before"), "nth", "left").join(neighbour(1, "after"), "nth", "left")
     same = lambda name: F.when(F.col("host") == F.col(f"host_{name}"), F.col(f"path_{name}"))
     paired = paired.select("key", "path", "hashes", same("before").alias("path_before"), "before", same("after").alias("path_after"), "after")
-    shared = paired.mapInArrow(_difference, "key long, gone array<boolean>")
-
-    region, gone = lambda i: F.get("regions", i), lambda i: F.coalesce(F.get("gone", i), F.lit(False))
-    every = parsed.join(shared, "key", "left")
-    open_left = F.filter("lines", lambda x, i: (region(i) == OPEN) & ~gone(i))
-    every = every.withColumn("twin", F.size(open_left) == 0)
-    stays = lambda i: (region(i) == MAIN) | ((region(i) == OPEN) & (~gone(i) | F.col("twin")))
-    count = lambda test: F.size(F.filter("lines", lambda x, i: ~stays(i) & test(i))).cast("long")
-    text = F.array_join(F.filter("lines", lambda x, i: stays(i)), "\n\n")
-    every = every.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), text.alias("text"), count(gone).alias("n_shared"), count(lambda i: ~gone(i)).alias("n_beside"))
-    return every.select(id_col, url_col, "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_beside")
+    # repeated rows have equal flags: each has a twin beside it
+    shared = paired.mapInArrow(_difference, "key binary, gone array<boolean>").groupBy("key").agg(F.first("gone").alias("gone"))
+    packed = pages.mapInArrow(_lines, "key binary, page_id long, url string, packed binary")
+    out = packed.join(shared, "key", "left").select("page_id", "url", "packed", "gone").mapInArrow(_kept, "page_id long, url string, text string, n_shared long, n_beside long")
+    return out.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_beside")

@@ -41,9 +41,12 @@ def line_chunks(docs: DataFrame) -> DataFrame:
 def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with repeated chunks gone, and n_lines, n_removed_lines."""
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
-    # input columns travel in one struct, so that no name of theirs meets one used here
-    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    boxed = boxed.withColumn("row", F.unhex(F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("\n"), "text"))))
+    # input columns travel under names of their own, so that none meets one used here
+    inner = {c: {id_col: "id", text_col: "text"}.get(c, f"in_{k}") for k, c in enumerate(columns)}
+    boxed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()])
+    # never null, so that both kinds of join below read the one exchange of texts
+    digest = F.unhex(F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))))
+    boxed = boxed.withColumn("row", F.coalesce(digest, F.lit(bytearray())))
     chunks = line_chunks(boxed).filter("n_lines > 1").withColumn("hash", F.xxhash64("text"))
     # by bytes, pre-aggregated before the only shuffle of chunk texts; then the number of texts behind a hash
     first = F.min(F.struct("id", "row", "chunk")).alias("first")
@@ -58,7 +61,7 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
         exact = groups.join(mixed, "hash", "left_semi").filter("n > 1").select("hash", "text", F.col("first.row").alias("first_row"), F.col("first.chunk").alias("first_chunk"))
         gone = gone.union(chunks.join(exact, ["hash", "text"]).filter(again).select("row", "chunk"))
     gone = gone.groupBy("row").agg(F.collect_set("chunk").alias("gone"))
-    marked = boxed.select("doc", "row").join(gone, "row", "left").withColumn("text", F.col("doc").getField(text_col))
+    marked = boxed.join(gone, "row", "left")
 
     last = F.size("lines") - 1
     ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | _border(F.col("digests"), i))
@@ -66,7 +69,7 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     begin = lambda k: F.coalesce(F.get("ends", k - 1), F.lit(-1)) + 2
     part = F.transform("ends", lambda e, k: F.when(~F.array_contains("gone", k), F.slice("lines", begin(k), e + 2 - begin(k))))
     touched = touched.withColumn("kept", F.flatten(F.filter(part, lambda x: x.isNotNull())))
-    unbox = lambda new: [new.alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in columns]
+    unbox = lambda new: [new.alias(c) if c == text_col else F.col(n).alias(c) for c, n in inner.items()]
     touched = touched.select(*unbox(F.array_join("kept", "\n")), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_removed_lines"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
     whole = marked.filter("gone is null").select(*unbox(F.col("text")), n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed_lines"))

@@ -57,6 +57,34 @@ def test_line_chunks(docs):
     assert rows[1].text is None
 
 
+def test_passages_inside_other_texts_go_whole(spark):
+    """Repeated passages of 2 to 12 lines between lines of their own, against all repeated pairs of lines."""
+    import random
+
+    from polyview.llm.line_dedup import TARGET, remove_repeated_chunks
+
+    rnd = random.Random(5)
+    line = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    shared = [[line(rnd.choice([2, 9, 25])) for _ in range(rnd.randrange(2, 13))] + [line(25), line(12)] for _ in range(20)]
+    texts = [[x for p in rnd.sample(shared, 3) for x in [line(9) for _ in range(rnd.randrange(1, 4))] + p] + [line(5)] for _ in range(60)]
+    got = {r.doc_id: r.text for r in remove_repeated_chunks(spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        gone = {j for k in range(1, len(t)) if (t[k - 1], t[k]) in seen for j in (k - 1, k)}
+        seen |= set(zip(t, t[1:]))
+        want[i] = "\n".join(x for j, x in enumerate(t) if j not in gone)
+    assert 2 * TARGET < len(line(25) + line(12)) and got == want
+
+
+def test_lines_with_empty_lines_and_repeats(spark):
+    from polyview.llm.line_dedup import remove_repeated_chunks
+
+    p, q = "first paragraph " * 9, "second paragraph " * 9
+    rows = [(1, f"{p}\n\n{q}\n\nown a"), (2, f"own b\n\n{p}\n\n{q}\n\nown c"), (3, f"{p}\nalone"), (4, "\n\n\n"), (5, "\n\n\n"), (6, f"{q}\n{q}\n{q}")]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed_lines) for r in remove_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 5, 0), 2: ("own b\n\nown c", 7, 4), 3: (rows[2][1], 2, 0), 4: ("\n\n\n", 4, 0), 5: ("\n\n\n", 4, 0), 6: (q, 3, 2)}
+
+
 def test_line_chunks_with_clashing_hashes(docs, monkeypatch):
     """Chunks that differ but share a hash are told apart by their bytes."""
     from polyview.llm import line_dedup as L

@@ -108,7 +108,7 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     # never null, so that both kinds of join below read the one exchange of texts
     boxed = boxed.withColumn("row", F.coalesce(digest, F.lit(bytearray())))
     gone = stage_table(repeated_places(boxed.select("row", "id", "text")), "gone")
-    marked = boxed.join(gone, "row", "left")
+    marked = boxed.join(gone.hint("merge"), "row", "left")  # lost lines grow with the input: never broadcast
 
     def count(text: Column) -> Column:
         return F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"))) + 1

@@ -3,6 +3,7 @@
 A rolling hash over the digests of a line and the line before it decides where chunks end, so that lines inserted in one
 copy move no border farther on.  The chance of a border grows with the bytes of the two lines: lines that hold ``TARGET`` bytes
 together always have one between their chunk and the next, so chunks hold about as many bytes, whatever the length of lines.
+A line that repeats the one before it always ends a chunk.
 
 A border whose two lines follow each other elsewhere too is an anchor.  From each anchor the match is extended
 line by line over the chunk that ends there and the next one: pairs of neighbouring lines are grouped, and a pair that occurs
@@ -43,7 +44,7 @@ def _borders(lines: Column, digests: Column) -> Column:
 
     def ends(i: Column) -> Column:
         rolling = F.conv(F.substring(F.md5(F.concat(F.get(digests, i - 1), F.get(digests, i))), 1, 8), 16, 10).cast("long")
-        return (i == last) | (rolling % TARGET < F.octet_length(F.get(lines, i - 1)) + F.octet_length(F.get(lines, i)))
+        return (i == last) | (F.get(digests, i - 1) == F.get(digests, i)) | (rolling % TARGET < F.octet_length(F.get(lines, i - 1)) + F.octet_length(F.get(lines, i)))
 
     return F.when(last > 0, F.filter(F.sequence(F.lit(1), last), ends))
 
@@ -129,7 +130,7 @@ ORACLE = rf"""
 WITH d AS (SELECT DISTINCT doc_id, text, string_split(regexp_replace(text, '\n([^\n])', chr(1) || 'line' || chr(1) || '\1', 'g'), chr(1) || 'line' || chr(1)) AS l
            FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, text, i, l[i] AS line, CASE WHEN i > 1 THEN l[i - 1] END AS prev, len(l) AS n FROM d, unnest(range(1, len(l) + 1)) AS u(i)),
-b AS (SELECT *, CASE WHEN i = 1 THEN 0 WHEN i = n THEN 1
+b AS (SELECT *, CASE WHEN i = 1 THEN 0 WHEN i = n OR prev = line THEN 1
       WHEN ('0x' || substr(md5(md5(prev) || md5(line)), 1, 8))::BIGINT % {TARGET} < strlen(prev) + strlen(line) THEN 1 ELSE 0 END AS ends FROM l),
 k AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id, text ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM b),
 a AS (SELECT doc_id, text, chunk FROM k WHERE ends = 1 QUALIFY count(*) OVER (PARTITION BY prev, line) > 1),

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from polyview.plans.registry import QUERIES
 
-NAMES = ["p03_pool_softmax_query", "p01_pool_mean", "j05_j06_l03_similar", "w04_top3", "a12_n18_n19_ensemble", "j14_u01_tree_compare", "n26_n27_f12_zip_plan", "w13_r07_breaker", "f01_f20_names"]
+NAMES = ["p03_pool_softmax_query", "p01_pool_mean", "j05_j06_l03_similar", "w04_top3", "a12_n18_n19_ensemble", "j14_u01_tree_compare", "n26_n27_f12_zip_plan", "w13_r07_breaker", "f01_names"]
 
 
 def main() -> None:

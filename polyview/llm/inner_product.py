@@ -1,7 +1,9 @@
 """Exact top-k inner products, norm-sorted with SVD-rotated partial sums (operator 8).
 
 The Gram matrix of all vectors (dimension squared numbers) gives the rotation that puts most of the energy into the first
-coordinates.  Queries are dealt to blocks and rows to parts by hash; each part meets each block once.  Within a
+coordinates.  Rows are dealt to levels of descending length, a level to parts, and queries to blocks.  First every query
+meets one part of the longest rows; the k-th score it finds there is its floor.  Then a query goes only to
+levels whose longest row can still reach that floor, and starts there with it.  Within a
 task rows go by descending length in strips.  A pair's partial sum over the first rotated
 coordinates plus the Cauchy-Schwarz bound on the rest decides whether its exact integer product is needed, and a strip
 whose longest row cannot reach any query's k-th score ends the task.  Scores are exact 64-bit integers.
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,6 +28,8 @@ from polyview.llm.shared import stage_table
 
 QUERY_BLOCK = 2048
 ROW_PART = 4096
+LEVELS = 16
+_LOW = -(1 << 62)
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -67,20 +71,20 @@ def _search(k: int, rotation: dict[int, np.ndarray], head: int, strip: int = 512
             ci, c_id, length = ci[order], c_id[order], length[order]
             qr, cr = qi @ turn, ci @ turn
             q_rest, c_rest = np.sqrt((qr[:, head:] ** 2).sum(axis=1)), np.sqrt((cr[:, head:] ** 2).sum(axis=1))
-            q_length = np.sqrt((qi * qi).sum(axis=1))
-            low = -(1 << 62)
-            best, best_id = np.full((len(q_id), k), low), np.full((len(q_id), k), np.iinfo(np.int64).max)
+            q_length, floor = np.sqrt((qi * qi).sum(axis=1)), q["floor"].to_numpy()
+            best, best_id = np.full((len(q_id), k), _LOW), np.full((len(q_id), k), np.iinfo(np.int64).max)
             for s in range(0, len(c_id), strip):
-                worst = best[:, -1].astype(np.float64)
+                reach = np.maximum(best[:, -1], floor)
+                worst = reach.astype(np.float64)
                 slack = 1e-6 * q_length * length[s] + 1
-                live = np.flatnonzero((q_length * length[s] + slack >= worst) | (best[:, -1] == low))
+                live = np.flatnonzero((q_length * length[s] + slack >= worst) | (reach == _LOW))
                 if not len(live):
                     break
                 block = slice(s, s + strip)
                 bound = qr[live, :head] @ cr[block, :head].T + q_rest[live][:, None] * c_rest[block] + slack[live][:, None]
                 # exact products only where the bound reaches the k-th score so far
                 x, y = np.nonzero((bound >= worst[live][:, None]) & (c_id[block] != q_id[live][:, None]))
-                score = np.full(bound.shape, low)
+                score = np.full(bound.shape, _LOW)
                 for j in range(0, len(x), 1 << 16):
                     a, b = x[j : j + (1 << 16)], y[j : j + (1 << 16)]
                     score[a, b] = np.einsum("ij,ij->i", qi[live[a]], ci[s + b])
@@ -88,27 +92,70 @@ def _search(k: int, rotation: dict[int, np.ndarray], head: int, strip: int = 512
                 ids = np.concatenate([best_id[live], np.broadcast_to(c_id[block], score.shape)], axis=1)
                 pick = np.lexsort((ids, -every), axis=1)[:, :k]
                 best[live], best_id[live] = np.take_along_axis(every, pick, 1), np.take_along_axis(ids, pick, 1)
-            real = best > low
-            out.append(pd.DataFrame({"query_id": np.repeat(q_id, k)[real.reshape(-1)], "vec_id": best_id[real], "score": best[real]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype=np.int64), "vec_id": pd.Series(dtype=np.int64), "score": pd.Series(dtype=np.int64)})
+            real = best > _LOW
+            out.append(pd.DataFrame({"slot": np.repeat(q["slot"].to_numpy(), k)[real.reshape(-1)], "query_id": np.repeat(q_id, k)[real.reshape(-1)], "vec_id": best_id[real], "score": best[real]}))
+        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype=np.int64) for c in ("slot", "query_id", "vec_id", "score")})
 
     return run
 
 
-def top_products(vectors: DataFrame, is_query: str, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", head: int = 16) -> DataFrame:
-    """query_id, rank, vec_id, score of the k largest integer inner products of every row for which ``is_query`` (SQL on id) holds."""
-    rows = stage_table(integer_vectors(vectors, scale, id_col, vector_col).withColumn("is_query", F.expr(is_query)), "vectors")
+def _levels(rows: DataFrame, part_rows: int) -> tuple[Column, list[Row]]:
+    """The level of a row by its length, longest first, and of each level: its number, rows, greatest length, parts."""
+    n = rows.count()
+    count = min(LEVELS, -(-n // part_rows))
+    cuts = sorted(set(rows.approxQuantile("length", [i / count for i in range(1, count)], 0.01))) if count > 1 else []
+    level = sum((F.when(F.col("length") < c, 1).otherwise(0) for c in cuts), F.lit(0))
+    stats = rows.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.max("length").alias("top")).orderBy("level").collect()  # at most LEVELS rows
+    return level, stats
+
+
+def top_products(vectors: DataFrame, is_query: str, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", head: int = 16, part_rows: int = ROW_PART) -> DataFrame:
+    """query_id, rank, vec_id, score of the k largest integer inner products of every row for which ``is_query`` (SQL on id) holds.
+
+    ``part_rows`` is the number of rows that one task compares at a time with a block of queries.
+    """
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    rows = integer_vectors(vectors, scale, id_col, vector_col).withColumn("is_query", F.expr(is_query)).withColumn("length", length)
+    rows = stage_table(rows.withColumn("slot", F.monotonically_increasing_id()), "vectors")  # written, so a row keeps its slot
     sums = rows.select("id", "v").mapInArrow(_gram, "size int, gram array<double>").collect()  # dimension squared numbers a task
     rotation: dict[int, np.ndarray] = {}
     for size in {r["size"] for r in sums}:
         gram = sum(np.array(r["gram"]).reshape(size, size) for r in sums if r["size"] == size)
         rotation[size] = np.linalg.eigh(gram)[1][:, ::-1]
-    n = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()
-    blocks, parts = max(1, -(-n["q"] // QUERY_BLOCK)), max(1, -(-n["n"] // ROW_PART))
-    spread = F.xxhash64("id", "v")
-    queries = rows.filter("is_query").select("id", "v", F.lit(True).alias("is_query"), F.pmod(spread, F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    candidates = rows.select("id", "v", F.lit(False).alias("is_query"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(spread, F.lit(parts)).cast("int").alias("part"))
-    local = queries.unionByName(candidates).groupBy("block", "part").applyInPandas(_search(k, rotation, head), "query_id long, vec_id long, score long")
+    level, stats = _levels(rows, part_rows)
+    blocks = max(1, -(-rows.filter("is_query").count() // QUERY_BLOCK))
+    spread = F.xxhash64("slot")
+    parts, first = {}, 0  # of a level: its first part and how many it has
+    for r in stats:
+        parts[r["level"]] = (first, -(-r["n"] // part_rows))
+        first += parts[r["level"]][1]
+
+    part = F.lit(0)
+    for at, (start, many) in parts.items():
+        part = F.when(F.col("level") == at, F.lit(start) + F.pmod(spread, F.lit(many)).cast("int")).otherwise(part)
+    candidates = rows.withColumn("level", level).select("id", "v", "slot", "level", part.cast("int").alias("part"))
+    queries = rows.filter("is_query").select("id", "v", "slot", "length", F.pmod(spread, F.lit(blocks)).cast("int").alias("block"))
+
+    def meet(asked: DataFrame, held: DataFrame) -> DataFrame:
+        """Local results of queries (with block, part, floor) and candidates (with part), which go to every block."""
+        asked = asked.select("id", "v", "slot", "floor", "block", "part", F.lit(True).alias("is_query"))
+        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        held = held.select("id", "v", "slot", F.lit(_LOW).alias("floor"), every.alias("block"), "part", F.lit(False).alias("is_query"))
+        return asked.unionByName(held).groupBy("block", "part").applyInPandas(_search(k, rotation, head), "slot long, query_id long, vec_id long, score long")
+
+    local = meet(queries.select("*", F.lit(_LOW).alias("floor"), F.lit(0).alias("part")), candidates.filter("part = 0"))
+    if first > 1:
+        seed = stage_table(local, "seed")
+        floors = seed.groupBy("slot").agg(F.count("*").alias("n"), F.min("score").alias("floor")).filter(F.col("n") >= k).select("slot", "floor")
+        asked = queries.join(floors, "slot", "left").withColumn("floor", F.coalesce("floor", F.lit(_LOW)))
+        ranges = [F.struct(F.lit(float(r["top"])).alias("top"), F.lit(max(1, parts[r["level"]][0])).alias("a"), F.lit(sum(parts[r["level"]]) - 1).alias("z")) for r in stats if sum(parts[r["level"]]) > 1]
+        # as in a task: length times length, with slack for rounding, against the k-th score
+        open_ = F.filter(F.array(*ranges), lambda p: F.col("length") * p.top * (1 + 1e-6) + 1 >= F.col("floor"))
+        asked = asked.select("*", F.explode(F.flatten(F.transform(open_, lambda p: F.sequence(p.a, p.z)))).alias("part"))
+        asked = stage_table(asked, "asked")
+        last = asked.agg(F.max("part")).first()[0]
+        rest = meet(asked, candidates.filter((F.col("part") > 0) & (F.col("part") <= (last or 0))))
+        local = seed.unionByName(rest)
     # row_number with a limit is cut to k rows before the shuffle as well
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return local.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

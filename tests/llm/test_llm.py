@@ -218,6 +218,23 @@ def test_inner_products(spark):
     assert got == sorted(want)
 
 
+def test_inner_products_over_levels(spark):
+    """Many parts and levels: lengths from 0 to 3 digits, a hot vector, ties, two vector sizes."""
+    from polyview.llm.inner_product import top_products
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 8)) * 10 ** rng.uniform(-2, 1, size=(600, 1))
+    x[200:400] = x[200]
+    rows = [(i, v.tolist() if i % 7 else v[:5].tolist()) for i, v in enumerate(x)] + [(600 + i, [0.0] * 8) for i in range(60)]
+    got = sorted(map(tuple, top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id % 50 = 0", part_rows=40).collect()))
+    v = {i: np.floor(np.array(w) * 256).astype(int) for i, w in rows}
+    want = []
+    for q in range(0, 660, 50):
+        others = [c for c in v if c != q and len(v[c]) == len(v[q])]
+        want += [(q, k + 1, c, int(v[q] @ v[c])) for k, c in enumerate(sorted(others, key=lambda c: (-int(v[q] @ v[c]), c))[:5])]
+    assert got == sorted(want)
+
+
 def test_packing(docs):
     from polyview.llm.packing import best_fit_decreasing, dual_feasible_bound, pack_documents
 

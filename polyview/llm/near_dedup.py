@@ -8,9 +8,10 @@ similarity 0.85 is missed with probability 7e-5, one with 0.9 with 1e-6.
 A document has a partner only if it shares a key of A and a key of B with others, so only keys
 that at least two sets share are paired up.  Documents with equal sets are folded first.  In each bucket every
 member names the bucket's smallest id; each document is verified against the hub that most of its buckets name, and
-components are formed.  Keys of A whose documents then still lie in several components are compared across components,
-in square blocks, by signatures; pairs that may reach the threshold are verified on full sets, likeliest first, unless
-earlier links have joined their components.
+components are formed.  In each bucket whose documents then still lie in several components, those outside the bucket's
+largest component are compared with all others, in blocks, by signatures; documents of one component never meet, so a
+large group of copies costs rows and not pairs.  Pairs that may reach the threshold are verified on full sets, likeliest
+first, unless earlier links have joined their components.
 
 Words are runs without ASCII white space, A-Z lower-cased, as bytes.  Null and blank texts have an empty
 set and no links.  Every row has its result row; rows that share an id each have the class of their own set.  Rows with a null id
@@ -146,24 +147,23 @@ def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
 
 def _candidates(rows: pd.DataFrame, percent: int, cut: int) -> list[tuple[int, int, int]]:
     """(places agreed on, left row, right row) of a block pair: other component, sizes and signatures near enough,
-    and no earlier lane shared, so that each pair is looked at in one bucket only."""
+    and no earlier table shared, so that each pair is looked at in one bucket only."""
     left, right = np.flatnonzero(rows["side"] == 0), np.flatnonzero(rows["side"] == 1)
     if not len(left) or not len(right):
         return []
     sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
-    lanes = np.stack(rows["a"].to_list())
-    ids, comp, size = (rows[c].to_numpy() for c in ("id", "component", "n_shingles"))
-    lane, same_block = int(rows["lane"].iloc[0]), rows["i"].iloc[0] == rows["j"].iloc[0]
+    a, b = np.stack(rows["a"].to_list()), np.stack(rows["b"].to_list())
+    lane_a, lane_b = divmod(int(rows["table"].iloc[0]), a.shape[1])
+    ids, comp, size, minor = (rows[c].to_numpy() for c in ("id", "component", "n_shingles", "minor"))
     out = []
     for x in left:
         fit = (comp[right] != comp[x]) & (100 * np.minimum(size[right], size[x]) >= percent * np.maximum(size[right], size[x]))
-        if same_block:
-            fit &= ids[right] > ids[x]
+        fit &= ~minor[right] | (ids[right] > ids[x])  # two rows outside the largest component meet twice
         other = right[fit]
         agreed = (sig[other] == sig[x]).sum(axis=1)
         other, agreed = other[agreed >= cut], agreed[agreed >= cut]
         if len(other):
-            first = (lanes[other] == lanes[x]).argmax(axis=1) == lane
+            first = ((a[other] == a[x]).argmax(axis=1) == lane_a) & ((b[other] == b[x]).argmax(axis=1) == lane_b)
             out += zip(agreed[first].tolist(), [int(x)] * int(first.sum()), other[first].tolist())
     return out
 
@@ -173,7 +173,7 @@ def _open_rows(percent: int, cut: int):
 
     def scan(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         part = sorted({r for _, x, y in _candidates(rows, percent, cut) for r in (x, y)})
-        return rows.iloc[part][["bucket", "i", "j", "lane", "id", "component", "side"]]
+        return rows.iloc[part][["bucket", "i", "j", "table", "id", "component", "minor", "side"]]
 
     return scan
 
@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, tables
     mine = lanes.join(shared, ["lane", "key"]).groupBy("id").agg(F.collect_list(F.struct("lane", "key")).alias("keys"))
     first, second = F.filter("keys", lambda x: x.lane < tables), F.filter("keys", lambda x: x.lane >= tables)
     mine = mine.select("id", first.alias("a"), second.alias("b")).filter("size(a) > 0 and size(b) > 0")
-    table_keys = mine.select("id", F.explode("a").alias("x"), "b").select("id", "x", F.explode("b").alias("y")).select(F.xxhash64("x", "y").alias("bucket"), "id")
+    table_keys = mine.select("id", F.explode("a").alias("x"), "b").select("id", "x", F.explode("b").alias("y")).select(F.xxhash64("x", "y").alias("bucket"), (F.col("x.lane") * tables + F.col("y.lane") - tables).alias("table"), "id")
     table_keys = stage_table(table_keys, "buckets")
     buckets = table_keys.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub < top").select("bucket", "hub")
     members = stage_table(table_keys.join(buckets, "bucket"), "members")
@@ -232,19 +232,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, tables
     links = stage_table(_verify(best, docs, shingle, percent), "links")
     component = connected_components(links)
 
-    # keys of A whose documents lie in several components: compare across, in square blocks
+    # buckets whose documents lie in several components: the rows outside the largest one meet all others, in blocks
     cut = int(2 * tables * rows * (percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / (2 * tables * rows)) ** 0.5))
-    waiting = members.select("id").distinct()
-    told = mine.join(waiting, "id").select("id", F.explode("a").alias("x")).join(component, "id", "left").select(F.xxhash64("x").alias("bucket"), F.col("x.lane").alias("lane"), "id", F.coalesce("component", "id").alias("component"))
-    told = stage_table(told, "told")
-    split = told.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high")
-    split = split.select("bucket", F.ceil(F.col("n") / _BLOCK).cast("int").alias("blocks"))
-    rows_ = told.join(split, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows_ = rows_.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    sides = F.when(F.col("block") == F.col("o"), F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("block") > F.col("o")).cast("int")))
-    sided = rows_.select("bucket", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "lane", "id", "component", F.explode(sides).alias("side"))
-    light = reps.select("id", "n_shingles", "a", "sig")
-    taking = sided.join(light, "id").groupBy("bucket", "i", "j").applyInPandas(_open_rows(percent, cut), "bucket long, i int, j int, lane int, id long, component long, side int")
+    homes = members.join(component, "id", "left").select("bucket", "table", "id", F.coalesce("component", "id").alias("component"))
+    homes = stage_table(homes, "homes")
+    counts = homes.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    split = counts.groupBy("bucket").agg(F.count("*").alias("components"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main")).filter("components > 1")
+    blocks = lambda n: F.ceil(n / _BLOCK).cast("int")
+    split = split.select("bucket", "main.component", blocks(F.col("n") - F.col("main.n")).alias("lefts"), blocks(F.col("n")).alias("rights")).withColumnRenamed("component", "main")
+    rows_ = homes.join(split, "bucket").withColumn("minor", F.col("component") != F.col("main"))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_left = F.transform(every("rights"), lambda j: F.struct(block("lefts").alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    as_right = F.transform(every("lefts"), lambda i: F.struct(i.alias("i"), block("rights").alias("j"), F.lit(1).alias("side")))
+    places = F.when(F.col("minor"), F.concat(as_left, as_right)).otherwise(as_right)
+    sided = rows_.select("bucket", "table", "id", "component", "minor", F.explode(places).alias("at")).select("bucket", "at.i", "at.j", "table", "id", "component", "minor", "at.side")
+    light = reps.select("id", "n_shingles", "a", "b", "sig")
+    taking = sided.join(light, "id").groupBy("bucket", "i", "j").applyInPandas(_open_rows(percent, cut), "bucket long, i int, j int, table int, id long, component long, minor boolean, side int")
     taking = stage_table(taking, "open")
     more = taking.join(light, "id").join(docs, "id").groupBy("bucket", "i", "j").applyInPandas(_links_across(percent, cut, shingle), "a long, b long")
     more = stage_table(more, "links")

@@ -205,6 +205,34 @@ def test_pipeline_drops_near_copies_from_four_fifths(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3]
 
 
+def test_near_duplicates_against_brute_force(spark):
+    """Chains, a hot group of near copies and unlike texts, at both thresholds in use, against all pairs on full sets."""
+    from polyview.llm.near_dedup import near_duplicates
+
+    rng = np.random.default_rng(5)
+    base = [[f"w{x}" for x in rng.integers(0, 5000, 120)] for _ in range(12)]
+    texts = [" ".join(rng.integers(0, 300, 60).astype(str)) for _ in range(60)]
+    for k, words in enumerate(base):
+        for _ in range(40 if k == 0 else 8):
+            words = list(words) if k else list(base[0])  # the first group stays near its source, the others drift in chains
+            for at in rng.integers(0, 120, rng.integers(0, 4)):
+                words[at] = f"z{rng.integers(0, 10**6)}"
+            texts.append(" ".join(words))
+    texts += texts[60:70]
+    rows = [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts)]
+    grams = {i: frozenset(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)) for i, t in rows}
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(8).cache()
+    for percent, tables in ((85, 14), (80, 20)):
+        root = {i: i for i in grams}
+        for _ in grams:  # smallest ids spread along links until nothing changes
+            new = {i: min([root[i]] + [root[j] for j in grams if 100 * len(grams[i] & grams[j]) >= percent * len(grams[i] | grams[j])]) for i in grams}
+            if new == root:
+                break
+            root = new
+        got = {r.doc_id: r.component_id for r in near_duplicates(table, percent=percent, tables=tables).collect()}
+        assert got == root and 1 < len(set(root.values())) < len(root)
+
+
 def test_inner_products(spark):
     from polyview.llm.inner_product import top_products
 

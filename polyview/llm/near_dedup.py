@@ -7,8 +7,8 @@ similarity 0.85 is missed with probability 7e-5, one with 0.9 with 1e-6.
 
 A document has a partner only if it shares a key of A and a key of B with others, so only keys
 that at least two sets share are paired up.  Documents with equal sets are folded first.  In each bucket every
-member names the bucket's smallest id; each document is verified against the hub that most of its buckets name, and
-components are formed.  In each bucket whose documents then still lie in several components, those outside the bucket's
+member names the bucket's smallest and its greatest id; each document is verified against the hub of either kind that most
+of its buckets name, and components are formed.  In each bucket whose documents then still lie in several components, those outside the bucket's
 largest component are compared with all others, in blocks, by signatures; documents of one component never meet, so a
 large group of copies costs rows and not pairs.  Pairs that may reach the threshold are verified on full sets, likeliest
 first, unless earlier links have joined their components.
@@ -227,11 +227,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, tables
     mine = mine.select("id", first.alias("a"), second.alias("b")).filter("size(a) > 0 and size(b) > 0")
     table_keys = mine.select("id", F.explode("a").alias("x"), "b").select("id", "x", F.explode("b").alias("y")).select(F.xxhash64("x", "y").alias("bucket"), (F.col("x.lane") * tables + F.col("y.lane") - tables).alias("table"), "id")
     table_keys = stage_table(table_keys, "buckets")
-    buckets = table_keys.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub < top").select("bucket", "hub")
+    buckets = table_keys.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub < top")
     members = stage_table(table_keys.join(buckets, "bucket"), "members")
 
-    votes = members.filter("hub < id").groupBy("id", "hub").agg(F.count("*").alias("n"))
-    best = votes.groupBy("id").agg(F.max(F.struct("n", (-F.col("hub")).alias("low"))).alias("best")).select((-F.col("best.low")).alias("a"), F.col("id").alias("b"))
+    ends = members.select("id", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("hub").alias("other")), F.struct(F.lit(1).alias("end"), F.col("top").alias("other")))).alias("e")).select("id", "e.*").filter("other <> id")
+    votes = ends.groupBy("id", "end", "other").agg(F.count("*").alias("n"))
+    best = votes.groupBy("id", "end").agg(F.max(F.struct("n", (-F.col("other")).alias("low"))).alias("best")).select((-F.col("best.low")).alias("a"), F.col("id").alias("b"))
+    best = best.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.max(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
     links = stage_table(_verify(best, docs, shingle, percent), "links")
     component = connected_components(links)
 

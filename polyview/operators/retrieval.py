@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from polyview.functions.order import medians
 from polyview.functions.vectors import dot
 
 POOLS = ("mean", "max", "softmax")
@@ -35,11 +36,10 @@ def pool(sims: DataFrame, mode: str, by: list[str]) -> DataFrame:
 def robust_z(scores: DataFrame, by: str = "text_id") -> DataFrame:
     """Adds z against the median and the scaled median deviation of the scoped scores; a flat scope has z 0.
 
-    Two exact medians as aggregates, joined back on the few keys: no text's scores meet in one task.
+    Two exact medians from counts of narrow bins, joined back on the few keys: no text's scores meet in one task.
     """
-    mid = scores.groupBy(by).agg(F.median("score").alias("mid"))
-    off = scores.join(mid, by).withColumn("off", F.abs(F.col("score") - F.col("mid")))
-    spread = off.groupBy(by).agg((F.median("off") * 1.4826 + 1e-9).alias("spread"))
+    off = scores.join(medians(scores, by, "score"), by).withColumn("off", F.abs(F.col("score") - F.col("mid")))
+    spread = medians(off, by, "off").select(by, (F.col("mid") * 1.4826 + 1e-9).alias("spread"))
     return off.join(spread, by).withColumn("z", (F.col("score") - F.col("mid")) / F.col("spread")).drop("mid", "off", "spread")
 
 

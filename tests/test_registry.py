@@ -82,3 +82,18 @@ def test_stl_reader():
     assert read_stl(b"x" * 80 + struct.pack("<I", 1) + record).shape == (1, 3, 3)
     assert read_stl(b"x" * 80 + struct.pack("<I", 9) + record * 2).shape == (2, 3, 3)  # a lying header
     assert read_stl(b"solid a\nfacet normal") is None
+
+
+def test_medians_are_exact(spark):
+    import statistics
+
+    import numpy as np
+
+    from polyview.functions.order import medians
+
+    rng = np.random.default_rng(3)
+    groups = {"odd": rng.normal(size=301), "even": rng.normal(size=300), "ties": np.repeat(0.25, 500), "one": [7.5], "far": [-1e9, 3.0, 1e9, 1e12], "two": [0.0, 1.0], "near": 1 + rng.normal(size=50) * 1e-9}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("odd", None), ("none", None)]
+    got = {r.k: r.mid for r in medians(spark.createDataFrame(rows, "k string, x double"), "k", "x").collect()}
+    assert got == {k: statistics.median([float(x) for x in v]) for k, v in groups.items()}
+    assert medians(spark.createDataFrame([], "k string, x double"), "k", "x").count() == 0

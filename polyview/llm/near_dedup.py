@@ -147,16 +147,15 @@ def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
 
 def _candidates(rows: pd.DataFrame, percent: int, cut: int) -> list[tuple[int, int, int]]:
     """(places agreed on, left row, right row) within each bucket: other component, sizes and signatures near enough,
-    and no earlier table shared, so that each pair is looked at in one bucket only."""
+    and the first table they share among the bucket's, so that each pair is looked at in one place only."""
     sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
     a, b = np.stack(rows["a"].to_list()), np.stack(rows["b"].to_list())
-    bucket, table, ids, comp, size, minor, side = (rows[c].to_numpy() for c in ("bucket", "table", "id", "component", "n_shingles", "minor", "side"))
+    bucket, held, ids, comp, size, minor, side = (rows[c].to_numpy() for c in ("bucket", "held", "id", "component", "n_shingles", "minor", "side"))
     order = np.lexsort((side, bucket))
     out = []
     for run in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
         cut_at = np.searchsorted(side[run], 1)
         right = run[cut_at:]
-        lane_a, lane_b = divmod(int(table[run[0]]), a.shape[1])
         for x in run[:cut_at]:
             fit = (comp[right] != comp[x]) & (100 * np.minimum(size[right], size[x]) >= percent * np.maximum(size[right], size[x]))
             fit &= ~minor[right] | (ids[right] > ids[x])  # two rows outside the largest component meet twice
@@ -166,7 +165,7 @@ def _candidates(rows: pd.DataFrame, percent: int, cut: int) -> list[tuple[int, i
             agreed = (sig[other] == sig[x]).sum(axis=1)
             other, agreed = other[agreed >= cut], agreed[agreed >= cut]
             if len(other):
-                first = ((a[other] == a[x]).argmax(axis=1) == lane_a) & ((b[other] == b[x]).argmax(axis=1) == lane_b)
+                first = np.isin((a[other] == a[x]).argmax(axis=1) * a.shape[1] + (b[other] == b[x]).argmax(axis=1), held[x])
                 out += zip(agreed[first].tolist(), [int(x)] * int(first.sum()), other[first].tolist())
     return out
 
@@ -176,7 +175,7 @@ def _open_rows(percent: int, cut: int):
 
     def scan(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         part = sorted({r for _, x, y in _candidates(rows, percent, cut) for r in (x, y)})
-        return rows.iloc[part][["bucket", "i", "j", "table", "id", "component", "minor", "side"]]
+        return rows.iloc[part][["bucket", "i", "j", "held", "id", "component", "minor", "side"]]
 
     return scan
 
@@ -239,26 +238,33 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, tables
     cut = int(2 * tables * rows * (percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / (2 * tables * rows)) ** 0.5))
     homes = members.join(component, "id", "left").select("bucket", "table", "id", F.coalesce("component", "id").alias("component"))
     homes = stage_table(homes, "homes")
-    # buckets with the same members hold the same pairs: the one of the earliest table, which is each pair's first, stands for all
+    # buckets with the same largest component and the same rows outside it are merged, so a row of the component comes once
     marks = {"n": F.count("*"), "x": F.bit_xor(F.xxhash64("id")), "y": F.bit_xor(F.xxhash64("id", F.lit(1))), "table": F.min("table")}
     counts = homes.groupBy("bucket", "component").agg(*(f.alias(c) for c, f in marks.items()))
-    split = counts.groupBy("bucket").agg(F.count("*").alias("components"), F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.min("table").alias("table"))
-    split = split.filter("components > 1").groupBy("n", "x", "y", "main").agg(F.min(F.struct("table", "bucket")).alias("at"))
-    blocks = lambda n: F.ceil(n / _BLOCK).cast("int")
-    split = split.select("at.bucket", "n", F.col("main.component").alias("main"), blocks(F.col("n") - F.col("main.n")).alias("lefts"), blocks(F.col("n")).alias("rights"))
+    split = counts.groupBy("bucket").agg(F.count("*").alias("components"), F.max(F.struct("n", "component", "x", "y")).alias("main"), F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.min("table").alias("table"))
+    outside = [(F.col("n") - F.col("main.n")).alias("minors"), F.col("x").bitwiseXOR(F.col("main.x")).alias("x"), F.col("y").bitwiseXOR(F.col("main.y")).alias("y")]
+    split = split.filter("components > 1").select("bucket", "table", F.col("main.component").alias("main"), *outside)
+    # a row outside has one bucket a table, so there are at most tables**2 buckets to merge
+    split = split.groupBy("main", "minors", "x", "y").agg(F.collect_list("bucket").alias("of"), F.min("bucket").alias("to"), F.sort_array(F.collect_set("table")).alias("held"))
     split = stage_table(split, "split")
+    merged = homes.join(split.select(F.explode("of").alias("bucket"), "to", "main"), "bucket").groupBy("to", "id").agg(F.first("component").alias("component"), F.first("main").alias("main"))
+    merged = stage_table(merged.withColumnRenamed("to", "bucket"), "merged")
+    blocks = lambda n: F.ceil(F.col(n) / _BLOCK).cast("int")
+    sizes = merged.groupBy("bucket").agg(F.count("*").alias("n")).join(split.select(F.col("to").alias("bucket"), "minors", "held"), "bucket")
+    sizes = stage_table(sizes.select("bucket", "n", "held", blocks("minors").alias("lefts"), blocks("n").alias("rights")), "sizes")
     # small buckets share a group of about four blocks of rows; a large bucket has a group for each pair of blocks
-    batches = 1 + (split.filter("rights = 1").agg(F.sum("n")).first()[0] or 0) // (4 * _BLOCK)
-    split = split.withColumn("batch", F.when(F.col("rights") == 1, F.pmod("bucket", F.lit(batches))).otherwise(F.col("bucket"))).drop("n")
-    rows_ = homes.join(split, "bucket").withColumn("minor", F.col("component") != F.col("main"))
+    batches = 1 + (sizes.filter("rights = 1").agg(F.sum("n")).first()[0] or 0) // (4 * _BLOCK)
+    sizes = sizes.withColumn("batch", F.when(F.col("rights") == 1, F.pmod("bucket", F.lit(batches))).otherwise(F.col("bucket"))).drop("n")
+    rows_ = merged.join(sizes, "bucket").withColumn("minor", F.col("component") != F.col("main"))
+    rows_ = rows_.withColumn("held", F.when(F.col("minor"), F.col("held")))
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     as_left = F.transform(every("rights"), lambda j: F.struct(block("lefts").alias("i"), j.alias("j"), F.lit(0).alias("side")))
     as_right = F.transform(every("lefts"), lambda i: F.struct(i.alias("i"), block("rights").alias("j"), F.lit(1).alias("side")))
     places = F.when(F.col("minor"), F.concat(as_left, as_right)).otherwise(as_right)
-    sided = rows_.select("batch", "bucket", "table", "id", "component", "minor", F.explode(places).alias("at")).select("batch", "bucket", "at.i", "at.j", "table", "id", "component", "minor", "at.side")
+    sided = rows_.select("batch", "bucket", "held", "id", "component", "minor", F.explode(places).alias("at")).select("batch", "bucket", "at.i", "at.j", "held", "id", "component", "minor", "at.side")
     light = reps.select("id", "n_shingles", "a", "b", "sig")
-    taking = sided.join(light, "id").groupBy("batch", "i", "j").applyInPandas(_open_rows(percent, cut), "bucket long, i int, j int, table int, id long, component long, minor boolean, side int")
+    taking = sided.join(light, "id").groupBy("batch", "i", "j").applyInPandas(_open_rows(percent, cut), "bucket long, i int, j int, held array<int>, id long, component long, minor boolean, side int")
     taking = stage_table(taking, "open")
     more = taking.join(light, "id").join(docs, "id").groupBy("bucket", "i", "j").applyInPandas(_links_across(percent, cut, shingle), "a long, b long")
     more = stage_table(more, "links")

@@ -82,13 +82,21 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_line_dedup": op2_line_dedup, "op5_surrogates": op5_surrogates, "op8_top_products": op8_top_products, "op10_page_text": op10_page_text, "op4_substring_dedup": op4_substring_dedup, "op7_near_dedup": op7_near_dedup, "op3_token_ids": op3_token_ids, "op6_bpe": op6_bpe, "op9_packing": op9_packing}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyview.llm.fill_middle import fill_in_middle, restore
+
+    out = fill_in_middle(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(restore(F.col("form"), F.col("output")), 256).alias("restored_sha256")
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_line_dedup": op2_line_dedup, "op5_surrogates": op5_surrogates, "op8_top_products": op8_top_products, "op10_page_text": op10_page_text, "op4_substring_dedup": op4_substring_dedup, "op7_near_dedup": op7_near_dedup, "op3_token_ids": op3_token_ids, "op6_bpe": op6_bpe, "op9_packing": op9_packing, "op11_fill_middle": op11_fill_middle}
 
 
 def _oracles() -> dict[str, str]:
-    from polyview.llm import inner_product, line_dedup
+    from polyview.llm import fill_middle, inner_product, line_dedup
 
-    return {"op2_line_dedup": line_dedup.ORACLE, "op8_top_products": inner_product.ORACLE}
+    return {"op11_fill_middle": fill_middle.ORACLE, "op2_line_dedup": line_dedup.ORACLE, "op8_top_products": inner_product.ORACLE}
 
 
 ORACLES: dict[str, str] = _oracles()

@@ -99,13 +99,19 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(rows.unionByName(own)))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_line_dedup": op2_line_dedup, "op5_surrogates": op5_surrogates, "op8_top_products": op8_top_products, "op10_page_text": op10_page_text, "op4_substring_dedup": op4_substring_dedup, "op7_near_dedup": op7_near_dedup, "op3_token_ids": op3_token_ids, "op6_bpe": op6_bpe, "op9_packing": op9_packing, "op11_fill_middle": op11_fill_middle, "op12_chat_format": op12_chat_format}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyview.llm.prefix_trie import number_turns, prefix_trie, rebuild
+
+    return prefix_trie(*rebuild(number_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_line_dedup": op2_line_dedup, "op5_surrogates": op5_surrogates, "op8_top_products": op8_top_products, "op10_page_text": op10_page_text, "op4_substring_dedup": op4_substring_dedup, "op7_near_dedup": op7_near_dedup, "op3_token_ids": op3_token_ids, "op6_bpe": op6_bpe, "op9_packing": op9_packing, "op11_fill_middle": op11_fill_middle, "op12_chat_format": op12_chat_format, "op13_prefix_trie": op13_prefix_trie}
 
 
 def _oracles() -> dict[str, str]:
-    from polyview.llm import chat_format, fill_middle, inner_product, line_dedup
+    from polyview.llm import chat_format, fill_middle, inner_product, line_dedup, prefix_trie
 
-    return {"op11_fill_middle": fill_middle.ORACLE, "op12_chat_format": chat_format.ORACLE, "op2_line_dedup": line_dedup.ORACLE, "op8_top_products": inner_product.ORACLE}
+    return {"op11_fill_middle": fill_middle.ORACLE, "op12_chat_format": chat_format.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE, "op2_line_dedup": line_dedup.ORACLE, "op8_top_products": inner_product.ORACLE}
 
 
 ORACLES: dict[str, str] = _oracles()

@@ -15,12 +15,14 @@ import re
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 #: Names all tables of this process.
 _RUN = uuid.uuid4().hex
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,14 +49,29 @@ def stage_table(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+def read_tables(tables: list[DataFrame]) -> DataFrame:
+    """Staged tables of one schema as one, by a single scan."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[_paths[t] for t in tables])
+
+
+def drop_table(table: DataFrame) -> None:
+    """Delete one staged table, when nothing that is still to run reads it."""
+    _delete(table.sparkSession, _paths.pop(table))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_tables(spark: SparkSession) -> None:
     """Delete every staged table of this process; results that have not been written or collected are lost with them."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _folder(spark))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -2,7 +2,10 @@
 
 A page becomes lines, one a block, each marked by where it stands: in boilerplate (navigation, page
 headers and footers, sidebars, forms, notices, adverts, reader comments, scripts and styles), in the main
-part (``article``, else ``main``), or undecided.
+part (``article``, else ``main``), or undecided.  A class, id or role marks boilerplate by whole names: ``share``, ``cookie-banner`` and
+``site-footer-2`` do, ``share-price`` and ``lead-menu`` do not, as every part of a name must be a word of boilerplate or one that
+stands beside such words.  Names never mark ``article`` or ``main`` themselves; an element around them that its name marks is kept for their
+sake if the page has no other main part, unless it holds reader comments.  A page whose main parts keep no line counts as one without.
 
 Every page with a URL is differenced.  Pages are put in order of host and URL path, and each is paired with the neighbour in that
 order whose path shares the longest beginning (with both, if they share as much).  A longest common
@@ -42,27 +45,37 @@ from polyview.llm.shared import stage_table
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>")
-_ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\shidden(?:[\s=/]|\Z)|display\s*:\s*none", re.I)
-_WORDS = re.compile(r"[^a-z]+")
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++)))?")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[^\x00-\x7f]+")
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp"}
 _RAW_ENDS = {name: re.compile(rf"</{name}[\s/>]", re.I) for name in _RAW}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody tfoot thead tr ul".split())
 _AWAY = {"head", "nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "svg", "object", "audio", "video", "canvas"}
-#: Words of class, id or role that mark boilerplate.
+#: Words of class, id or role that mark boilerplate, and those that may stand beside them in one name (share-buttons, but not share-price).
+_BESIDE_WORDS = set("area bar block body bottom box button buttons col column container content field form group header holder icon icons inner item items left link links list main mini mobile module outer page panel primary right row secondary section site slot small sticky text title top unit wrap wrapper zone".split())
+_COMMENT_WORDS = {"comment", "comments", "commentlist", "disqus", "reply", "replies", "respond"}
 _AWAY_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar aside widget widgets related recommended share sharing social comment comments commentlist disqus reply replies respond footer copyright skip search login masthead complementary contentinfo".split())
 
 AWAY, OPEN, MAIN = 0, 1, 2
 
 
+@lru_cache(4096)
+def boilerplate_words(name: str) -> frozenset[str]:
+    """The words of a class, id or role that mark boilerplate: none unless all its parts are such words, or stand beside them."""
+    parts = [p.lower() for p in _PARTS.findall(name)]
+    return frozenset(p for p in parts if p in _AWAY_WORDS) if all(p in _AWAY_WORDS or p in _BESIDE_WORDS or p.isdigit() for p in parts) else frozenset()
+
+
 def page_lines(source: str) -> list[tuple[str, int]]:
     """(text, region) of every block with text, in page order."""
-    stack: list[tuple[str, bool, int]] = []  # name, boilerplate, part: 0 none, 1 main, 2 article
+    # name; boilerplate: 0 not, 1 by names outside any main part, 2 surely; part: 0 none, 1 main, 2 article
+    stack: list[tuple[str, int, int]] = []
     open_tags: Counter[str] = Counter()
-    lines: list[tuple[str, bool, int]] = []
+    lines: list[tuple[str, int, int]] = []
     held: list[str] = []
-    away, part = False, 0
+    away = part = 0
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(held)).split())
@@ -127,22 +140,29 @@ def page_lines(source: str) -> list[tuple[str, int]]:
                         break
                     if stack[k][0] in _BLOCKS:
                         break
-            words, roles = set(), set()
-            for attribute, *values in _ATTRIBUTE.findall(tag[3]):
-                got = set(_WORDS.split("".join(values).lower()))
-                words |= got
-                roles |= got if attribute.lower() == "role" else set()
-            outer = stack[-1][1] if stack else False
+            outer = stack[-1][1] if stack else 0
             inside = stack[-1][2] if stack else 0
-            marked = name not in ("html", "body") and bool(words & _AWAY_WORDS)
-            gone = outer or name in _AWAY or (name == "header" and inside < 2) or marked or bool(_HIDDEN.search(tag[3]))
-            stack.append((name, gone, max(inside, 2 if name == "article" else 1 if name == "main" or "main" in roles else 0)))
+            words: set[str] = set()
+            hidden = is_main = False
+            for attribute, *values in _ATTRIBUTE.findall(tag[3]):
+                attribute, value = attribute.lower(), "".join(values)
+                hidden |= attribute == "hidden" or (attribute == "style" and bool(_NO_DISPLAY.search(entities.unescape(value))))
+                is_main |= attribute == "role" and value.strip().lower() == "main"
+                if attribute in ("class", "id", "role"):
+                    words.update(*map(boilerplate_words, entities.unescape(value).split()))
+            gone = outer
+            if hidden or name in _AWAY or (name == "header" and inside < 2):
+                gone = 2
+            elif words and not is_main and name not in ("html", "body", "article", "main"):
+                gone = max(outer, 2 if inside or words & _COMMENT_WORDS else 1)
+            stack.append((name, gone, max(inside, 2 if name == "article" else 1 if name == "main" or is_main else 0)))
             open_tags[name] += 1
-        away, part = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        away, part = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
     flush()
-    best = max((p for _, gone, p in lines if not gone), default=0)
-    if best:
-        return [(t, MAIN if not gone and p == best else AWAY) for t, gone, p in lines]
+    for limit in (0, 1):  # a main part inside an element that only its name marks counts where the page has no other
+        best = max((p for _, gone, p in lines if gone <= limit), default=0)
+        if best:
+            return [(t, MAIN if gone <= limit and p == best else AWAY) for t, gone, p in lines]
     return [(t, AWAY if gone else OPEN) for t, gone, _ in lines]
 
 

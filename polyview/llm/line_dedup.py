@@ -7,10 +7,11 @@ A line that repeats the one before it always ends a chunk.
 
 A border whose two lines follow each other elsewhere too is an anchor.  From each anchor the match is extended
 line by line over the chunk that ends there and the next one: pairs of neighbouring lines are grouped, and a pair that occurs
-again is removed at all places but its first (smallest document id, then place).  So a repeated passage goes
+again is removed at all places but its first (smallest document id, then place).  Both lines of a pair's first place stay, even if
+another pair would remove one of them, so every pair that is removed anywhere still stands whole in some result.  A repeated passage goes
 whole if a border lies between two of its lines, whatever stands around it; one without is missed.  A passage of
 two or more lines with 2 * TARGET bytes in lines of any length nearly always has one.  Single lines are never removed, but where a
-line repeats itself in a row one of them stays.
+line repeats itself in a row two of them stay.
 
 Lines are known by 64-bit hashes only after all lines with a hash were found to hold the same bytes; lines that differ
 under one hash are numbered and told apart by hash and number.  Pairs that hold a large share of all pairs are salted.
@@ -94,9 +95,10 @@ def repeated_places(docs: DataFrame) -> DataFrame:
     pairs = stage_table(_pairs(pairs, "place", "id"), "pairs")
     groups = pairs.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "place")).alias("first")).filter("n > 1")
     groups = stage_table(groups.select("k1", "k2", "n", F.col("first.row").alias("first_row"), F.col("first.place").alias("first_place")), "groups")
-    again = _salted_join(pairs.drop("id"), groups).filter("row <> first_row or place <> first_place")
-    gone = again.groupBy("row").agg(F.collect_set("place").alias("second"))
-    return gone.select("row", F.array_union(F.transform("second", lambda i: i - 1), "second").alias("gone"))
+    met = _salted_join(pairs.drop("id"), groups).withColumn("is_first", F.expr("row = first_row AND place = first_place"))
+    both = lambda c: F.array_union(F.transform(c, lambda i: i - 1), c)
+    places = [F.collect_set(F.when(F.col("is_first") == first, F.col("place"))).alias(c) for c, first in (("second", False), ("stay", True))]
+    return met.groupBy("row").agg(*places).select("row", F.array_except(both("second"), both("stay")).alias("gone")).filter("size(gone) > 0")
 
 
 def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,7 +127,7 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return touched.unionByName(whole)
 
 
-#: The same in SQL: borders from md5, chunks next to repeated borders, pairs of lines by their bytes, first place kept.
+#: The same in SQL: borders from md5, chunks next to repeated borders, pairs of lines by their bytes, all first places kept whole.
 ORACLE = rf"""
 WITH d AS (SELECT DISTINCT doc_id, text, string_split(regexp_replace(text, '\n([^\n])', chr(1) || 'line' || chr(1) || '\1', 'g'), chr(1) || 'line' || chr(1)) AS l
            FROM documents WHERE text IS NOT NULL),
@@ -135,9 +137,9 @@ b AS (SELECT *, CASE WHEN i = 1 THEN 0 WHEN i = n OR prev = line THEN 1
 k AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id, text ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM b),
 a AS (SELECT doc_id, text, chunk FROM k WHERE ends = 1 QUALIFY count(*) OVER (PARTITION BY prev, line) > 1),
 o AS (SELECT doc_id, text, chunk FROM a UNION SELECT doc_id, text, chunk + 1 FROM a),
-p AS (SELECT doc_id, text, i, row_number() OVER (PARTITION BY prev, line ORDER BY doc_id NULLS FIRST, i) AS nth
+p AS (SELECT doc_id, text, i, count(*) OVER (PARTITION BY prev, line) AS times, row_number() OVER (PARTITION BY prev, line ORDER BY doc_id NULLS FIRST, i) AS nth
       FROM k SEMI JOIN o ON k.doc_id IS NOT DISTINCT FROM o.doc_id AND k.text = o.text AND k.chunk = o.chunk WHERE i > 1),
-g AS (SELECT doc_id, text, i FROM p WHERE nth > 1 UNION SELECT doc_id, text, i - 1 FROM p WHERE nth > 1),
+g AS (SELECT doc_id, text, i - k AS i FROM p, range(2) AS r(k) WHERE nth > 1 EXCEPT SELECT doc_id, text, i - k FROM p, range(2) AS r(k) WHERE nth = 1 AND times > 1),
 m AS (SELECT l.*, g.i IS NOT NULL AS gone FROM l LEFT JOIN g ON l.doc_id IS NOT DISTINCT FROM g.doc_id AND l.text = g.text AND l.i = g.i)
 SELECT doc_id, md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_md5,
        sum(len(string_split(line, chr(10))))::BIGINT AS n_lines, coalesce(sum(len(string_split(line, chr(10)))) FILTER (WHERE gone), 0)::BIGINT AS n_removed_lines

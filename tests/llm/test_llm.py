@@ -68,10 +68,11 @@ def test_passages_inside_other_texts_go_whole(spark):
     shared = [[line(rnd.choice([2, 9, 25])) for _ in range(rnd.randrange(2, 13))] + [line(25), line(12)] for _ in range(20)]
     texts = [[x for p in rnd.sample(shared, 3) for x in [line(9) for _ in range(rnd.randrange(1, 4))] + p] + [line(5)] for _ in range(60)]
     got = {r.doc_id: r.text for r in remove_repeated_chunks(spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
-    seen, want = set(), {}
+    seen, want, times = set(), {}, collections.Counter(p for t in texts for p in zip(t, t[1:]))
     for i, t in enumerate(texts):
         gone = {j for k in range(1, len(t)) if (t[k - 1], t[k]) in seen for j in (k - 1, k)}
-        seen |= set(zip(t, t[1:]))
+        stay = {j for k in range(1, len(t)) if (t[k - 1], t[k]) not in seen and times[t[k - 1], t[k]] > 1 for j in (k - 1, k)}
+        gone, seen = gone - stay, seen | set(zip(t, t[1:]))
         want[i] = "\n".join(x for j, x in enumerate(t) if j not in gone)
     assert 2 * TARGET < len(line(25) + line(12)) and got == want
 
@@ -82,7 +83,24 @@ def test_lines_with_empty_lines_and_repeats(spark):
     p, q = "first paragraph " * 9, "second paragraph " * 9
     rows = [(1, f"{p}\n\n{q}\n\nown a"), (2, f"own b\n\n{p}\n\n{q}\n\nown c"), (3, f"{p}\nalone"), (4, "\n\n\n"), (5, "\n\n\n"), (6, f"{q}\n{q}\n{q}")]
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed_lines) for r in remove_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: (rows[0][1], 5, 0), 2: ("own b\n\nown c", 7, 4), 3: (rows[2][1], 2, 0), 4: ("\n\n\n", 4, 0), 5: ("\n\n\n", 4, 0), 6: (q, 3, 2)}
+    assert got == {1: (rows[0][1], 5, 0), 2: ("own b\n\nown c", 7, 4), 3: (rows[2][1], 2, 0), 4: ("\n\n\n", 4, 0), 5: ("\n\n\n", 4, 0), 6: (f"{q}\n{q}", 3, 1)}
+
+
+def test_a_removed_pair_stands_whole_somewhere(spark):
+    """A B / A B C / B C, rings of lines, and random texts of few lines: no pair of lines that was removed is lost."""
+    import random
+
+    from polyview.llm.line_dedup import remove_repeated_chunks
+
+    a, b, c = (f"line {x} " * 10 for x in "abc")
+    got = {r.doc_id: r.text for r in remove_repeated_chunks(spark.createDataFrame([(1, f"{a}\n{b}"), (2, f"{a}\n{b}\n{c}"), (3, f"{b}\n{c}")], "doc_id long, text string")).collect()}
+    assert got == {1: f"{a}\n{b}", 2: f"{b}\n{c}", 3: ""}
+    rnd = random.Random(9)
+    lines = [f"line {k} " * rnd.choice([1, 9, 30]) for k in range(9)]
+    texts = [[rnd.choice(lines) for _ in range(rnd.randrange(2, 12))] for _ in range(120)] + [[lines[(k + j) % 9] for j in range(3)] for k in range(9)]
+    out = [r.text.split("\n") for r in remove_repeated_chunks(spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()]
+    assert sum(map(len, out)) < sum(map(len, texts)) / 3
+    assert {p for t in texts for p in zip(t, t[1:])} == {p for t in out for p in zip(t, t[1:])} & {p for t in texts for p in zip(t, t[1:])}
 
 
 def test_line_chunks_with_clashing_hashes(docs, monkeypatch):

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,25 +42,32 @@ _NONE, _BELOW = -(1 << 63), -(1 << 63) + 1
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """id and floor(scale * x) of every whole vector, as doubles (a double of 2 ** 53 or more has no fraction)."""
-    scaled = F.transform(vector_col, lambda x: x.cast("double") * scale)
-    whole = F.transform("v", lambda y: F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y))
-    rows = vectors.filter(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), scaled.alias("v"))
-    return rows.filter(F.forall("v", lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) < 1e300))).withColumn("v", whole)
-
-
-def _length(v: str) -> Column:
-    """The length of a vector, without overflow of its square."""
-    most = F.array_max(F.transform(v, lambda x: F.abs(x)))
-    unit = lambda x: x / most
-    return F.when(most > 0, most * F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + unit(x) * unit(x)))).otherwise(0.0)
+    """id, floor(scale * x) as doubles (a double of 2 ** 53 or more has no fraction), and length of every whole vector."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pc.and_(pc.is_valid(batch.column(0)), pc.is_valid(batch.column(1))))
+            column = batch.column(1)
+            offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)  # a null component is no number
+            with np.errstate(over="ignore"):
+                v = np.floor(flat.astype(np.float64) * scale)
+            bad = np.concatenate([[0], np.cumsum(~(np.abs(v) < 1e300))])
+            keep = bad[offsets[1:]] == bad[offsets[:-1]]
+            ids, column = batch.column(0).filter(pa.array(keep)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(v)).filter(pa.array(keep))
+            length = np.zeros(len(ids))
+            for size, rows, group in _by_size(column):
+                most = np.abs(group).max(axis=1, initial=0)
+                length[rows] = most * np.sqrt(((group / np.where(most > 0, most, 1)[:, None]) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([ids, column, pa.array(length)], names=["id", "v", "length"])
+
+    return vectors.select(F.col(id_col).cast("long"), F.col(vector_col)).mapInArrow(whole, "id long, v array<double>, length double")
 
 
 def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a task's Gram matrix by vector size; vectors count by direction, so that none drowns the others."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for size, group in _by_size(batch.column(0)):
+        for size, _, group in _by_size(batch.column(0)):
             x = group / np.maximum(np.abs(group).max(axis=1, initial=1)[:, None], 1)
             total[size] = total.get(size, 0) + x.T @ x
     for size, m in total.items():
@@ -67,11 +75,11 @@ def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([size] * size, pa.int32()), pa.array(range(size), pa.int32()), pa.array(list(m), pa.list_(pa.float64()))], names=["size", "i", "gram"])
 
 
-def _by_size(column: pa.Array) -> list[tuple[int, np.ndarray]]:
-    sizes = np.diff(column.offsets.to_numpy())
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    starts = np.cumsum(sizes) - sizes
-    return [(int(s), flat[(starts[sizes == s][:, None] + np.arange(s))]) for s in np.unique(sizes)]
+def _by_size(column: pa.Array) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each size of vectors: the size, their rows, and the vectors."""
+    starts = column.offsets.to_numpy()
+    sizes, flat = np.diff(starts), column.values.to_numpy(zero_copy_only=False)
+    return [(int(s), np.flatnonzero(sizes == s), flat[starts[:-1][sizes == s][:, None] + np.arange(s)]) for s in np.unique(sizes)]
 
 
 def _add_rows(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -159,7 +167,7 @@ def top_products(vectors: DataFrame, is_query: str, k: int = 5, scale: int = 256
 
     ``part_rows`` is the number of rows that one task compares at a time with a block of queries.
     """
-    rows = integer_vectors(vectors, scale, id_col, vector_col).withColumn("is_query", F.expr(is_query)).withColumn("length", _length("v"))
+    rows = integer_vectors(vectors, scale, id_col, vector_col).withColumn("is_query", F.expr(is_query))
     rows = stage_table(rows.withColumn("slot", F.monotonically_increasing_id()), "vectors")  # written, so a row keeps its slot
     sums = rows.select("v").mapInArrow(_gram, "size int, i int, gram array<double>").groupBy("size", "i").applyInPandas(_add_rows, "size int, i int, gram array<double>").collect()
     rotation: dict[int, np.ndarray] = {}  # dimension squared numbers for each size of vectors

@@ -10,6 +10,7 @@ from polyview.operators import maintenance as M
 from polyview.operators import routing as T
 from polyview.plans import fixtures as X
 from polyview.plans.registry import add
+from polyview.streaming.parking import settle_log
 
 
 def _bit(k: int):
@@ -264,3 +265,34 @@ def _(s, d):
     a = e.select("vec_id", (F.col("vec_id") % 40 * F.lit(9.0)).alias("x")).withColumn("cell", F.explode(F.array(*[F.floor(F.col("x") * 10) + k for k in (-1, 0, 1)])))
     b = e.groupBy((F.col("vec_id") % 8 * F.lit(45.0)).alias("azimuth")).agg(F.count("*").alias("n")).withColumn("cell", F.floor(F.col("azimuth") * 10))
     return a.join(b, "cell").filter(F.abs(F.col("x") - F.col("azimuth")) <= 1e-8 + 1e-5 * F.abs("azimuth")).select("vec_id", "azimuth", "n")
+
+
+_CALL = "CASE event_type WHEN 'click' THEN 'answer' WHEN 'error' THEN 'unavailable' WHEN 'view' THEN 'failed' WHEN 'purchase' THEN 'rejected' ELSE 'cancelled' END"
+
+
+@add("r06_settle_log", f"""
+WITH e AS (SELECT event_id // 4 AS index, event_id % 4 AS k, epoch_us(ts) AS us, event_type, event_id, value FROM events),
+r AS (SELECT index, us, (index % 6)::INT AS up, value AS ratio, CASE WHEN index % 2 = 0 THEN 'geometry' ELSE 'siglip' END AS source, event_type <> 'view' AS gated FROM e WHERE k = 0),
+c AS (SELECT index, us, CASE WHEN k = 1 THEN {_CALL} ELSE 'answer' END AS outcome, CASE WHEN k = 1 AND event_type <> 'click' OR event_id % 3 = 0 THEN NULL ELSE event_id % 6 END AS tile
+      FROM e WHERE k = 1 OR k = 2 AND event_type <> 'click' QUALIFY row_number() OVER (PARTITION BY index ORDER BY us) = 1),
+d AS (SELECT index, min(us) AS us FROM e WHERE k = 2 AND event_type = 'click' OR k = 3 AND event_type = 'signup' GROUP BY 1),
+j AS (SELECT coalesce(r.index, d.index) AS index, r.us AS r_us, up, ratio, source, coalesce(gated, false) AS gated, d.us AS d_us, c.us AS c_us, tile,
+        CASE WHEN c.us <= r.us + 240000000 THEN outcome END AS outcome FROM r FULL JOIN d ON r.index = d.index LEFT JOIN c ON c.index = coalesce(r.index, d.index)),
+k AS (SELECT *, CASE WHEN NOT gated THEN r_us WHEN outcome IS NULL THEN r_us + 240000000 ELSE greatest(r_us, c_us) END AS due FROM j),
+m AS (SELECT *, d_us IS NOT NULL AND (r_us IS NULL OR CASE WHEN gated AND NOT coalesce(c_us <= r_us, false) THEN d_us <= due ELSE d_us < r_us END) AS gone,
+        coalesce(gated AND outcome = 'answer' AND tile <> up, false) AS moved FROM k)
+SELECT index, (CASE WHEN gone THEN d_us ELSE due END) // 1000000 AS at_s,
+  CASE WHEN gone THEN 'dropped' WHEN NOT gated THEN 'resolved' WHEN outcome IS NULL THEN 'abandoned' WHEN outcome = 'cancelled' THEN 'resumed' ELSE 'folded' END AS event,
+  CASE WHEN NOT gone THEN CASE WHEN moved THEN tile ELSE up END END::INT AS up, CASE WHEN NOT gone THEN CASE WHEN moved THEN 'vlm' ELSE source END END AS source,
+  CASE WHEN NOT gone AND gated THEN CASE WHEN outcome = 'rejected' THEN 'rejected' WHEN outcome = 'answer' AND tile IS NOT NULL THEN 'true' ELSE 'false' END END AS arbitrated,
+  CASE WHEN NOT gone THEN moved OR source <> 'geometry' END AS pose_changed FROM m
+""")
+def _(s, d):
+    """Four events a file: its pose, the end of its call, a second end or a drop, and some late drops."""
+    e = X.table(s, d, "events").withColumn("k", F.col("event_id") % 4).withColumn("index", F.expr("event_id div 4"))
+    kind = F.expr("CASE WHEN k = 0 THEN 'resolved' WHEN k = 1 OR k = 2 AND event_type <> 'click' THEN 'call' WHEN k = 2 OR event_type = 'signup' THEN 'drop' END")
+    outcome = F.when(F.col("k") == 1, F.expr(_CALL)).otherwise("answer")
+    tile = F.expr("CASE WHEN NOT (k = 1 AND event_type <> 'click') AND event_id % 3 <> 0 THEN int(event_id % 6) END")
+    source = F.when(F.col("index") % 2 == 0, "geometry").otherwise("siglip")
+    log = e.select("index", F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), (F.col("index") % 6).cast("int").alias("up"), F.col("value").alias("ratio"), source.alias("source"), (F.col("value") / 100).alias("margin"), (F.col("event_type") != "view").alias("gated"), outcome.alias("outcome"), tile.alias("tile"))
+    return settle_log(log, wait_s=240).select("index", F.unix_seconds("at").alias("at_s"), "event", "up", "source", "arbitrated", "pose_changed")

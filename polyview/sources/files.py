@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import struct
 import zipfile
 from collections.abc import Iterator
 
@@ -13,20 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-_RECORD = np.dtype([("normal", "<f4", 3), ("v", "<f4", (3, 3)), ("attr", "<u2")])
-
+from polyview.sources.meshes import RECORD, kind_of, sensible
 
 def read_stl(data: bytes) -> np.ndarray | None:
-    """Triangles (n, 3, 3) of a binary STL, or None: size decides, then whole records that look like finite geometry."""
+    """Triangles (n, 3, 3) of a binary STL, or None: size decides; where the header counts wrong, whole records of finite geometry."""
     if len(data) < 84:
         return None
-    (declared,) = struct.unpack_from("<I", data, 80)
-    body = len(data) - 84
-    if body != 50 * declared and (body % 50 or b"facet" in data[:532]):
+    kind, n = kind_of(len(data), data[:532]), (len(data) - 84) // 50
+    if kind == "text" or n == 0:
         return None
-    records = np.frombuffer(data, _RECORD, body // 50, 84)
-    v = records["v"].astype(np.float64)
-    return v if len(v) and np.isfinite(v).all() and np.abs(v).max() < 1e9 else None
+    v = np.frombuffer(data, RECORD, n, 84)["v"].astype(np.float64)
+    return v if kind == "honest" or sensible(v) else None
 
 
 def scan_stl(spark: SparkSession, path: str) -> DataFrame:

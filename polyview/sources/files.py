@@ -1,9 +1,8 @@
-"""Scans of binary collections: STL meshes, zip directories, embedding matrices."""
+"""Scans of small files: STL measures, embedding matrices, categories, listings.  Long meshes and zips have sources of their own."""
 
 from __future__ import annotations
 
 import io
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,24 +36,6 @@ def scan_stl(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(measure, "path string, n_triangles long, extent double")
 
 
-def scan_zips(spark: SparkSession, path: str) -> DataFrame:
-    """zip, name, size, crc, is_dir of every entry of the zips below a folder."""
-
-    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for p, data in zip(b["path"], b["content"]):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(data)) as z:
-                        rows += [(p, i.filename, i.file_size, i.CRC, i.is_dir()) for i in z.infolist()]
-                except zipfile.BadZipFile:
-                    rows.append((p, None, None, None, None))
-            yield pd.DataFrame(rows, columns=["zip", "name", "size", "crc", "is_dir"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(path)
-    return files.select("path", "content").mapInPandas(entries, "zip string, name string, size long, crc long, is_dir boolean")
-
-
 def scan_npy(spark: SparkSession, path: str) -> DataFrame:
     """stem, view, embedding rows of saved (views, dim) matrices; torn files give no rows."""
 

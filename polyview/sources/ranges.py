@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from dataclasses import dataclass
 
 from pyarrow import fs
@@ -23,6 +24,41 @@ def listed(uri: str, suffix: str) -> list[tuple[str, int]]:
     return sorted((f.path, f.size) for f in found if f.is_file and f.path.lower().endswith(suffix))
 
 
+class _Raw(io.RawIOBase):
+    """An Arrow file with the errors of Python's."""
+
+    def __init__(self, file):
+        self._file = file
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self._file.tell()
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        at = offset + (0, self._file.tell(), self._file.size())[whence]
+        if at < 0:
+            raise OSError("a place before the file's start")
+        return self._file.seek(at)
+
+    def readinto(self, buffer) -> int:
+        return self._file.readinto(buffer)
+
+    def close(self) -> None:
+        self._file.close()
+        super().close()
+
+
+def opened(uri: str) -> io.BufferedReader:
+    """A file for reading anywhere in it."""
+    system, path = locate(uri)
+    return io.BufferedReader(_Raw(system.open_input_file(path)), 1 << 16)
+
+
 @dataclass
 class Ranges(InputPartition):
     """(path, size, first byte, byte behind the last) of what one task reads."""

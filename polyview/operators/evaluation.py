@@ -73,3 +73,35 @@ def every_kth(files: DataFrame, by: str, order: str, k: int) -> DataFrame:
     group = Window.partitionBy(by)
     placed = files.withColumn("_n", F.row_number().over(group.orderBy(order)) - 1).withColumn("_step", F.greatest(F.lit(1), F.floor(F.count("*").over(group) / k)))
     return placed.filter((F.col("_n") % F.col("_step") == 0) & (F.col("_n") < F.col("_step") * k)).drop("_n", "_step")
+
+
+def geometry_grid(candidates: DataFrame, gold: DataFrame, floors: list[float], powers: list[float], gate: float = 0.45) -> DataFrame:
+    """How an ensemble that trusts geometry by min(1, best / floor) ** power does over a grid: a row for each floor, power and set.
+
+    ``candidates``: model, candidate, geo, sig; ``gold``: model, gold, set.  n, right, escalates (margin below the gate), moved (another answer than the
+    base cell's, power 0, which always trusts geometry), fixed and broke.  A model's candidates meet once in one row, all cells are worked out on that row, and
+    counts are combined before their shuffle: no pass for each cell.  The margin is put on the base's scale; ties go to the smaller candidate.
+    """
+    held = F.array_sort(F.collect_list(F.struct("candidate", F.col("geo").cast("double").alias("geo"), F.col("sig").cast("double").alias("sig"))))
+    rows = candidates.groupBy("model").agg(held.alias("c"))  # a row for each of six candidates
+    low = lambda k: F.array_min(F.transform("c", lambda x: x[k]))
+    high = lambda k: F.array_max(F.transform("c", lambda x: x[k]))
+    for k in ("geo", "sig"):
+        rows = rows.withColumn(f"{k}_low", low(k)).withColumn(f"{k}_high", high(k))
+    unit = lambda x, k: F.when(F.col(f"{k}_high") > F.col(f"{k}_low"), (x[k] - F.col(f"{k}_low")) / (F.col(f"{k}_high") - F.col(f"{k}_low"))).otherwise(0.0)
+    rows = rows.select("model", F.transform("c", lambda x: F.struct(x["candidate"].alias("candidate"), unit(x, "geo").alias("g"), unit(x, "sig").alias("s"))).alias("c"), F.greatest("geo_high", F.lit(0.0)).alias("best"))
+
+    def answer(weight: Column) -> Column:
+        # the least of (minus score, candidate) is the winner; the second least gives the margin
+        order = F.array_sort(F.transform("c", lambda x: F.struct((-(weight * x["g"] + x["s"])).alias("m"), x["candidate"].alias("candidate"))))
+        margin = (F.get(order, F.lit(1))["m"] - F.get(order, F.lit(0))["m"]) * 2 / (1 + weight)
+        return F.struct(F.get(order, F.lit(0))["candidate"].alias("pick"), margin.alias("margin"))
+
+    cells = F.explode(F.array(*[F.struct(F.lit(float(f)).alias("floor"), F.lit(float(p)).alias("power")) for f in floors for p in powers]))
+    rows = rows.withColumn("base", answer(F.lit(1.0))["pick"]).select("*", cells.alias("cell")).select("*", "cell.floor", "cell.power")
+    weight = F.when(F.col("power") == 0, 1.0).otherwise(F.pow(F.least(F.lit(1.0), F.col("best") / F.col("floor")), F.col("power")))
+    rows = rows.withColumn("w", weight).withColumn("a", answer(F.col("w"))).select("model", "floor", "power", "base", "a.pick", "a.margin")
+    met = rows.join(gold.select("model", "gold", "set"), "model")
+    moved = F.col("pick") != F.col("base")
+    counts = {"right": F.col("pick") == F.col("gold"), "escalates": F.col("margin") < gate, "moved": moved, "fixed": moved & (F.col("pick") == F.col("gold")), "broke": moved & (F.col("base") == F.col("gold"))}
+    return met.groupBy("floor", "power", "set").agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in counts.items()])

@@ -173,6 +173,24 @@ def _(s, d):
     return r.select("model", "up", F.round("ratio", 6).alias("ratio"), F.round("best", 6).alias("best"))
 
 
+_GRID_COUNTS = "count(*) AS n, count(*) FILTER (WHERE pick = gold) AS right, count(*) FILTER (WHERE margin < 0.45) AS escalates, count(*) FILTER (WHERE pick <> base) AS moved, count(*) FILTER (WHERE pick <> base AND pick = gold) AS fixed, count(*) FILTER (WHERE pick <> base AND base = gold) AS broke"
+
+
+@add("geo_floor_grid", f"""{_CAND},
+u AS (SELECT model, candidate, CASE WHEN max(geo) OVER m > min(geo) OVER m THEN (geo - min(geo) OVER m) / (max(geo) OVER m - min(geo) OVER m) ELSE 0 END AS g, CASE WHEN max(sig) OVER m > min(sig) OVER m THEN (sig - min(sig) OVER m) / (max(sig) OVER m - min(sig) OVER m) ELSE 0 END AS s, greatest(max(geo) OVER m, 0) AS best FROM c WINDOW m AS (PARTITION BY model)),
+k AS (SELECT floor, power FROM (SELECT unnest([0.02::DOUBLE, 0.095]) AS floor), (SELECT unnest([0::DOUBLE, 0.5, 1, 2, 99]) AS power)),
+w AS (SELECT u.*, floor, power, CASE WHEN power = 0 THEN 1 ELSE power(least(1, best / floor), power) END AS wt FROM u, k),
+r AS (SELECT model, floor, power, candidate AS pick, wt, (wt * g + s) AS score, lead(wt * g + s) OVER o AS nxt, row_number() OVER o AS nth FROM w WINDOW o AS (PARTITION BY model, floor, power ORDER BY wt * g + s DESC, candidate)),
+a AS (SELECT model, floor, power, pick, (score - nxt) * 2 / (1 + wt) AS margin FROM r WHERE nth = 1),
+j AS (SELECT a.*, b.pick AS base, (a.model * 5) % 6 AS gold, 'set' || a.model % 3 AS set FROM a JOIN a AS b ON a.model = b.model AND b.power = 0 AND b.floor = 0.02)
+SELECT floor, power, set, {_GRID_COUNTS} FROM j GROUP BY ALL""")
+def _(s, d):
+    """2.13: a grid of floors and powers in one pass over the candidates, with what moved against the base."""
+    c = _candidates(s, d)
+    gold = c.select("model").distinct().select("model", ((F.col("model") * 5) % 6).cast("int").alias("gold"), F.concat(F.lit("set"), (F.col("model") % 3).cast("string")).alias("set"))
+    return E.geometry_grid(c, gold, [0.02, 0.095], [0, 0.5, 1, 2, 99])
+
+
 _POSE = "SELECT event_id, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'vlm' ELSE 'geometry' END AS source, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'true' WHEN 2 THEN 'false' ELSE 'rejected' END AS arb, CASE WHEN event_id % 7 = 0 THEN NULL ELSE (event_id % 100) / 100.0::DOUBLE END AS margin, event_id % 3 > 0 AS av FROM events"
 
 

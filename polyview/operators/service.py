@@ -104,7 +104,7 @@ class Service:
             return {"scope": scope, "weak": False, "best_z": None, "truncated": False, "results": []}
         vector = [float(x) for x in self._embed([text], raw)[0]]
         texts = s.views.sparkSession.createDataFrame([(0, vector)], "text_id int, embedding array<double>")
-        scored = R.robust_z(R.pool(R.similarities(s.views.join(models.select("row_id"), "row_id", "left_semi"), texts), pool or "softmax", ["row_id", "text_id"]))
+        scored = R.robust_z(R.pooled_scores(s.views.join(models.select("row_id"), "row_id", "left_semi"), texts, pool or "softmax"))
         best = R.verdict(scored).first()
         ranked = R.rank(scored, top=top, min_score=min_score)
         results = self._answer(ranked.orderBy("rank").limit(cap + 1), s)

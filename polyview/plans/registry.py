@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from polyview.functions.order import numbered
+from polyview.functions.order import medians, numbered
+from polyview.functions.staging import stage_table
 from polyview.operators import camera as C
 from polyview.operators import evaluation as E
 from polyview.operators import identity as I
@@ -34,12 +35,12 @@ def add(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-def _sims(s, d):
-    return R.similarities(X.views(s, d), X.texts(s, d))
+def _pooled(s, d, mode="softmax"):
+    return R.pooled_scores(X.views(s, d), X.texts(s, d), mode)
 
 
 def _scored(s, d, mode="softmax"):
-    return R.robust_z(R.pool(_sims(s, d), mode, ["row_id", "text_id"]))
+    return R.robust_z(_pooled(s, d, mode))
 
 
 _RANKED = "SELECT text_id, row_id, rank, round(score, 6) AS score, round(z, 4) AS z FROM scored WHERE rank <= 10"
@@ -54,16 +55,17 @@ def _(s, d):
 
 for _mode, _agg in (("mean", "avg"), ("max", "max")):
     def _f(s, d, mode=_mode):
-        return R.pool(_sims(s, d), mode, ["row_id", "text_id"]).select("row_id", "text_id", F.round("score", 6).alias("score"))
+        return _pooled(s, d, mode).select("row_id", "text_id", F.round("score", 6).alias("score"))
 
     add(f"p0{1 if _mode == 'mean' else 2}_pool_{_mode}", f"{ctes('views', 'texts', 'sims')} SELECT row_id, text_id, round({_agg}(sim), 6) AS score FROM sims GROUP BY ALL")(_f)
 
 
 @add("a06_a07_median_mad", f"{ctes('views', 'texts', 'sims', 'soft')} SELECT p.text_id, round(any_value(m), 6) AS mid, round(median(abs(score - m)) * 1.4826, 6) AS spread FROM pooled p JOIN (SELECT text_id, median(score) AS m FROM pooled GROUP BY 1) q ON p.text_id = q.text_id GROUP BY 1")
 def _(s, d):
-    p = R.pool(_sims(s, d), "softmax", ["row_id", "text_id"])
-    m = p.groupBy("text_id").agg(F.median("score").alias("mid"))
-    return p.join(m, "text_id").groupBy("text_id").agg(F.round(F.first("mid"), 6).alias("mid"), F.round(F.median(F.abs(F.col("score") - F.col("mid"))) * 1.4826, 6).alias("spread"))
+    p = stage_table(_pooled(s, d), "pooled")
+    mid = medians(p, "text_id", "score")
+    spread = medians(p.join(mid, "text_id").withColumn("off", F.abs(F.col("score") - F.col("mid"))), "text_id", "off").select("text_id", F.round(F.col("mid") * 1.4826, 6).alias("spread"))
+    return mid.join(spread, "text_id").select("text_id", F.round("mid", 6).alias("mid"), "spread")
 
 
 @add("w03_verdict", f"{_BASE} SELECT text_id, row_id AS best, round(z, 4) AS best_z, z < 2 AS weak FROM scored WHERE rank = 1")
@@ -89,8 +91,8 @@ def _(s, d):
 def _(s, d):
     """The scope is cut before scoring, so z sees the scoped population."""
     inside = X.models(s, d).filter(R.in_scope(F.col("rel"), "kit1")).select("row_id")
-    sims = R.similarities(X.views(s, d).join(inside, "row_id", "left_semi"), X.texts(s, d))
-    return R.rank(R.robust_z(R.pool(sims, "softmax", ["row_id", "text_id"])), top=3).select("text_id", "row_id", F.round("z", 4).alias("z"))
+    scores = R.pooled_scores(X.views(s, d).join(inside, "row_id", "left_semi"), X.texts(s, d))
+    return R.rank(R.robust_z(scores), top=3).select("text_id", "row_id", F.round("z", 4).alias("z"))
 
 
 @add("a10_scope_status", f"{ctes('views', 'models')} SELECT path, count_if(indexed) AS n_indexed, count(*) AS n_scanned, CASE WHEN count_if(indexed) = 0 THEN 'unindexed' WHEN count_if(indexed) >= count(*) THEN 'indexed' ELSE 'partial' END AS status FROM models m JOIN (SELECT unnest(['kit1', 'kit2', 'kit3/m3.stl', 'kit1/m100100.stl']) AS path) p ON m.rel = path OR starts_with(m.rel, path || '/') GROUP BY 1")
@@ -113,7 +115,7 @@ def _(s, d):
 def _(s, d):
     """Three best categories of each model, smaller id on ties."""
     n = F.row_number().over(Window.partitionBy("row_id").orderBy(F.desc("score"), "text_id"))
-    r = R.pool(_sims(s, d), "softmax", ["row_id", "text_id"]).withColumn("n", n).filter("n <= 3")
+    r = _pooled(s, d).withColumn("n", n).filter("n <= 3")
     pick = lambda k, c: F.max(F.when(F.col("n") == k, c))
     return r.groupBy("row_id").agg(pick(1, F.col("text_id")).alias("c1"), pick(1, F.round("score", 4)).alias("s1"), pick(2, F.col("text_id")).alias("c2"), pick(3, F.col("text_id")).alias("c3"))
 
@@ -122,7 +124,7 @@ def _(s, d):
 def _(s, d):
     """Members of each category, zeros included, and its best one."""
     n = F.row_number().over(Window.partitionBy("row_id").orderBy(F.desc("score"), "text_id"))
-    best = R.pool(_sims(s, d), "softmax", ["row_id", "text_id"]).withColumn("n", n).filter("n = 1")
+    best = _pooled(s, d).withColumn("n", n).filter("n = 1")
     c = best.groupBy("text_id").agg(F.count("*").alias("n"), F.max(F.struct("score", (-F.col("row_id")).alias("r"))).alias("b"))
     return X.texts(s, d).select("text_id").join(c, "text_id", "left").select("text_id", F.coalesce("n", F.lit(0)).alias("n"), (-F.col("b.r")).alias("best"))
 
@@ -131,7 +133,7 @@ def _(s, d):
 def _(s, d):
     def assign(mode):
         n = F.row_number().over(Window.partitionBy("row_id").orderBy(F.desc("score"), "text_id"))
-        return R.pool(_sims(s, d), mode, ["row_id", "text_id"]).withColumn("n", n).filter("n = 1")
+        return _pooled(s, d, mode).withColumn("n", n).filter("n = 1")
 
     return assign("mean").select("row_id", F.col("text_id").alias("was")).join(assign("max").select("row_id", F.col("text_id").alias("now")), "row_id").filter("was <> now")
 
@@ -411,7 +413,7 @@ def _(s, d):
 def _(s, d):
     def top(mode, name):
         n = F.row_number().over(Window.partitionBy("row_id").orderBy(F.desc("score"), "text_id"))
-        r = R.pool(_sims(s, d), mode, ["row_id", "text_id"]).withColumn("n", n).filter("n <= 3")
+        r = _pooled(s, d, mode).withColumn("n", n).filter("n <= 3")
         return r.groupBy("row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "text_id"))), lambda x: x.text_id).alias(name))
 
     j = top("softmax", "a").join(top("mean", "b"), "row_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyview.llm.shared import stage_table
+from polyview.llm.shared import drop_table, stage_table
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -21,8 +21,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = labels.join(near, labels.id == near.a, "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
         up = labels.select(F.col("id").alias("up_id"), F.col("component").alias("up"))
         jumped = low.join(up, low.low == up.up_id, "left").select("id", F.col("component").alias("old"), F.least("low", F.coalesce("up", "low")).alias("component"))
-        jumped = stage_table(jumped, "labels")
-        changed = jumped.filter("old <> component").limit(1).count()
-        labels = jumped.select("id", "component")
-        if not changed:
-            return labels
+        last, labels = labels, stage_table(jumped, "labels")
+        drop_table(last)
+        if labels.filter("old <> component").isEmpty():
+            drop_table(both)
+            return labels.select("id", "component")

@@ -35,7 +35,10 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BLOCK = 512
+#: Rows and shingles of a block of a bucket's members: two blocks meet in a task.
+BLOCK_ROWS, BLOCK_SHINGLES = 2048, 4 << 20
+#: A set is dealt to several tasks if it holds more than this share of all rows (so at most 1000 are), and this many rows.
+HOT_SHARE, HOT_ROWS = 0.001, 1024
 _LONG = 64
 
 
@@ -144,36 +147,38 @@ def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _candidates(rows: pd.DataFrame, percent: int, cut: int) -> list[tuple[int, int, int]]:
-    """(places agreed on, left row, right row) of a block pair: other component, sizes and signatures near enough,
-    and no earlier lane shared, so that each pair is looked at in one bucket only."""
-    left, right = np.flatnonzero(rows["side"] == 0), np.flatnonzero(rows["side"] == 1)
-    if not len(left) or not len(right):
-        return []
+def _candidates(rows: pd.DataFrame, percent: int, cut: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Left rows, right rows and the places they agree on, of a block pair: other component, sizes and signatures near enough,
+    and no earlier lane shared, so that each pair is looked at in one bucket only.  A block that meets itself comes once."""
+    block = rows["block"].to_numpy()
+    itself = rows["i"].iloc[0] == rows["j"].iloc[0]
+    left, right = np.flatnonzero(block == rows["i"].iloc[0]), np.flatnonzero(block == rows["j"].iloc[0])
     sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
     lanes = np.stack(rows["a"].to_list())
     ids, comp, size = (rows[c].to_numpy() for c in ("id", "component", "n_shingles"))
-    lane, same_block = int(rows["lane"].iloc[0]), rows["i"].iloc[0] == rows["j"].iloc[0]
-    out = []
-    for x in left:
+    lane = int(rows["lane"].iloc[0])
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for x in left if len(right) else []:
         fit = (comp[right] != comp[x]) & (100 * np.minimum(size[right], size[x]) >= percent * np.maximum(size[right], size[x]))
-        if same_block:
+        if itself:
             fit &= ids[right] > ids[x]
         other = right[fit]
         agreed = (sig[other] == sig[x]).sum(axis=1)
         other, agreed = other[agreed >= cut], agreed[agreed >= cut]
-        if len(other):
-            first = (lanes[other] == lanes[x]).argmax(axis=1) == lane
-            out += zip(agreed[first].tolist(), [int(x)] * int(first.sum()), other[first].tolist())
-    return out
+        first = (lanes[other] == lanes[x]).argmax(axis=1) == lane
+        if first.any():
+            found.append((np.full(int(first.sum()), x, np.int32), other[first].astype(np.int32), agreed[first].astype(np.int16)))
+    if not found:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int16)
+    return tuple(np.concatenate(c) for c in zip(*found))  # type: ignore[return-value]
 
 
 def _open_rows(percent: int, cut: int):
     """The rows of a block pair that take part in some candidate pair."""
 
     def scan(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        part = sorted({r for _, x, y in _candidates(rows, percent, cut) for r in (x, y)})
-        return rows.iloc[part][["bucket", "i", "j", "lane", "id", "component", "side"]]
+        x, y, _ = _candidates(rows, percent, cut)
+        return rows.iloc[np.union1d(x, y)][["bucket", "i", "j", "block", "lane", "id", "component"]]
 
     return scan
 
@@ -182,27 +187,23 @@ def _links_across(percent: int, cut: int, shingle: int):
     """Links between components of a block pair, likeliest first; a pair that earlier links have joined needs no look."""
 
     def verify(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        group = {c: c for c in rows["component"]}
-
-        def root(c: int) -> int:
-            while group[c] != c:
-                group[c] = group[group[c]]
-                c = group[c]
-            return c
-
-        ids, comp = rows["id"].to_numpy(), rows["component"].to_numpy()
-        texts, held, out = rows["text"].to_numpy(), {}, []
-        for _, x, y in sorted(_candidates(rows, percent, cut), reverse=True):
-            u, v = root(comp[x]), root(comp[y])
-            if u == v:
-                continue
-            for r in (x, y):
-                if r not in held:
-                    held[r] = shingle_set(texts[r].encode(), shingle)
-            common = len(np.intersect1d(held[x], held[y], assume_unique=True))
-            if 100 * common >= percent * (len(held[x]) + len(held[y]) - common):
-                group[u] = v
-                out.append((ids[x], ids[y]))
+        group = np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
+        ids, texts, held, out = rows["id"].to_numpy(), rows["text"].to_numpy(), {}, []
+        x, y, agreed = _candidates(rows, percent, cut)
+        order = np.lexsort((ids[y], ids[x], -agreed))
+        for start in range(0, len(order), 4096):
+            part = order[start : start + 4096]
+            for k in part[group[x[part]] != group[y[part]]].tolist():
+                u, v = int(x[k]), int(y[k])
+                if group[u] == group[v]:
+                    continue
+                for r in (u, v):
+                    if r not in held:
+                        held[r] = shingle_set(texts[r].encode(), shingle)
+                common = len(np.intersect1d(held[u], held[v], assume_unique=True))
+                if 100 * common >= percent * (len(held[u]) + len(held[v]) - common):
+                    group[group == group[v]] = group[u]
+                    out.append((ids[u], ids[v]))
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     return verify
@@ -217,11 +218,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, tables
     # an id's own set stands for all documents with an equal set
     reps = stage_table(filled.join(folded, (filled.digest == folded.digest) & (filled.id == folded.rep)).select("id", "n_shingles", "a", "b", "sig"), "reps")
 
-    lanes = reps.select("id", F.posexplode(F.concat("a", "b")).alias("lane", "key"))
+    lanes = reps.select("id", "n_shingles", F.posexplode(F.concat("a", "b")).alias("lane", "key"))
     shared = lanes.groupBy("lane", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    mine = lanes.join(shared, ["lane", "key"]).groupBy("id").agg(F.collect_list(F.struct("lane", "key")).alias("keys"))
+    mine = lanes.join(shared, ["lane", "key"]).groupBy("id").agg(F.first("n_shingles").alias("n_shingles"), F.collect_list(F.struct("lane", "key")).alias("keys"))
     first, second = F.filter("keys", lambda x: x.lane < tables), F.filter("keys", lambda x: x.lane >= tables)
-    mine = mine.select("id", first.alias("a"), second.alias("b")).filter("size(a) > 0 and size(b) > 0")
+    mine = mine.select("id", "n_shingles", first.alias("a"), second.alias("b")).filter("size(a) > 0 and size(b) > 0")
     table_keys = mine.select("id", F.explode("a").alias("x"), "b").select("id", "x", F.explode("b").alias("y")).select(F.xxhash64("x", "y").alias("bucket"), "id")
     table_keys = stage_table(table_keys, "buckets")
     buckets = table_keys.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub < top").select("bucket", "hub")
@@ -235,21 +236,27 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, tables
     # keys of A whose documents lie in several components: compare across, in square blocks
     cut = int(2 * tables * rows * (percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / (2 * tables * rows)) ** 0.5))
     waiting = members.select("id").distinct()
-    told = mine.join(waiting, "id").select("id", F.explode("a").alias("x")).join(component, "id", "left").select(F.xxhash64("x").alias("bucket"), F.col("x.lane").alias("lane"), "id", F.coalesce("component", "id").alias("component"))
+    told = mine.join(waiting, "id").select("id", "n_shingles", F.explode("a").alias("x")).join(component, "id", "left").select(F.xxhash64("x").alias("bucket"), F.col("x.lane").alias("lane"), "id", "n_shingles", F.coalesce("component", "id").alias("component"))
     told = stage_table(told, "told")
-    split = told.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high")
-    split = split.select("bucket", F.ceil(F.col("n") / _BLOCK).cast("int").alias("blocks"))
-    rows_ = told.join(split, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows_ = rows_.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    sides = F.when(F.col("block") == F.col("o"), F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("block") > F.col("o")).cast("int")))
-    sided = rows_.select("bucket", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "lane", "id", "component", F.explode(sides).alias("side"))
+    split = told.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum("n_shingles").alias("all")).filter("low < high")
+    split = split.select("bucket", F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("all") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    rows_ = told.drop("n_shingles").join(split, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sided = rows_.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select("bucket", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "lane", "id", "component")
     light = reps.select("id", "n_shingles", "a", "sig")
-    taking = sided.join(light, "id").groupBy("bucket", "i", "j").applyInPandas(_open_rows(percent, cut), "bucket long, i int, j int, lane int, id long, component long, side int")
+    taking = sided.join(light, "id").groupBy("bucket", "i", "j").applyInPandas(_open_rows(percent, cut), "bucket long, i int, j int, block int, lane int, id long, component long")
     taking = stage_table(taking, "open")
     more = taking.join(light, "id").join(docs, "id").groupBy("bucket", "i", "j").applyInPandas(_links_across(percent, cut, shingle), "a long, b long")
     more = stage_table(more, "links")
     component = connected_components(links.union(more))
 
-    classes = folded.join(component, folded.rep == component.id, "left").select(F.col("digest").alias("of"), F.coalesce("component", "rep").alias("component"))
     # the smallest id of a class is its representative, so a component's smallest representative is its smallest id
-    return sets.join(classes, sets.digest == classes.of, "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    classes = folded.join(component, folded.rep == component.id, "left").select("digest", "n", F.coalesce("component", "rep").alias("component"))
+    limit = max(HOT_ROWS, sets.count() * HOT_SHARE)
+    salts = F.ceil(F.col("n") / limit).cast("int")
+    hot = F.broadcast(folded.filter(F.col("n") > limit).select("digest", salts.alias("salts")))  # at most 1 / HOT_SHARE rows
+    dealt = filled.select("id", "n_shingles", "digest").join(hot, "digest", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int"))
+    copies = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
+    joined = dealt.join(copies, ["digest", "salt"]).select("id", "n_shingles", "component")
+    rest = sets.filter("NOT (n_shingles > 0 AND id IS NOT NULL)").select("id", "n_shingles", F.col("id").alias("component"))
+    out = joined.unionByName(rest).select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

@@ -13,7 +13,7 @@ from polyview.llm.near_dedup import near_duplicates
 from polyview.llm.packing import pack_documents
 from polyview.llm.quality import score_quality
 from polyview.llm.queries import surrogate_key
-from polyview.llm.shared import stage_table
+from polyview.llm.shared import drop_table, stage_table
 from polyview.llm.surrogates import replace_entities
 
 
@@ -59,6 +59,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for name, stage in STAGES[:-1]:
         docs = stage_table(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            drop_table(last)  # its successor is written
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -33,8 +33,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes pieces of bytes; ``piece`` gives the ids of one."""
 
-    def __init__(self, ranks: dict[bytes, int], pair_limit: int = 500_000, lookback: int = 4096):
-        self.ranks, self._pair_limit, self._lookback = ranks, pair_limit, lookback
+    def __init__(self, ranks: dict[bytes, int], pair_limit: int = 500_000):
+        self.ranks, self._pair_limit = ranks, pair_limit
+        #: No walk is longer than the longest token, so what lies farther back than one lookahead has a common border.
+        self.lookahead = max(map(len, ranks))
         self.tokens = {i: t for t, i in ranks.items()}
         self._child: dict[int, int] = {}  # node << 8 | byte to node of the trie; 0 is the root
         self._token_at: dict[int, int] = {}
@@ -114,7 +116,7 @@ class Transducer:
         state = at = 0
         base = False  # whether tokens have been emitted
         moves, every = self._moves, self._ends
-        longest = max(map(len, self.ranks)) if len(data) > self._lookback else 0
+        lookahead, due = self.lookahead, 2 * self.lookahead
         for b in data:
             key = state << 8 | b
             state = moves[key] if key in moves else self._move(state, b)
@@ -132,8 +134,8 @@ class Transducer:
             else:
                 raise ValueError("no encoding")
             last.append((token, n))
-            if longest and len(last) > self._lookback + longest:
-                border = self._agreed(last, longest)
+            if len(last) > due:
+                border = self._agreed(last, lookahead)
                 if border:
                     out += self._back(last, border)
                     last, at, base = last[border:], at - border, True

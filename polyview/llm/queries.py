@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +14,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+_session_key = secrets.token_hex(32)
+
+
 def surrogate_key(spark: SparkSession) -> str:
-    """The secret of the session; without one, a key that is good for synthetic tables alone."""
-    return spark.conf.get("spark.polyview.surrogateKey", "synthetic tables only")
+    """The secret that the session names; without one, a random key that lives as long as this process."""
+    return spark.conf.get("spark.polyview.surrogateKey", None) or _session_key
 
 
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,9 @@ which the title tells, or else the given name.  A full name that stands in a doc
 replaced there without a title as well.
 
 All distinct canonical forms meet in one table, where surrogates are checked against each other and against all
-real forms; colliding ones are drawn again until none is left, later draws with more characters, so the loop ends even where a format
-has fewer forms than the corpus has entities.
+real forms; colliding ones are drawn again, several at a time in later rounds.  Every draw of a number or secret keeps its length, classes and check digits.
+Names, domains and local parts of addresses have no fixed length: theirs grow, so there is always a free one.  Where a fixed format
+has none left that ``MOST_DRAWS`` draws could find, the query fails and says of which type, rather than change the format or share a surrogate.
 
 Every pattern takes time in proportion to the text, whatever it holds: local parts are possessive and begin only at their
 first character, and all repeated groups are bounded, so no text overflows the stack.
@@ -66,6 +67,9 @@ ENTITY = "(?:" + "|".join(PATTERNS.values()) + ")"
 #: What every entity holds; a text without it is not matched further.
 _SIGN = f"(?:@|[0-9][0-9]|[=:][ ]?\"?[A-Za-z0-9_/+-]{{8}}|{_TITLE} \\p{{Lu}})"
 
+#: Draws for one canonical form before its format counts as full: a format with one form in a hundred free fails with probability 1e-35.
+MOST_DRAWS = 8192
+
 _UNIT = "array<struct<kind: string, scope: string, canon: string>>"
 
 
@@ -127,12 +131,12 @@ def describe(values: DataFrame) -> DataFrame:
     return df.withColumn("units", units)
 
 
-def draw(units: DataFrame, turn: int, key: str) -> DataFrame:
-    """Units (kind, scope, canon) with draw number ``turn`` as s: characters of the same classes, or a made-up name or domain."""
-    kind, scope, canon, flat, seed, same = map(F.col, ("kind", "scope", "canon", "flat", "seed", "same"))
-    extra = max(0, turn - 4) // 2
+def draw(units: DataFrame, key: str) -> DataFrame:
+    """Units (kind, scope, canon, turn) with their draw of that number as s: characters of the same classes, or a made-up name or domain."""
+    kind, scope, canon, turn, flat, seed, same = map(F.col, ("kind", "scope", "canon", "turn", "flat", "seed", "same"))
+    extra = F.least(F.lit(24), F.greatest(F.lit(0), F.expr("(turn - 4) div 2")).cast("int"))
     df = units.withColumn("flat", F.regexp_replace(canon, "[^\\p{L}0-9]", ""))
-    df = df.withColumn("seed", F.sha2(F.concat(F.lit(key), F.sha2(F.concat_ws("\x1f", F.lit(key), kind, scope, F.lit(str(turn)), canon), 256)), 512))
+    df = df.withColumn("seed", F.sha2(F.concat(F.lit(key), F.sha2(F.concat_ws("\x1f", F.lit(key), kind, scope, turn.cast("string"), canon), 256)), 512))
     pick = lambda k, n: F.conv(F.substring(seed, k % 31 * 4 + 1, 4), 16, 10).cast("int") % n
     # one number for each character, 32 from a digest; arrays are zipped, so that time stays in proportion to the length
     blocks = F.array_repeat(seed, F.floor(F.length(flat) / 32).cast("int") + 1)
@@ -145,7 +149,7 @@ def draw(units: DataFrame, turn: int, key: str) -> DataFrame:
     by_class = F.array_join(F.zip_with(F.split(flat, ""), "numbers", drawn), "")
     hexadecimal = (kind == "secret") & flat.rlike("^(?=.{16})(?:[0-9a-f]++|[0-9A-F]++)$")
     df = df.withColumn("same", F.when(hexadecimal, F.when(flat.rlike("[a-f]"), F.lower(nibbles)).otherwise(nibbles)).otherwise(by_class))
-    more = F.concat(*[pick(k, 10).cast("string") for k in range(extra)]) if extra else F.lit("")
+    more = F.substring(F.concat(*[pick(k, 10).cast("string") for k in range(24)]), F.lit(1), extra)
     code = F.regexp_extract(canon, f"^\\+({SHORT_CODES}|[0-9]{{3}})", 1)
     branded = F.concat(F.substring(flat, 1, 1), F.substring(same, F.lit(2), F.length(same) - 2))
     card = F.concat(branded, ((F.lit(10) - _luhn(_digits(F.concat(branded, F.lit("0")))) % 10) % 10).cast("string"))
@@ -161,18 +165,19 @@ def draw(units: DataFrame, turn: int, key: str) -> DataFrame:
     syllable = lambda k: F.concat(sound(2 * k, F.col("consonants")), sound(2 * k + 1, F.col("vowels")))
     more_than_given = F.when(kind.isin("family", "domain"), syllable(1)).otherwise("")
     third = F.when(kind == "domain", syllable(2)).otherwise("")
-    name = F.concat(syllable(0), more_than_given, third, *[syllable(k) for k in range(3, 3 + extra)], sound(20, F.col("consonants")), F.element_at("endings", pick(21, F.size("endings")) + 1))
+    name = F.concat(syllable(0), more_than_given, third, F.array_join(F.slice(F.array(*[syllable(k) for k in range(3, 27)]), F.lit(1), extra), ""), sound(20, F.col("consonants")), F.element_at("endings", pick(21, F.size("endings")) + 1))
     s = (
         F.when(kind.isin("family", "given f", "given m"), name)
         .when(kind == "domain", F.concat(name, F.lit(".example")))
         .when(kind == "ip", F.concat_ws(".", *[(pick(k, 254) + 1).cast("string") for k in range(4)]))
-        .when(kind == "phone", F.concat(code, F.substring(same, F.length(code) + 1, F.length(same)), more))
-        .when(kind == "card", F.concat(card, more))
+        .when(kind == "phone", F.concat(code, F.substring(same, F.length(code) + 1, F.length(same))))
+        .when(kind == "card", card)
         # numbers from 900 on are never given out
-        .when(kind == "ssn", F.concat(F.lit("9"), F.substring(same, F.lit(2), F.length(same)), more))
-        .otherwise(F.concat(same, more))
+        .when(kind == "ssn", F.concat(F.lit("9"), F.substring(same, F.lit(2), F.length(same))))
+        .when(kind == "email", F.concat(same, more))
+        .otherwise(same)
     )
-    return df.select("kind", "scope", "canon", s.alias("s"))
+    return df.select("kind", "scope", "canon", "turn", s.alias("s"))
 
 
 def unit_surrogates(units: DataFrame, key: str) -> DataFrame:
@@ -181,18 +186,23 @@ def unit_surrogates(units: DataFrame, key: str) -> DataFrame:
     units = stage_table(units.distinct(), "units")
     real = units.select("kind", flat.alias("s")).distinct()
     done: DataFrame | None = None
-    todo, turn = units, 0
+    todo, turn, n = units, 0, 1
     while True:
-        drawn = draw(todo, turn, key)
-        free = drawn.groupBy("kind", "scope", "s").agg(F.min("canon").alias("winner")).join(real, ["kind", "s"], "left_anti")
+        drawn = draw(todo.withColumn("turn", F.explode(F.sequence(F.lit(turn), F.lit(turn + n - 1)))), key)
+        free = drawn.groupBy("kind", "scope", "s").agg(F.min("canon").alias("canon")).join(real, ["kind", "s"], "left_anti")
         if done is not None:
             free = free.join(done.select("kind", "scope", "s"), ["kind", "scope", "s"], "left_anti")
-        settled = stage_table(drawn.join(free, ["kind", "scope", "s"], "left").select("kind", "scope", "canon", "s", F.coalesce(F.col("winner") == F.col("canon"), F.lit(False)).alias("ok")), "surrogates")
-        good = settled.filter("ok").drop("ok")
+        won = drawn.join(free, ["kind", "scope", "s", "canon"]).groupBy("kind", "scope", "canon").agg(F.min_by("s", "turn").alias("s"))
+        settled = stage_table(todo.join(won, ["kind", "scope", "canon"], "left"), "surrogates")
+        good = settled.filter("s IS NOT NULL")
         done = good if done is None else done.union(good)
-        todo, turn = settled.filter("not ok").select("kind", "scope", "canon"), turn + 1
-        if todo.limit(1).count() == 0:
+        todo, turn = settled.filter("s IS NULL").select("kind", "scope", "canon"), turn + n
+        if todo.isEmpty():
             return done
+        if turn >= MOST_DRAWS:
+            kinds = ", ".join(sorted(r.kind for r in todo.select("kind").distinct().collect()))  # a type each
+            raise ValueError(f"no free surrogate is left of these types and their formats: {kinds}")
+        n = 1 if turn < 4 else min(2 * n, MOST_DRAWS - turn)
 
 
 def _dress(place: Column, s: Column) -> Column:

@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from polyview.functions.staging import stage_table
+
 
 def numbered(rows: DataFrame, order: str) -> DataFrame:
     """``rows`` with nth, from 0: ranges of the order are numbered side by side, and the ranges' sizes, one row each, summed."""
-    ranged = rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    bases = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    placed = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1)
-    return placed.join(F.broadcast(bases), "_part").withColumn("nth", F.col("_base") + F.col("_in")).drop("_part", "_n", "_base", "_in")
+    return numbered_within(rows.withColumn("_all", F.lit(0)), "_all", [order]).drop("_all")
+
+
+def numbered_within(rows: DataFrame, by: str, order: list[str | Column]) -> DataFrame:
+    """``rows`` with nth, from 0 within each ``by``: a large group is spread over ranges of its order.
+
+    The ranges are written once, so that a row's range is the same wherever it is read.  Only a range's first group can go on from an earlier
+    range, so the offsets number at most the ranges, and go to all tasks.  Rows that tie in ``order`` have no order between them.
+    """
+    keys = [F.col(by), *[F.col(c) if isinstance(c, str) else c for c in order]]
+    ranged = stage_table(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(by, "_part").agg(F.count("*").alias("_n"))
+    bases = sizes.select(by, "_part", F.sum("_n").over(before).alias("_base")).filter("_base IS NOT NULL").select(F.col(by).alias("_by"), F.col("_part").alias("_at"), "_base")
+    placed = ranged.withColumn("_in", F.row_number().over(Window.partitionBy(by, "_part").orderBy(*keys[1:])) - 1)
+    met = placed.join(F.broadcast(bases), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_at")), "left")
+    return met.withColumn("nth", F.coalesce("_base", F.lit(0)) + F.col("_in")).drop("_part", "_base", "_in", "_by", "_at")
 
 
 def medians(rows: DataFrame, by: str, value: str, bins: int = 4096) -> DataFrame:

@@ -14,11 +14,21 @@ RENAMED_SOURCES = {"heuristic": "geometry", "ensemble": "siglip"}
 PROMPTS = ["a 3D render of a {} miniature", "a photo of a {} figurine", "a tabletop miniature of a {}"]
 
 
-def pose_entries(files: DataFrame) -> DataFrame:
-    """(file, key, source, entry) of the entries in force of pose cache files (file, json): objects of the current version."""
-    entries = files.select("file", F.explode(F.from_json("json", "map<string,string>")).alias("key", "entry"))
+def pose_entries(files: DataFrame, strict: bool = True) -> DataFrame:
+    """(file, key, source, entry) of the entries in force of pose cache files (file, json): objects of the current version.
+
+    A version is a number (4 or 4.0, not the text "4").  A file that is torn or no object is an error that names it, or without ``strict`` has no
+    entries; a null one has none.
+    """
+    whole = F.try_parse_json("json")
+    is_object = F.coalesce(F.schema_of_variant(whole).startswith("OBJECT"), F.lit(False))
+    bad = F.raise_error(F.concat(F.lit("a pose cache must be a JSON object: "), F.col("file").cast("string"))).cast("map<string, variant>") if strict else F.lit(None)
+    held = F.when(is_object, F.from_json("json", "map<string, variant>")).when(F.col("json").isNotNull(), bad)
+    entries = files.select("file", F.explode(held).alias("key", "value")).select("file", "key", "value", F.to_json("value").alias("entry"))
     of = lambda name: F.get_json_object("entry", f"$.{name}")
-    live = entries.filter(F.col("entry").startswith("{") & (of("v") == str(POSE_VERSION)))
+    version = F.try_variant_get("value", "$.v", "variant")
+    numeric = F.schema_of_variant(version).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    live = entries.filter(F.col("entry").startswith("{") & F.when(numeric, version.cast("double") == POSE_VERSION).otherwise(False))
     renamed = F.create_map(*[F.lit(x) for pair in RENAMED_SOURCES.items() for x in pair])
     return live.select("file", "key", F.coalesce(renamed[of("source")], of("source")).alias("source"), "entry")
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from polyview.functions.order import numbered_within
+
 
 def accuracy(predictions: DataFrame, pooled: dict[str, list[str]]) -> DataFrame:
     """k of n right per method and set, with pooled sets that overlap the plain ones."""
@@ -70,9 +72,9 @@ def sweep_noise(points: DataFrame) -> DataFrame:
 
 def every_kth(files: DataFrame, by: str, order: str, k: int) -> DataFrame:
     """A fixed sample of each collection: every (n div k)-th file in order, k at most; all of them where there are fewer."""
-    group = Window.partitionBy(by)
-    placed = files.withColumn("_n", F.row_number().over(group.orderBy(order)) - 1).withColumn("_step", F.greatest(F.lit(1), F.floor(F.count("*").over(group) / k)))
-    return placed.filter((F.col("_n") % F.col("_step") == 0) & (F.col("_n") < F.col("_step") * k)).drop("_n", "_step")
+    steps = files.groupBy(by).agg(F.greatest(F.lit(1), F.floor(F.count("*") / k)).alias("_step")).withColumnRenamed(by, "_of")
+    placed = numbered_within(files, by, [order]).join(steps, F.col(by).eqNullSafe(F.col("_of")))
+    return placed.filter((F.col("nth") % F.col("_step") == 0) & (F.col("nth") < F.col("_step") * k)).drop("nth", "_step", "_of")
 
 
 def geometry_grid(candidates: DataFrame, gold: DataFrame, floors: list[float], powers: list[float], gate: float = 0.45) -> DataFrame:

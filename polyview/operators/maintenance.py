@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from polyview.functions.staging import drop_table, stage_table
 from polyview.operators.identity import escapes
 
 
@@ -110,23 +111,23 @@ def repair_authorised(zips: DataFrame, wanted: DataFrame) -> DataFrame:
 def divert_collisions(plans: DataFrame) -> DataFrame:
     """zip, dest of plans (zip, dest, stem): all zips that claim one destination go to their own stem, until nobody else's is met.
 
-    A diverted zip never moves again, so every round but the last moves one zip at least; each round is cut by a checkpoint where the
-    session has a folder for them.  Zips without a destination stay without.
+    A diverted zip never moves again, so every round but the last moves one zip at least; each round is written, and the last one's table goes.
+    Zips without a destination stay without.
     """
-    plans = plans.select("zip", "dest", "stem", F.lit(False).alias("moves"))
+    plans = stage_table(plans.select("zip", "dest", "stem", F.lit(False).alias("moves")), "plans")
     while True:
         contested = plans.filter("dest is not null").groupBy("dest").agg(F.count("*").alias("n")).filter("n > 1").select("dest", F.lit(True).alias("contested"))
-        plans = plans.join(contested, "dest", "left").select("zip", F.when(F.col("contested"), F.col("stem")).otherwise(F.col("dest")).alias("dest"), "stem", (F.coalesce("contested", F.lit(False)) & (F.col("dest") != F.col("stem"))).alias("moves"))
-        if plans.sparkSession.sparkContext.getCheckpointDir():
-            plans = plans.checkpoint()
-        if plans.filter("moves").limit(1).count() == 0:
+        moved = plans.join(contested, "dest", "left").select("zip", F.when(F.col("contested"), F.col("stem")).otherwise(F.col("dest")).alias("dest"), "stem", (F.coalesce("contested", F.lit(False)) & (F.col("dest") != F.col("stem"))).alias("moves"))
+        last, plans = plans, stage_table(moved, "plans")
+        drop_table(last)
+        if plans.filter("moves").isEmpty():
             return plans.select("zip", "dest")
 
 
-def merge_manifest(old: DataFrame, new: DataFrame, allowed: list[str]) -> DataFrame:
-    """Non-null new values over old ones, allowed keys only (key, value rows)."""
-    a, b = old.select("key", F.col("value").alias("was")), new.select("key", F.col("value").alias("is"))
-    return a.join(b, "key", "full_outer").filter(F.col("key").isin(allowed)).select("key", F.coalesce("is", "was").alias("value"))
+def merge_manifest(old: DataFrame, new: DataFrame, allowed: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """Non-null new values over old ones, allowed keys only (key, value rows; ``by`` names the manifest where there are several)."""
+    a, b = old.select(*by, "key", F.col("value").alias("was")), new.select(*by, "key", F.col("value").alias("is"))
+    return a.join(b, [*by, "key"], "full_outer").filter(F.col("key").isin(allowed)).select(*by, "key", F.coalesce("is", "was").alias("value"))
 
 
 def action_totals(plan: DataFrame) -> DataFrame:

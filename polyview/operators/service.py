@@ -53,19 +53,25 @@ def hits(ranked: DataFrame, snapshot: Snapshot) -> DataFrame:
 class Service:
     """Answers from one snapshot at a time; ``embed`` turns texts into vectors, ``load`` builds the next snapshot."""
 
-    def __init__(self, embed: Callable[[Sequence[str], bool], Sequence[Sequence[float]]], load: Callable[[int], Snapshot]):
-        self._embed, self._load, self._lock = embed, load, threading.Lock()
+    def __init__(self, embed: Callable[[Sequence[str], bool], Sequence[Sequence[float]]], load: Callable[[int], Snapshot], rescan: Callable[[], None] = lambda: None):
+        self._embed, self._load, self._rescan, self._lock = embed, load, rescan, threading.Lock()
         self._snapshot: Snapshot | None = None
         self._failure: str | None = None
 
-    def reload(self) -> dict:
-        """Bind a new snapshot; while it is built, and if that fails, the old one goes on answering."""
+    def reload(self, rescan: bool = False) -> dict:
+        """Bind a new snapshot, after walking the collection again if ``rescan``; meanwhile the old one goes on answering.
+
+        A failure is kept for ``status`` and refused: 409 where an old snapshot still answers, 503 where there is none.
+        """
         with self._lock:
             generation = self._snapshot.generation + 1 if self._snapshot else 1
             try:
+                if rescan:
+                    self._rescan()
                 self._snapshot, self._failure = self._load(generation), None
             except Exception as e:
                 self._failure = f"{type(e).__name__}: {e}".split("\n")[0]
+                raise Refused(409 if self._snapshot else 503, self._failure) from e
         return self.status()
 
     def _bound(self) -> Snapshot:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from polyview.functions.order import medians, numbered
+from polyview.functions.order import medians, numbered, numbered_within
 from polyview.functions.staging import stage_table
 from polyview.operators import camera as C
 from polyview.operators import evaluation as E
@@ -211,10 +211,11 @@ def _(s, d):
     return X.table(s, d, "embeddings").select("vec_id", P.valid_up(F.concat(up, F.array(F.lit(0.0), F.lit(0.0)))).alias("ok"))
 
 
-@add("n13_view_angles", "SELECT el, i, round(2 * pi() * i / 8, 6) AS azimuth, round(radians(el), 6) AS elevation FROM (SELECT unnest([20.0::DOUBLE, -10.0::DOUBLE]) AS el), unnest(range(8)) u(i)")
+@add("n13_view_angles", "SELECT p_partkey, el, i, round(2 * pi() * i / 8, 6) AS azimuth, round(radians(el), 6) AS elevation FROM (SELECT p_partkey, unnest([p_size - 30.0::DOUBLE, p_size / 2.0::DOUBLE]) AS el FROM part), unnest(range(8)) u(i)")
 def _(s, d):
-    a = s.range(1).select(F.posexplode(P.view_angles(8, F.array(F.lit(20.0), F.lit(-10.0)))).alias("k", "a"))
-    return a.select(F.round(F.degrees("a.elevation"), 1).alias("el"), (F.col("k") % 8).cast("long").alias("i"), F.round("a.azimuth", 6).alias("azimuth"), F.round("a.elevation", 6).alias("elevation"))
+    """Eight views at each of a part's two elevations, elevation by elevation."""
+    p = X.table(s, d, "part").select("p_partkey", F.posexplode(P.view_angles(8, F.array((F.col("p_size") - 30).cast("double"), F.col("p_size") / 2.0))).alias("k", "a"))
+    return p.select("p_partkey", F.round(F.degrees("a.elevation"), 1).alias("el"), (F.col("k") % 8).cast("long").alias("i"), F.round("a.azimuth", 6).alias("azimuth"), F.round("a.elevation", 6).alias("elevation"))
 
 
 @add("n15_n16_rotation", "WITH u AS (SELECT vec_id, embedding[1:3]::DOUBLE[] AS v FROM embeddings), n AS (SELECT vec_id, v[1] / sqrt(v[1]**2 + v[2]**2 + v[3]**2) AS x, v[2] / sqrt(v[1]**2 + v[2]**2 + v[3]**2) AS y, v[3] / sqrt(v[1]**2 + v[2]**2 + v[3]**2) AS z FROM u) SELECT vec_id, round(1 - x * x / (1 + z), 5) AS ax, round(-x * y / (1 + z), 5) AS ay, round(-x, 5) AS az FROM n")
@@ -240,10 +241,10 @@ def _(s, d):
     return X.names(s, d).select("p_partkey", I.skipped(F.col("name")).alias("skipped"))
 
 
-@add("n01_n03_keys", f"{ctes('names')} SELECT p_partkey, sha1(name || '.stl|' || ((1699999999999999999 - size * 1000000000) // 1000000000) || '|' || size || '|8|384|+Z|tower|pv') AS embed_key, name || '_' || substr(sha1(name || '.stl'), 1, 6) AS render_key FROM names WHERE NOT contains(name, '.') AND NOT contains(name, '/')")
+@add("n01_n03_keys", f"{ctes('names')} SELECT p_partkey, sha1(name || '.stl|' || ((1699999999999999999 - size * 1000000000) // 1000000000) || '|' || size || '|8|384|+Z|tower|pv') AS embed_key, list_last(string_split(name, '/')) || '_' || substr(sha1(name || '.stl'), 1, 6) AS render_key FROM names")
 def _(s, d):
     """Keys from identity with whole-second times, default elevations elided."""
-    n = X.names(s, d).filter(~F.contains("name", F.lit(".")) & ~F.contains("name", F.lit("/")))
+    n = X.names(s, d)
     rel = F.concat("name", F.lit(".stl"))
     ident = I.file_identity(rel, F.lit(1699999999999999999) - F.col("size") * 1000000000, F.col("size"))
     return n.select("p_partkey", I.embed_key(ident, 8, 384, F.lit("+Z"), "tower").alias("embed_key"), I.render_key(rel).alias("render_key"))
@@ -397,7 +398,7 @@ def _(s, d):
     p = _pred(s, d)
     risk = (F.abs(F.col("margin") - 0.45) <= 0.05) | (F.col("margin") <= 0.05)
     safe = p.filter(~risk).select("doc_id")
-    step = safe.agg(F.expr("count(*) div 20").alias("step"))
+    step = safe.agg(F.greatest(F.lit(1), F.expr("count(*) div 20")).alias("step"))
     placed = numbered(safe, "doc_id").select("doc_id", F.col("nth").alias("n")).crossJoin(F.broadcast(step))
     control = placed.filter("n % step = 0 and n div step < 20").select("doc_id", F.lit("control").alias("part"))
     return p.filter(risk).select("doc_id", F.lit("at_risk").alias("part")).union(control)
@@ -454,8 +455,8 @@ def _(s, d):
 
 @add("w11_k08_pages", "SELECT doc_id, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 12 AS page FROM documents")
 def _(s, d):
-    n = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
-    return X.table(s, d, "documents").select("doc_id", F.floor((n - 1) / 12).alias("page"))
+    """Twelve models a sheet of a language; a language is numbered in ranges."""
+    return numbered_within(X.table(s, d, "documents").select("doc_id", "lang"), "lang", ["doc_id"]).select("doc_id", F.expr("nth div 12").alias("page"))
 
 
 @add("a16_bounding_box", "SELECT label, round((max(x) + min(x)) / 2, 6) AS centre_x, round((max(y) + min(y)) / 2, 6) AS centre_y, round((max(z) + min(z)) / 2, 6) AS centre_z, round(max(x) - min(x), 6) AS extent_x, round(max(y) - min(y), 6) AS extent_y, round(max(z) - min(z), 6) AS extent_z, round(sqrt((max(x) - min(x)) ** 2 + (max(y) - min(y)) ** 2 + (max(z) - min(z)) ** 2) * 1.4, 6) AS radius FROM (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings) GROUP BY 1")

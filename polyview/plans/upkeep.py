@@ -60,7 +60,7 @@ def _(s, d):
     source = F.element_at(F.array(*map(F.lit, ["heuristic", "ensemble", "vlm"])), (F.col("vec_id") % 3 + 1).cast("int"))
     good = F.concat(F.lit('{"k'), k, F.lit('": {"v": 4, "source": "'), source, F.lit('"}, "old": {"v": 3, "source": "vlm"}, "list": [4], "none": null}'))
     json = F.when(F.col("vec_id") % 4 < 2, good).when(F.col("vec_id") % 4 == 2, "[1, 2]").otherwise('{"torn')
-    return K.pose_entries(X.table(s, d, "embeddings").select(F.concat(F.lit("f"), k).alias("file"), json.alias("json"))).drop("entry")
+    return K.pose_entries(X.table(s, d, "embeddings").select(F.concat(F.lit("f"), k).alias("file"), json.alias("json")), strict=False).drop("entry")
 
 
 @add("s06_cache_version", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 7 ELSE 0 END::INT AS version FROM events")
@@ -246,13 +246,14 @@ def _(s, d):
 
 
 @add("k04_u06_merge", """
-SELECT key, coalesce(b.value, a.value) AS value FROM (SELECT p_partkey AS key, 'a' || p_size AS value FROM part WHERE p_partkey % 3 > 0) a FULL JOIN (SELECT p_partkey AS key, CASE WHEN p_partkey % 5 > 0 THEN 'b' || p_size END AS value FROM part WHERE p_partkey % 2 = 0) b USING (key) WHERE key IN (1, 2, 3, 4, 5, 6, 7, 8, 9, 10)
+SELECT run, key, coalesce(b.value, a.value) AS value FROM (SELECT p_partkey // 16 AS run, p_partkey % 16 AS key, 'a' || p_size AS value FROM part WHERE p_partkey % 3 > 0) a FULL JOIN (SELECT p_partkey // 16 AS run, p_partkey % 16 AS key, CASE WHEN p_partkey % 5 > 0 THEN 'b' || p_size END AS value FROM part WHERE p_partkey % 2 = 0) b USING (run, key) WHERE key BETWEEN 1 AND 10
 """)
 def _(s, d):
-    """New values over old ones, but null ones not; only known keys."""
-    p = X.table(s, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_size").cast("string").alias("v"))
-    old, new = p.filter("key % 3 > 0"), p.filter("key % 2 = 0")
-    return M.merge_manifest(old.select("key", F.concat(F.lit("a"), "v").alias("value")), new.select("key", F.when(F.col("key") % 5 > 0, F.concat(F.lit("b"), "v")).alias("value")), list(range(1, 11)))
+    """The manifests of many runs: new values over old ones, but null ones not; only the ten known keys of a manifest."""
+    p = X.table(s, d, "part").select(F.expr("p_partkey div 16").alias("run"), (F.col("p_partkey") % 16).alias("key"), "p_partkey", F.col("p_size").cast("string").alias("v"))
+    old = p.filter("p_partkey % 3 > 0").select("run", "key", F.concat(F.lit("a"), "v").alias("value"))
+    new = p.filter("p_partkey % 2 = 0").select("run", "key", F.when(F.col("p_partkey") % 5 > 0, F.concat(F.lit("b"), "v")).alias("value"))
+    return M.merge_manifest(old, new, list(range(1, 11)), ("run",))
 
 
 @add("j20_azimuth_match", """

@@ -57,7 +57,7 @@ def scan_npy(spark: SparkSession, path: str) -> DataFrame:
 def categories(spark: SparkSession, path: str) -> DataFrame:
     """Non-blank stripped lines of one file, in order."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "category"))
-    return lines.select("line", F.trim("category").alias("category")).filter("category <> ''")
+    return lines.select("line", F.regexp_replace("category", r"^\s+|\s+$", "").alias("category")).filter("category <> ''")
 
 
 class ListingSource(DataSource):

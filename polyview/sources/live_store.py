@@ -10,16 +10,16 @@ added a second time.  A batch that was torn before its commit leaves a folder th
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
+from polyview.functions.commits import Commits
+
 
 class LiveStore:
     """Rows of ``schema`` by ``key`` below ``base``; ``order`` decides between rows of one batch (the greatest stays)."""
@@ -28,41 +28,14 @@ class LiveStore:
         self.spark, self.base, self.key, self.order = spark, base.rstrip("/"), key, order
         self.columns = StructType.fromDDL(schema).fieldNames()
         self.schema = StructType.fromDDL(f"{schema}, removed boolean, version long")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._io = jvm.org.apache.hadoop.io.IOUtils
-
-    def _names(self, folder: str) -> list[str]:
-        at = self._path(f"{self.base}/{folder}")
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
+        self.log = Commits(spark, base)
 
     def commits(self) -> list[dict]:
-        """Every commit in order of version: one small file each, fewer after ``compact`` and ``sweep``."""
-        names = [n for n in self._names("commits") if n.endswith(".json")]
-        if not names:
-            return []
-        text = self.spark.read.text([f"{self.base}/commits/{n}" for n in names], wholetext=True)
-        return sorted((json.loads(r.value) for r in text.collect()), key=lambda c: c["version"])
+        """Every commit in order of version: one small file each."""
+        return self.log.entries()
 
     def _commit(self, kind: str, place: str, **more) -> int:
-        """Give ``place`` the next free number.  The file is made under another name and moved, so it is never seen half written."""
-        version = max((c["version"] for c in self.commits()), default=-1) + 1
-        while True:
-            entry = json.dumps({"version": version, "kind": kind, "place": place, **more})
-            ready, final = self._path(f"{self.base}/pending/{uuid.uuid4().hex}"), self._path(f"{self.base}/commits/{version:012d}.json")
-            out = self._fs.create(ready, False)
-            out.write(bytearray(entry.encode()))
-            out.close()
-            self._fs.mkdirs(final.getParent())
-            try:
-                if not self._fs.exists(final) and self._fs.rename(ready, final):
-                    return version
-            except Py4JJavaError:
-                if not self._fs.exists(final):
-                    raise
-            self._fs.delete(ready, False)
-            version += 1
+        return self.log.add({"kind": kind, "place": place, **more})
 
     def upsert(self, rows: DataFrame, stream: str, batch_id: int) -> int | None:
         """Add the rows of a batch as the next version; None if that batch is there already."""
@@ -97,16 +70,16 @@ class LiveStore:
         through, place = commits[-1]["version"], f"whole/{uuid.uuid4().hex}"
         self.read(through).withColumn("removed", F.lit(False)).write.parquet(f"{self.base}/{place}")
         if self.commits()[-1]["version"] != through:  # a batch came meanwhile: a whole table numbered after it would hide it
-            self._fs.delete(self._path(f"{self.base}/{place}"), True)
+            self.log.delete(place)
             return None
         return self._commit("whole", place, through=through)
 
     def sweep(self) -> int:
         """Delete folders that no commit names: torn batches.  Only while nothing writes."""
         named = {c["place"] for c in self.commits()}
-        torn = [f"{kind}/{n}" for kind in ("delta", "whole") for n in self._names(kind) if f"{kind}/{n}" not in named]
+        torn = [f"{kind}/{n}" for kind in ("delta", "whole") for n in self.log.names(kind) if f"{kind}/{n}" not in named]
         for place in torn:
-            self._fs.delete(self._path(f"{self.base}/{place}"), True)
+            self.log.delete(place)
         return len(torn)
 
     def sink(self, rows: DataFrame, stream: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None) -> DataStreamWriter:

@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from polyview.functions.commits import Commits
+
 #: The columns of the results CSV, in order.
 RESULT_COLUMNS = ["file", "top1", "score1", "top2", "score2", "top3", "score3", "up", "pose_conf", "pose_source", "front_view"]
 
@@ -42,15 +44,15 @@ def write_report(rows: DataFrame, path: str) -> None:
 
 
 def write_snapshot(rows: DataFrame, base: str) -> None:
-    """Write a new version below ``base`` and name it last, so that readers see the old one or the new one whole."""
-    spark, place = rows.sparkSession, uuid.uuid4().hex
-    rows.write.parquet(f"{base}/data/{place}")
-    spark.range(1).select(F.lit(place).alias("place"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").parquet(f"{base}/versions")
+    """Write a new version below ``base`` and number it last, so that readers see the old one or the new one whole."""
+    place = f"data/{uuid.uuid4().hex}"
+    rows.write.parquet(f"{base}/{place}")
+    Commits(rows.sparkSession, base).add({"place": place})
 
 
 def read_snapshot(spark: SparkSession, base: str) -> DataFrame:
-    newest = spark.read.parquet(f"{base}/versions").agg(F.max_by("place", "at").alias("place")).first()
-    return spark.read.parquet(f"{base}/data/{newest['place']}")
+    """The version with the greatest number, whatever the writers' clocks say."""
+    return spark.read.parquet(f"{base}/{Commits(spark, base).entries()[-1]['place']}")
 
 
 def write_stamp(spark: SparkSession, base: str, version: int, note: str = "") -> None:

@@ -50,5 +50,21 @@ def test_similar(service):
 
 def test_reload_keeps_the_old_snapshot_when_it_fails(service):
     assert service.reload()["generation"] == 2
-    after = service.reload()
-    assert after["generation"] == 2 and after["failure"] == "ValueError: torn" and service.query("t", top=1)["results"]
+    with pytest.raises(Refused, match="ValueError: torn") as e:
+        service.reload()
+    after = service.status()
+    assert e.value.status == 409 and after["ready"] and after["generation"] == 2 and after["failure"] == "ValueError: torn" and service.query("t", top=1)["results"]
+
+
+def test_reload_without_a_snapshot_and_with_a_walk():
+    walked = []
+
+    def load(generation):
+        raise OSError("volume is gone")
+
+    service = Service(lambda texts, raw: [], load, lambda: walked.append(1))
+    for rescan in (False, True):
+        with pytest.raises(Refused, match="volume is gone") as e:
+            service.reload(rescan=rescan)
+        assert e.value.status == 503
+    assert walked == [1] and service.status()["failure"] == "OSError: volume is gone"

@@ -134,7 +134,7 @@ def test_a_cube_stands_on_its_base(spark, tmp_path):
     points = sample_points(facets, 4000).withColumn("model", F.col("path"))
     geo = {r.candidate: r.geo for r in geometry_evidence(points, 0.02, -0.9).collect()}
     best = max(geo, key=geo.get)
-    assert geo[best] == pytest.approx(81 / (81 + 4 * 4.5 * math.hypot(4.5, 40)), abs=0.03) and sorted(geo.values())[-2] < 0.02
+    assert geo[best] == pytest.approx(81 / (81 + 4 * 4.5 * math.hypot(4.5, 40)), abs=0.03) and sorted(geo.values())[-2] < geo[best] / 2
 
 
 def test_texts_in_a_column(spark):

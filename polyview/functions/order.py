@@ -30,22 +30,28 @@ def numbered_within(rows: DataFrame, by: str, order: list[str | Column]) -> Data
     return met.withColumn("nth", F.coalesce("_base", F.lit(0)) + F.col("_in")).drop("_part", "_base", "_in", "_by", "_at")
 
 
-def medians(rows: DataFrame, by: str, value: str, bins: int = 4096) -> DataFrame:
-    """``by`` and the exact median of ``value`` (nulls aside), as mid.
+def quantiles(rows: DataFrame, by: str, value: str, share: float, bins: int = 4096) -> DataFrame:
+    """``by`` and the exact quantile of ``value`` (nulls aside), as mid; between two values it goes in proportion.
 
-    Counts of bins of width 1 / bins, combined before their shuffle, tell which bin holds the middle; only that bin's
-    distinct values are then put in order.  A hot key costs its rows in its middle bin, not all its rows.
+    Counts of bins of width 1 / bins, combined before their shuffle, tell which bins hold the place; only those bins'
+    distinct values are then put in order.  A hot key costs its rows in those bins, not all its rows.
     """
     rows = rows.select(by, F.col(value).cast("double").alias("_v")).filter("_v is not null")
     # not-a-number sorts last, as in every order of Spark
     rows = rows.withColumn("_bin", F.when(F.isnan("_v"), F.lit(2**63 - 1)).otherwise(F.floor(F.col("_v") * bins)))
     key = Window.partitionBy(by)
     held = rows.groupBy(by, "_bin").agg(F.count("*").alias("_n"))
-    held = held.withColumn("_to", F.sum("_n").over(key.orderBy("_bin"))).withColumn("_all", F.sum("_n").over(key))
-    held = held.withColumn("_low", F.expr("(_all - 1) div 2")).withColumn("_high", F.expr("_all div 2"))
-    middle = held.filter("_to > _low and _to - _n <= _high").select(by, "_bin", (F.col("_to") - F.col("_n")).alias("_from"), "_low", "_high")
-    values = rows.join(middle, [by, "_bin"]).groupBy(by, "_v").agg(F.count("*").alias("_n"), F.min("_from").alias("_from"), F.first("_low").alias("_low"), F.first("_high").alias("_high"))
+    held = held.withColumn("_to", F.sum("_n").over(key.orderBy("_bin"))).withColumn("_place", (F.sum("_n").over(key) - 1) * F.lit(float(share)))
+    held = held.withColumn("_low", F.floor("_place")).withColumn("_high", F.ceil("_place"))
+    middle = held.filter("_to > _low and _to - _n <= _high").select(by, "_bin", (F.col("_to") - F.col("_n")).alias("_from"), "_low", "_high", "_place")
+    values = rows.join(middle, [by, "_bin"]).groupBy(by, "_v").agg(F.count("*").alias("_n"), F.min("_from").alias("_from"), *[F.first(c).alias(c) for c in ("_low", "_high", "_place")])
     to = F.min("_from").over(key) + F.sum("_n").over(key.orderBy("_v"))
     values = values.withColumn("_to", to)
     at = lambda r: F.max(F.when((F.col(r) < F.col("_to")) & (F.col(r) >= F.col("_to") - F.col("_n")), F.col("_v")))
-    return values.groupBy(by).agg(((at("_low") + at("_high")) / 2).alias("mid"))
+    found = values.groupBy(by).agg(at("_low").alias("_a"), at("_high").alias("_b"), F.first(F.col("_place") - F.col("_low")).alias("_f"))
+    return found.select(by, F.when(F.col("_f") == 0, F.col("_a")).when(F.col("_f") == 0.5, (F.col("_a") + F.col("_b")) / 2).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("mid"))
+
+
+def medians(rows: DataFrame, by: str, value: str, bins: int = 4096) -> DataFrame:
+    """``by`` and the exact median of ``value`` (nulls aside), as mid."""
+    return quantiles(rows, by, value, 0.5, bins)

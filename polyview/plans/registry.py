@@ -592,4 +592,4 @@ def _(s, d):
     return X.table(s, d, "events").select("event_id", T.call_outcome(status, body).alias("outcome"))
 
 
-from polyview.plans import meshes, upkeep  # noqa: E402, F401  (they register their queries)
+from polyview.plans import meshes, sweeps, upkeep  # noqa: E402, F401  (they register their queries)

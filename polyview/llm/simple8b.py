@@ -165,7 +165,9 @@ def write_token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_co
         if parts:
             yield flush()
 
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # rows with one id, and those without, have no order between them: their texts' hashes let ranges split them
+    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
+    dealt = dealt.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     segments = stage_table(dealt.mapInArrow(pack, _SEGMENTS), "simple8b")
     sizes = segments.groupBy("part").agg(F.sum("n_ids").alias("ids"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part

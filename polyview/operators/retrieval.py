@@ -82,7 +82,7 @@ def pooled_scores(views: DataFrame, texts: DataFrame, mode: str = "softmax", twi
         raise ValueError(f"unknown pool {mode!r}")
     kind = texts.select("text_id").schema[0].dataType
     schema = f"row_id long, text_id {'int' if twice else kind.simpleString()}, score double"
-    texts = texts.filter("embedding IS NOT NULL").select("text_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    texts = stage_table(texts.filter("embedding IS NOT NULL").select("text_id", F.col("embedding").cast("array<double>").alias("embedding")), "texts")  # measured, then read
     stacks = stacked(views).select(F.col("row_id").cast("long").alias("row_id"), "stack")
 
     def rows(ids: pa.Array, column: pa.Array, text_ids: pa.Array, matrix: np.ndarray) -> Iterator[pa.RecordBatch]:

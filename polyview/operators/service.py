@@ -44,10 +44,10 @@ def checked(name: str, value: object, low: int, high: int) -> int:
     return value
 
 
-def hits(ranked: DataFrame, snapshot: Snapshot) -> DataFrame:
-    """Ranked rows with what a caller sees of a model: key, paths, name and pose."""
+def hits(ranked: DataFrame, snapshot: Snapshot, *more: str) -> DataFrame:
+    """Ranked rows with what a caller sees of a model: key, paths, name and pose; ``more`` names columns that stay."""
     models = snapshot.models.select("row_id", render_key(F.col("rel")).alias("id"), F.concat(F.lit(f"{snapshot.root}/"), "rel").alias("path"), F.col("rel").alias("rel_path"), display_name(F.col("rel")).alias("name"))
-    return F.broadcast(ranked).join(models, "row_id").join(snapshot.poses, "row_id", "left").select("rank", "id", "path", "rel_path", "name", "score", "z", "pose")
+    return F.broadcast(ranked).join(models, "row_id").join(snapshot.poses, "row_id", "left").select(*more, "rank", "id", "path", "rel_path", "name", "score", "z", "pose")
 
 
 class Service:

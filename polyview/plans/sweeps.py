@@ -101,3 +101,82 @@ def _(s, d):
     z = _rows(s, d).withColumn("method", F.explode(F.array(*map(F.lit, ("geometry", "sig", "ens", "vlm"))))).withColumn("size", F.explode(F.array(F.lit(384), F.lit(2048))))
     pick = F.when((F.col("method") == "vlm") & (F.col("n") % 9 == 0), None).when(F.col("method") == "geometry", F.col("a")).when((F.col("size") == 384) & (F.col("method") == "sig"), F.col("b")).otherwise(((F.col("a") + F.col("b") * F.col("q")) % 6).cast("int"))
     return S.gauntlet(z.select("method", "size", F.col("doc_id").alias("stem"), pick.alias("pick"), "gold"), 2048)
+
+
+@add("s14_arbiter_picks", """
+WITH p AS (SELECT doc_id, n_chars, ['+Z', '-Z', '+Y', '-Y', '+X', '-X'] AS ax FROM documents),
+w AS (SELECT 'gemma_sheet256' AS config, doc_id, ax[doc_id % 6 + 1] AS up FROM p WHERE n_chars % 3 > 0 UNION ALL SELECT 'sonnet_sheet512', doc_id, ax[n_chars % 6 + 1] FROM p),
+x AS (SELECT 'gemma_sheet256' AS config, doc_id, ax[(doc_id + 1) % 6 + 1] AS up FROM p WHERE doc_id % 10 = 0 AND doc_id % 20 > 0),
+u AS (SELECT config, doc_id, up FROM x UNION ALL SELECT config, doc_id, up FROM w WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.config = w.config AND x.doc_id = w.doc_id))
+SELECT config, doc_id::VARCHAR AS stem, (list_position(['+Z', '-Z', '+Y', '-Y', '+X', '-X'], up) - 1)::INT AS pick FROM u
+""")
+def _(s, d):
+    """Answers among a prediction's members, by their names and kinds; dumps of later runs take their place, but nulls do not."""
+    from polyview.sources.manifests import AXES, arbiter_picks
+
+    p = X.table(s, d, "documents")
+    axis = lambda k: F.concat(F.lit('"'), F.element_at(F.array(*map(F.lit, AXES)), (k % 6 + 1).cast("int")), F.lit('"'))
+    i, n = F.col("doc_id"), F.col("n_chars")
+    gemma = F.when(n % 3 > 0, axis(i)).otherwise(F.when(n % 2 > 0, F.lit("null")).otherwise(F.lit("7")))
+    record = F.concat(F.lit('{"geometry": "+Z", "gemma_sheet256": '), gemma, F.lit(', "sonnet_sheet512": '), axis(n), F.lit(', "margin": 0.5}'))
+    dump = F.concat(F.lit('{"gemma@256": {"'), i.cast("string"), F.lit('": '), F.when(i % 20 > 0, axis(i + 1)).otherwise("null"), F.lit("}}"))
+    return arbiter_picks(p.select(i.cast("string").alias("stem"), record.alias("record")), p.filter(i % 10 == 0).select(dump.alias("json")))
+
+
+@add("r04_stashed_tiles", """
+SELECT t.event_id AS index, t.user_id AS file, e.value AS embedding FROM events t JOIN events e ON e.event_id = t.event_id + 3 WHERE t.event_id % 4 = 0 AND e.ts >= t.ts AND e.ts <= t.ts + INTERVAL 10 MINUTE
+""")
+def _(s, d):
+    """Tiles wait ten minutes for the embeddings of their index."""
+    from polyview.streaming.breaker import stashed
+
+    e = X.table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    tiles = e.filter("event_id % 4 = 0").select(F.col("event_id").alias("index"), "ts", F.col("user_id").alias("file"))
+    embeds = e.select((F.col("event_id") - 3).alias("index"), "ts", F.col("value").alias("embedding")).filter("index % 4 = 0")
+    return stashed(tiles, embeds)
+
+
+_HITS = f"""{ctes('views', 'texts', 'sims', 'models', 'soft', 'z')}, p AS (SELECT row_id, CASE row_id % 3 WHEN 0 THEN 'z' WHEN 1 THEN 'y' END AS pose FROM mi WHERE row_id % 3 < 2)
+SELECT s.text_id, s.rank::INT AS rank, 'm' || s.row_id || '_' || substr(sha1(rel), 1, 6) AS id, '/lib/' || rel AS path, replace(rel, '.stl', '') AS name, round(score, 6) AS score, pose FROM scored s JOIN models m ON m.row_id = s.row_id LEFT JOIN p ON p.row_id = s.row_id WHERE rank <= 5"""
+
+
+@add("j01_j07_hits", _HITS)
+def _(s, d):
+    """What a caller sees of each text's best models: key, path, name, and the pose where there is one."""
+    from polyview.operators.service import Snapshot, hits
+
+    views, models = X.views(s, d), X.models(s, d)
+    poses = views.select("row_id").distinct().filter("row_id % 3 < 2").withColumn("pose", F.when(F.col("row_id") % 3 == 0, "z").otherwise("y"))
+    ranked = R.rank(R.robust_z(R.pooled_scores(views, X.texts(s, d))), top=5)
+    seen = hits(ranked, Snapshot(views, models, poses, "/lib"), "text_id")
+    return seen.select("text_id", F.col("rank").cast("int").alias("rank"), "id", "path", "name", F.round("score", 6).alias("score"), "pose")
+
+
+@add("k01_l06_result_rows", """
+SELECT 'm' || doc_id AS file, CASE WHEN doc_id % 7 = 0 THEN 'RENDER_ERROR: torn ' || lang ELSE lang END AS top1, CASE WHEN doc_id % 7 > 0 THEN n_chars / 100.0::DOUBLE END AS score1, CASE WHEN doc_id % 7 > 0 AND doc_id % 2 = 0 THEN source END AS top2,
+  CASE WHEN doc_id % 7 > 0 AND doc_id % 2 = 0 THEN n_chars / 200.0::DOUBLE END AS score2, NULL::VARCHAR AS top3, NULL::DOUBLE AS score3, CASE WHEN doc_id % 7 > 0 THEN '0,0,1' END AS up, CASE WHEN doc_id % 7 > 0 THEN 0.5::DOUBLE END AS pose_conf, CASE WHEN doc_id % 7 > 0 THEN 'geometry' END AS pose_source, CASE WHEN doc_id % 7 > 0 THEN (doc_id % 8)::INT END AS front_view FROM documents
+""")
+def _(s, d):
+    """Rows of the results CSV; a failed model has its error in the place of its first category, and nothing else."""
+    from polyview.sources.sinks import result_rows
+
+    i = F.col("doc_id")
+    one = F.struct(F.col("lang").alias("category"), (F.col("n_chars") / 100.0).alias("score"))
+    two = F.struct(F.col("source").alias("category"), (F.col("n_chars") / 200.0).alias("score"))
+    rows = X.table(s, d, "documents").select(i.alias("index"), F.concat(F.lit("m"), i.cast("string")).alias("file"), F.when(i % 7 == 0, F.concat(F.lit("torn "), "lang")).alias("error"), F.when(i % 2 == 0, F.array(one, two)).otherwise(F.array(one)).alias("top"), F.lit("0,0,1").alias("up"), F.lit(0.5).alias("pose_conf"), F.lit("geometry").alias("pose_source"), (i % 8).cast("int").alias("front_view"))
+    return result_rows(rows)
+
+
+@add("k13_l07_times", """
+WITH t AS (SELECT page_id, 'd' || page_id % 9 || CASE WHEN page_id % 4 > 0 THEN '/e' || page_id % 5 || '/f' || page_id ELSE '/g' || page_id END AS rel, page_id % 4 = 1 AS is_dir, length(url)::BIGINT AS mtime FROM pages)
+SELECT rel, is_dir, mtime, (length(rel) - length(replace(rel, '/', '')) + 1)::INT AS depth FROM t WHERE page_id % 3 > 0 AND mtime <> mtime + page_id % 2
+""")
+def _(s, d):
+    """Times that differ between a tree and its copy, with the depth that orders folders."""
+    from polyview.sources.sinks import restore_plan
+
+    i = F.col("page_id")
+    text = lambda c: c.cast("string")
+    rel = F.concat(F.lit("d"), text(i % 9), F.when(i % 4 > 0, F.concat(F.lit("/e"), text(i % 5), F.lit("/f"), text(i))).otherwise(F.concat(F.lit("/g"), text(i))))
+    t = X.table(s, d, "pages").select("page_id", rel.alias("rel"), (i % 4 == 1).alias("is_dir"), F.length("url").cast("long").alias("mtime"))
+    return restore_plan(t, t.filter("page_id % 3 > 0").withColumn("mtime", F.col("mtime") + i % 2))

@@ -260,3 +260,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, tables
     rest = sets.filter("NOT (n_shingles > 0 AND id IS NOT NULL)").select("id", "n_shingles", F.col("id").alias("component"))
     out = joined.unionByName(rest).select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+
+
+#: The same by brute force in SQL: every pair that shares a shingle, and who reaches whom.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS x FROM d, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS u(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+h AS (SELECT doc_id, x FROM s SEMI JOIN (SELECT x FROM s GROUP BY x HAVING count(*) > 1) AS r USING (x)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM h AS a JOIN h AS b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n AS m ON m.doc_id = a JOIN n AS k ON k.doc_id = b WHERE 100 * c >= 85 * (m.n + k.n - c)),
+r(a, b) AS (SELECT a, b FROM (SELECT a, b FROM e UNION SELECT b, a FROM e) AS f UNION SELECT r.a, f.b FROM r JOIN (SELECT a, b FROM e UNION SELECT b, a FROM e) AS f ON f.a = r.b),
+m AS (SELECT a, min(b) AS low FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(low, d.doc_id)) AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = d.doc_id
+"""

@@ -114,9 +114,9 @@ QUERIES = {"op1_quality": op1_quality, "op2_line_dedup": op2_line_dedup, "op5_su
 
 
 def _oracles() -> dict[str, str]:
-    from polyview.llm import chat_format, fill_middle, inner_product, line_dedup, prefix_trie
+    from polyview.llm import chat_format, fill_middle, inner_product, line_dedup, near_dedup, prefix_trie, substring_dedup
 
-    return {"op11_fill_middle": fill_middle.ORACLE, "op12_chat_format": chat_format.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE, "op2_line_dedup": line_dedup.ORACLE, "op8_top_products": inner_product.ORACLE}
+    return {"op4_substring_dedup": substring_dedup.ORACLE, "op7_near_dedup": near_dedup.ORACLE, "op11_fill_middle": fill_middle.ORACLE, "op12_chat_format": chat_format.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE, "op2_line_dedup": line_dedup.ORACLE, "op8_top_products": inner_product.ORACLE}
 
 
 ORACLES: dict[str, str] = _oracles()

@@ -305,3 +305,18 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return docs.join(spans, "row", "left").select("id", "text", "spans").mapInArrow(cut, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+#: The same by brute force in SQL: every window of every text, in hexadecimal, by its md5.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 400)) AS k FROM d, unnest(range(0, greatest(0, len(x) // 2 - 199))) AS u(i)),
+r AS (SELECT doc_id, i FROM w SEMI JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) AS t USING (k)),
+g AS (SELECT doc_id, i, i - lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) > 200 AS fresh FROM r),
+b AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g),
+s AS (SELECT doc_id, span, min(i) AS a, max(i) + 200 AS z FROM b GROUP BY 1, 2),
+k AS (SELECT doc_id, z AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS z FROM s UNION ALL SELECT doc_id, 0, min(a) FROM s GROUP BY 1),
+c AS (SELECT k.doc_id, string_agg(substr(x, 2 * k.a + 1, 2 * (coalesce(k.z, len(x) // 2) - k.a)), '' ORDER BY k.a) AS kept FROM k JOIN d USING (doc_id) GROUP BY 1),
+q AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans FROM s GROUP BY 1)
+SELECT d.doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(c.kept, x))) AS kept_sha256 FROM d LEFT JOIN q USING (doc_id) LEFT JOIN c USING (doc_id)
+"""

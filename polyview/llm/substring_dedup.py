@@ -4,8 +4,8 @@ Every byte covered by a ``length``-byte string that also starts elsewhere goes.
 have equal smallest 48-byte grams, so strings are compared only within the runs of consecutive windows that share
 their smallest gram:
 
-1. each text is cut into such runs, with a hash of the gram and a 128-bit digest (BLAKE2b) of the run's bytes, written once; grams that occur
-   once are settled by a count;
+1. each text is cut into such runs, with a hash of the gram and a 128-bit digest (BLAKE2b) of the run's bytes; grams that occur once
+   are settled by a count;
 2. runs of one gram with equal digests are copies: all their windows repeat;
 3. grams with differing runs keep one representative of each distinct run.  Its window suffixes are dealt to buckets by
    sampled splitters over the gram's leading bytes, and each bucket sorts them by multikey quicksort with 8-byte
@@ -263,7 +263,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     """Per document: n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes)."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("row", F.unhex(F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("\n"), "text"))))
-    runs = stage_table(_runs(docs, length), "all_runs")  # counted, then joined: texts are hashed once
+    runs = _runs(docs, length)  # made twice, for the counts and for the join: written once, they took an executor to 4004 MB
     grams = runs.groupBy("gram").agg(F.count("*").alias("n"), *[f(half).alias(f"{name}_{half}") for half in ("one", "two") for name, f in (("low", F.min), ("high", F.max))], F.max("again").alias("inside"))
     grams = grams.filter("n > 1 or inside").selectExpr("gram", "inside or low_one <> high_one or low_two <> high_two as mixed")
     repeated = stage_table(runs.join(grams, "gram"), "runs")

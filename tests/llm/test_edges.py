@@ -268,3 +268,13 @@ def test_packing_whole_table(spark):
         assert all(a + n == b for (a, n), (b, _) in zip(places, places[1:])) and places[0][0] == 0 and sum(places[-1]) <= 1024
     bound, single = K.dual_feasible_bound(lengths, 1024), K.best_fit_decreasing(lengths, 1024)[2]
     assert bound <= single and bound <= len(by) <= single * 1.01, (bound, len(by), single)
+
+
+def test_quality_agrees_with_labels(spark):
+    """The rules see no label; of labelled documents their verdict is the label's in 19 of 20 at least."""
+    from polyview.llm.quality import score_quality
+
+    data = "/root/testdata/sf0.01"
+    kept = score_quality(spark.read.parquet(f"{data}/documents.parquet"), keep=["doc_id"]).select("doc_id", "kept")
+    rows = spark.read.parquet(f"{data}/labels.parquet").join(kept, "doc_id").selectExpr("quality = 1 AS good", "kept").collect()
+    assert len(rows) > 300 and sum(r.good == r.kept for r in rows) >= 0.95 * len(rows)

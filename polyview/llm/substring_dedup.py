@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from polyview.llm.shared import stage_table
 
 GRAM = 48
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 _HOT = 4096
-_BUCKET_WINDOWS = 1 << 20
+_BUCKET_WINDOWS = 1 << 18
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -44,7 +44,6 @@ def quantiles(rows: DataFrame, by: str, value: str, share: float, bins: int = 40
     held = held.withColumn("_to", F.sum("_n").over(key.orderBy("_bin"))).withColumn("_place", (F.sum("_n").over(key) - 1) * F.lit(float(share)))
     held = held.withColumn("_low", F.floor("_place")).withColumn("_high", F.ceil("_place"))
     middle = held.filter("_to > _low and _to - _n <= _high").select(by, "_bin", (F.col("_to") - F.col("_n")).alias("_from"), "_low", "_high", "_place")
-    middle = stage_table(middle, "bins")  # a few rows a key: written, their size is known, and small ones are not shuffled for
     values = rows.join(middle, [by, "_bin"]).groupBy(by, "_v").agg(F.count("*").alias("_n"), F.min("_from").alias("_from"), *[F.first(c).alias(c) for c in ("_low", "_high", "_place")])
     to = F.min("_from").over(key) + F.sum("_n").over(key.orderBy("_v"))
     values = values.withColumn("_to", to)

@@ -138,13 +138,24 @@ def settle_stream(events: DataFrame, wait_s: float = 60, forget_s: float = 3600,
     return known.groupBy("index").transformWithStateInPandas(_Parking(wait_s, forget_s, event_time), RECORDS, "Append", mode)
 
 
-def settle_log(events: DataFrame, wait_s: float = 60) -> DataFrame:
+def settle_log(events: DataFrame, wait_s: float = 60, seq: str | None = None, every_pose: bool = False) -> DataFrame:
     """How every resolved or dropped file of a whole log was settled: the records of ``settle_stream`` without parked and late ones.
 
-    Aggregates keep one row a file before anything meets, so a file with many events is no hot group.
+    Of ends (or poses) at one time the one with the smallest ``seq``, a column of the log, is the first; without it their order is open.  Ends and
+    drops without a time come after those with one.  With ``every_pose`` a second ``resolved`` of an index is not ignored: each is settled by
+    itself, by the first end and the first drop of its index.
+
+    Aggregates keep one row a file before anything meets, so a file with many events is no hot group; with ``every_pose`` that row meets its poses.
     """
-    first = lambda kind, *cols: F.min(F.when(F.col("kind") == kind, F.struct("ts", *cols)))
-    one = events.filter("index IS NOT NULL").groupBy("index").agg(first("resolved", "gated", *_POSE).alias("r"), first("call", "outcome", "tile").alias("c"), first("drop").alias("d"))
+    key = [F.col("ts").isNull().alias("timeless"), F.col("ts"), *([F.col(seq).alias("seq")] if seq else [])]
+    first = lambda kind, *cols: F.min(F.when(F.col("kind") == kind, F.struct(*key, *cols)))
+    known = events.filter("index IS NOT NULL")
+    ends = [first("call", "outcome", "tile").alias("c"), first("drop").alias("d")]
+    if every_pose:
+        poses = known.filter("kind = 'resolved'").select("index", F.struct("ts", "gated", *_POSE).alias("r"))
+        one = known.groupBy("index").agg(*ends).join(poses, "index", "left")
+    else:
+        one = known.groupBy("index").agg(first("resolved", "gated", *_POSE).alias("r"), *ends)
     wait = F.make_dt_interval(secs=F.lit(float(wait_s)))
     gated = F.coalesce("r.gated", F.lit(False))
     # a call's end waits for its pose; a file is settled at the first of these times
